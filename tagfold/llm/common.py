@@ -38,19 +38,29 @@ def unit(*cols: Column | str) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 40)) / float(1 << 40)
 
 
-ROW_KEYS = ("doc_id", "_row")
+def fresh(name: str, columns: list[str]) -> str:
+    """`name`, with as many underscores after it as make it none of the columns (names differ by case alone count as
+    equal)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def with_row_key(docs: DataFrame) -> DataFrame:
-    """Adds `_row`, a hash of the whole row: with doc_id it names a row; rows equal in all columns share it."""
-    return docs.withColumn("_row", F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
+    """Puts `_row` first, a hash of the whole row: with doc_id it names a row; rows equal in all columns share it. A
+    column that has that name already goes into the hash and is renamed."""
+    hashed = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
+    names = {c: fresh("_row_", docs.columns) if c.lower() == "_row" else c for c in docs.columns}
+    return docs.select(hashed.alias("_row"), *(F.col(f"`{c}`").alias(n) for c, n in names.items()))
 
 
-def attach(docs: DataFrame, facts: DataFrame) -> DataFrame:
+def attach(docs: DataFrame, facts: DataFrame, out: str = "fact") -> DataFrame:
     """docs: from `with_row_key`. facts: doc_id, _row, fact (a struct), a row for each copy of a document row. Gives each
-    fact the columns of its document, in one shuffle of the texts; a document without a fact goes."""
-    first = docs.groupBy(*ROW_KEYS).agg(*(F.first(F.col(f"`{c}`")).alias(c) for c in docs.columns if c not in ROW_KEYS))
-    lists = facts.groupBy(*ROW_KEYS).agg(F.collect_list("fact").alias("_facts"))
-    keys = [F.col(f"d.{k}").eqNullSafe(F.col(f"f.{k}")) for k in ROW_KEYS]
-    joined = first.alias("d").join(lists.alias("f"), keys[0] & keys[1])
-    return joined.select(*(F.col(f"d.`{c}`") for c in docs.columns), F.explode("_facts").alias("fact")).drop("_row")
+    fact, as column `out`, the columns of its document, in one shuffle of the texts; a document without a fact goes."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "_row")]
+    first = docs.groupBy("doc_id", "_row").agg(*(F.first(F.col(f"`{c}`")).alias(f"c{k}") for k, c in enumerate(rest)))
+    lists = facts.groupBy(F.col("doc_id").alias("_d"), F.col("_row").alias("_r")).agg(F.collect_list("fact").alias("_f"))
+    joined = first.join(lists, first["doc_id"].eqNullSafe(lists["_d"]) & first["_row"].eqNullSafe(lists["_r"]))
+    place = {c: F.col(f"c{k}") for k, c in enumerate(rest)} | {"doc_id": F.col("doc_id")}
+    return joined.withColumn("_f", F.explode("_f")).select(*(place[c].alias(c) for c in docs.columns if c != "_row"), F.col("_f").alias(out))

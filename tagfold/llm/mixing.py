@@ -14,6 +14,7 @@ are drawn as documents of their own.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import cycle
@@ -23,8 +24,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from tagfold.llm.common import attach, cut, with_row_key
+from tagfold.llm.common import attach, cut, fresh, with_row_key
 
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
 BLOCK_WORDS, SLOTS_PER_SHARD, SEED = 512, 4096, 20_240
@@ -210,13 +212,15 @@ def words_taken(m: Mix) -> DataFrame:
     return full.unionByName(none).select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
 
 
-def _cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import re
+def _cut_texts(fact_name: str):
+    return lambda batches: _cut(batches, fact_name)
 
+
+def _cut(batches: Iterator[pa.RecordBatch], fact_name: str) -> Iterator[pa.RecordBatch]:
     word = re.compile(rb"[^\x20\x09-\x0D]+")
     for b in batches:
         texts = []
-        for text, fact in zip(b.column("text").cast(pa.binary()), b.column("fact"), strict=True):
+        for text, fact in zip(b.column("text").cast(pa.binary()), b.column(fact_name), strict=True):
             text, fact = text.as_py(), fact.as_py()
             ranges = sorted((r["low"], r["high"]) for r in fact["ranges"])
             if sum(z - a for a, z in ranges) == fact["size"]:
@@ -230,7 +234,7 @@ def _cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 else:
                     runs.append([a, z])
             texts.append(b"\n".join(text[spans[a][0] : spans[z - 1][1]] for a, z in runs).decode())
-        names = [n for n in b.schema.names if n != "fact"]
+        names = [n for n in b.schema.names if n != fact_name]
         columns = [pa.array(texts, pa.string()) if n == "text" else b.column(n) for n in names]
         yield pa.RecordBatch.from_arrays(columns, names)
 
@@ -242,6 +246,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     m = mix(keyed, **options)
     drawn = m.parts.groupBy("doc_id", "_row", "s", "start", "size", "turn").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
     facts = drawn.select("doc_id", "_row", F.struct("size", "turn", "ranges").alias("fact"))
-    schema = ", ".join(f"`{f.name}` {'string' if f.name == 'text' else f.dataType.simpleString()}" for f in docs.schema)
-    out = attach(keyed, facts).mapInArrow(_cut_texts, schema)
+    fact = fresh("fact", docs.columns)
+    schema = StructType([StructField(f.name, StringType() if f.name == "text" else f.dataType) for f in docs.schema])
+    out = attach(keyed, facts, fact).mapInArrow(_cut_texts(fact), schema)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out

@@ -21,6 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+from tagfold.llm.common import fresh
 
 TRAIN_PER_CLASS = 3000
 STEPS, RATE, L2 = 250, 0.08, 1e-3
@@ -263,18 +266,17 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, per
     return train(features, first, label, weight)
 
 
-def _score_batches(field: Field):
+def _score_batches(field: Field, text: str = "_text", score: str = "score"):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = LineFeatures()
         for b in batches:
             scores = np.zeros(b.num_rows)
-            for a, z, data, offsets in _chunks(b.column("_text")):
+            for a, z, data, offsets in _chunks(b.column(text)):
                 f, weight, first = make(data, offsets)
                 good, _, _ = marginals(field.log_odds(f), first, field.pair)
                 scores[a:z] = np.add.reduceat(good * weight, first[:-1]) / np.add.reduceat(weight, first[:-1])
-            kept = [b.column(k) for k in range(b.num_columns) if b.schema.names[k] != "_text"]
-            names = [x for x in b.schema.names if x != "_text"]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(np.clip(scores, 0.0, 1.0))], [*names, "score"])
+            names = [x for x in b.schema.names if x != text]
+            yield pa.RecordBatch.from_arrays([*(b.column(x) for x in names), pa.array(np.clip(scores, 0.0, 1.0))], [*names, score])
 
     return run
 
@@ -287,10 +289,10 @@ def score(docs: DataFrame, field: Field) -> DataFrame:
 
 def keep_good(docs: DataFrame, field: Field, threshold: float = 0.5) -> DataFrame:
     """Rows of docs, with all their columns, whose score reaches the threshold."""
-    fields = docs.schema
-    with_text = docs.withColumn("_text", F.col("text").cast("string"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", score double"
-    return with_text.mapInArrow(_score_batches(field), schema).where(F.col("score") >= threshold).drop("score")
+    text, score = fresh("_text", docs.columns), fresh("score", docs.columns)
+    with_text = docs.withColumn(text, F.col("text").cast("string"))
+    schema = StructType([*docs.schema.fields, StructField(score, DoubleType())])
+    return with_text.mapInArrow(_score_batches(field, text, score), schema).where(F.col(score) >= threshold).drop(score)
 
 
 def may_learn(doc_id: str = "doc_id") -> Column:

@@ -1,7 +1,7 @@
 """Operator 8: documents to shards by balanced label propagation.
 
 Two documents are linked if their texts are equal. Each document begins in a shard by its hash. In each round it wishes
-to be where most of its neighbours are (counts by group and shard, so a group costs at most a row per shard however large
+to be where most of its neighbours are, in one of as many shards as its group fills (counts by group and shard, so a group costs at most a row per shard however large
 it is); a table of wishes from shard to shard, at most shards squared numbers, gives each way a quota: exchanges both
 ways, and what room the target shard has left for linked documents. Wishes beyond the quota are thinned by hash, by group
 if the group is small, so that it moves whole, else by document. At the end a shard's linked documents come first,
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagfold.llm.common import attach, cut, unit, with_row_key
+from tagfold.llm.common import attach, cut, fresh, unit, with_row_key
 
 SHARDS, ROUNDS = 16, 4
 BUCKET_ROWS = 4096
@@ -59,8 +59,12 @@ def propagate(linked: DataFrame, rows: int, shards: int, rounds: int = ROUNDS) -
             load[r["shard"]] = r["count"]
         here = linked.groupBy(*GROUP, "shard").agg(F.count("*").alias("c"))
         tie = F.xxhash64("g", "crc", "shard")
-        best = cut(here.groupBy(*GROUP).agg(F.max(F.struct("c", tie.alias("tie"), "shard"))["shard"].alias("to")))
-        wish = linked.join(best, list(GROUP))
+        # at most `shards` entries a group; a group larger than a shard has as many homes as it needs
+        ranked = here.groupBy(*GROUP).agg(F.sum("c").alias("all"), F.sort_array(F.collect_list(F.struct("c", tie.alias("tie"), "shard")), asc=False)["shard"].alias("ranked"))
+        homes = cut(ranked.select(*GROUP, F.slice("ranked", F.lit(1), F.expr(f"cast(ceil(all / {max(1, room[-1])}) as int)")).alias("homes")))
+        mine = F.get("homes", F.pmod(F.xxhash64("doc_id", "_row", F.lit(3)), F.size("homes")).cast("int"))
+        to = F.when(F.array_contains("homes", F.col("shard")), F.col("shard")).otherwise(mine)
+        wish = linked.join(homes, list(GROUP)).withColumn("to", to).drop("homes")
         table = {(r["shard"], r["to"]): r["count"] for r in wish.where("`to` <> shard").groupBy("shard", "to").count().collect()}
         if not table:
             break
@@ -129,4 +133,5 @@ def sharded_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     slim = docs.drop("shard", "slot")
     keyed = with_row_key(slim)
     facts = shard_rows(keyed, shards).select("doc_id", "_row", F.struct("shard", "slot").alias("fact"))
-    return attach(keyed, facts).select(*(F.col(f"`{c}`") for c in slim.columns), "fact.shard", "fact.slot")
+    fact = fresh("fact", slim.columns)
+    return attach(keyed, facts, fact).select(*(F.col(f"`{c}`") for c in slim.columns), F.col(fact)["shard"].alias("shard"), F.col(fact)["slot"].alias("slot"))
