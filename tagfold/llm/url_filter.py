@@ -80,19 +80,17 @@ def split_url(url: Column) -> tuple[Column, Column]:
 
 def logit(host: Column, path: Column, weights: list[int], intercept: int) -> Column:
     """Sum of the trigrams' weights plus the intercept for each trigram: of the logit's sign, a whole number."""
-    table = F.array(*(F.lit(x).cast("long") for x in weights))
+    table = F.expr(f"array({', '.join(f'{x}L' for x in weights)})")
 
     def codes(text: Column) -> Column:
         return F.transform(F.filter(F.split(F.concat(F.lit("^"), text, F.lit("$")), ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
 
     def total(c: Column, salt: int) -> Column:
-        def add(a: Column, i: Column) -> Column:
-            at = F.get(c, i) * HASH[0] + F.get(c, i + 1) * HASH[1] + F.get(c, i + 2) * HASH[2] + salt
-            return a + F.get(table, (at % SLOTS).cast("int")) + intercept
-
-        # `^` and `$` make two code points at least, so only an empty text has no trigram
-        places = F.when(F.size(c) > 2, F.sequence(F.lit(0), F.size(c) - 3)).otherwise(F.array().cast("array<int>"))
-        return F.aggregate(places, F.lit(0).cast("long"), add)
+        # the sequence is zipped with itself moved by one and by two: a text's cost is linear in its length
+        n = F.greatest(F.size(c) - 2, F.lit(0))
+        two = F.zip_with(F.slice(c, F.lit(1), n), F.slice(c, F.lit(2), n), lambda x, y: x * HASH[0] + y * HASH[1])
+        grams = F.zip_with(two, F.slice(c, F.lit(3), n), lambda xy, z: xy + z * HASH[2] + salt)
+        return F.aggregate(grams, F.lit(0).cast("long"), lambda a, at: a + F.get(table, (at % SLOTS).cast("int")) + intercept)
 
     return total(codes(host), 0) + total(codes(path), PATH_SALT)
 
