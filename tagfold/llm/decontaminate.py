@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tagfold.llm.common import fresh
+
 EDIT_SHARE = 0.05
 MIN_CHARS = 20
 MAX_ITEM_BYTES = 256 << 20
@@ -113,14 +115,18 @@ class Passages:
         return found
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, edit_share: float = EDIT_SHARE) -> DataFrame:
-    """(doc_id, item_id, distance): every document and item whose passage it holds within the budget."""
-    spark = docs.sparkSession
+def hold_items(benchmark: DataFrame):
+    """The items, normalised and sorted, as a broadcast value of proven size."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null and item_id is not null").distinct()
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     if size > MAX_ITEM_BYTES:
         raise ValueError(f"benchmark items take {size} bytes; the bound is {MAX_ITEM_BYTES}")
-    held = spark.sparkContext.broadcast(sorted((r[0], normalise(r[1])) for r in items.collect()))
+    return benchmark.sparkSession.sparkContext.broadcast(sorted((r[0], normalise(r[1])) for r in items.collect()))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, edit_share: float = EDIT_SHARE) -> DataFrame:
+    """(doc_id, item_id, distance): every document and item whose passage it holds within the budget."""
+    held = hold_items(benchmark)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passages = Passages(held.value, edit_share)
@@ -131,16 +137,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, edit_share: float = EDIT
                 for k, d in sorted(passages.hits(normalise(text.as_py())).items())
             ]
             columns = list(zip(*rows, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64())], ["doc_id", "item_id", "distance"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "item_id", "distance"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return slim.mapInArrow(search, "doc_id long, item_id long, distance long").groupBy("doc_id", "item_id").agg(F.min("distance").alias("distance"))
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, edit_share: float = EDIT_SHARE) -> DataFrame:
-    """Rows of docs whose text holds no item."""
-    from tagfold.llm.common import cut
+    """Rows of docs whose text holds no item, settled row by row without a join."""
+    held = hold_items(benchmark)
+    text = fresh("_text", docs.columns)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passages = Passages(held.value, edit_share)
+        for b in batches:
+            good = [not passages.hits(normalise(t.as_py())) for t in b.column(text)]
+            yield b.drop_columns([text]).filter(pa.array(good, pa.bool_()))
 
-    bad = cut(contaminated(docs, benchmark, edit_share).select("doc_id").distinct())
-    same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("b.doc_id"))
-    return docs.alias("d").join(bad.alias("b"), same, "left_anti")
+    return docs.withColumn(text, F.col("text").cast("string")).mapInArrow(clean, docs.schema)
