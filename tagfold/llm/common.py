@@ -47,20 +47,29 @@ def fresh(name: str, columns: list[str]) -> str:
     return name
 
 
+ROW_KEY = ["_row", "_row2"]
+
+
 def with_row_key(docs: DataFrame) -> DataFrame:
-    """Puts `_row` first, a hash of the whole row: with doc_id it names a row; rows equal in all columns share it. A
-    column that has that name already goes into the hash and is renamed."""
-    hashed = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
-    names = {c: fresh("_row_", docs.columns) if c.lower() == "_row" else c for c in docs.columns}
-    return docs.select(hashed.alias("_row"), *(F.col(f"`{c}`").alias(n) for c, n in names.items()))
+    """Puts `_row` and `_row2` first, two hashes of the whole row that together name it (and are never null, so joins on
+    them share their partitioning); rows equal in all columns share them. Columns that have these names already go into
+    the hashes and are renamed."""
+    whole = [F.col(f"`{c}`") for c in docs.columns]
+    names = {c: fresh(c + "_", docs.columns) if c.lower() in ROW_KEY else c for c in docs.columns}
+    return docs.select(F.xxhash64(*whole).alias("_row"), F.xxhash64(F.lit(1), *whole).alias("_row2"), *(F.col(f"`{c}`").alias(n) for c, n in names.items()))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """docs: from `with_row_key`. One row of those equal in all columns, dealt by the key."""
+    rest = [c for c in docs.columns if c not in ROW_KEY]
+    first = docs.groupBy(*ROW_KEY).agg(*(F.first(F.col(f"`{c}`")).alias(f"c{k}") for k, c in enumerate(rest)))
+    return first.select(*ROW_KEY, *(F.col(f"c{k}").alias(c) for k, c in enumerate(rest)))
 
 
 def attach(docs: DataFrame, facts: DataFrame, out: str = "fact") -> DataFrame:
-    """docs: from `with_row_key`. facts: doc_id, _row, fact (a struct), a row for each copy of a document row. Gives each
+    """docs: from `with_row_key`. facts: the key and `fact` (a struct), a row for each copy of a document row. Gives each
     fact, as column `out`, the columns of its document, in one shuffle of the texts; a document without a fact goes."""
-    rest = [c for c in docs.columns if c not in ("doc_id", "_row")]
-    first = docs.groupBy("doc_id", "_row").agg(*(F.first(F.col(f"`{c}`")).alias(f"c{k}") for k, c in enumerate(rest)))
-    lists = facts.groupBy(F.col("doc_id").alias("_d"), F.col("_row").alias("_r")).agg(F.collect_list("fact").alias("_f"))
-    joined = first.join(lists, first["doc_id"].eqNullSafe(lists["_d"]) & first["_row"].eqNullSafe(lists["_r"]))
-    place = {c: F.col(f"c{k}") for k, c in enumerate(rest)} | {"doc_id": F.col("doc_id")}
-    return joined.withColumn("_f", F.explode("_f")).select(*(place[c].alias(c) for c in docs.columns if c != "_row"), F.col("_f").alias(out))
+    lists = facts.groupBy(*ROW_KEY).agg(F.collect_list("fact").alias("_facts_of_row"))
+    joined = one_of_each(docs).join(lists, ROW_KEY)
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ROW_KEY]
+    return joined.select(*rest, F.explode("_facts_of_row").alias(out))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from tagfold.llm.common import attach, cut, fresh, with_row_key
+from tagfold.llm.common import ROW_KEY, attach, cut, fresh, with_row_key
 
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
 BLOCK_WORDS, SLOTS_PER_SHARD, SEED = 512, 4096, 20_240
@@ -137,18 +137,18 @@ def draw_counts(slots: list[int], per_shard: int = SLOTS_PER_SHARD, seed: int =
 
 @dataclass
 class Mix:
-    #: doc_id, _row, source, size, s (source's number), start (first word in the source), source_size, target
+    #: doc_id, the row key, source, size, s (source's number), start (first word in the source), source_size, target
     docs: DataFrame
     #: s, block, shard, turn, take (words of the block that the slot holds)
     slots: DataFrame
-    #: documents' parts of blocks that slots hold: s, start, doc_id, _row, size, shard, turn, low, high (words within the document)
+    #: documents' parts of blocks that slots hold: s, start, the row key, size, shard, turn, low, high (words within the document)
     parts: DataFrame
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, block_words: int = BLOCK_WORDS, seed: int = SEED) -> Mix:
     """docs: from `with_row_key`."""
     spark = docs.sparkSession
-    sized = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "_row", F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")))
+    sized = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *ROW_KEY, F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")))
     totals = sized.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("docs")).limit(MAX_SOURCES + 1).collect()
     if len(totals) > MAX_SOURCES:
         raise ValueError(f"there are more than {MAX_SOURCES} sources")
@@ -161,11 +161,11 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     named = sized.alias("d").join(F.broadcast(numbers).alias("n"), F.col("d.source").eqNullSafe(F.col("n.source"))).select("d.*", "n.s", "n.source_size", "n.target")
 
     buckets = max(1, -(-sum(r["docs"] for r in totals) // BUCKET_DOCS))
-    h = F.xxhash64("doc_id", "_row", F.lit(seed))
+    h = F.xxhash64(*ROW_KEY, F.lit(seed))
     dealt = named.withColumn("_h", h).withColumn("_b", F.pmod("_h", F.lit(buckets)))
     sums = dealt.groupBy("s", "_b").agg(F.sum("size").alias("_n"))
     offsets = sums.select("s", "_b", F.coalesce(F.sum("_n").over(Window.partitionBy("s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
-    inside = F.coalesce(F.sum("size").over(Window.partitionBy("s", "_b").orderBy("_h", "doc_id", "_row").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.coalesce(F.sum("size").over(Window.partitionBy("s", "_b").orderBy("_h", *ROW_KEY).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = cut(dealt.withColumn("_i", inside).join(offsets, ["s", "_b"]).withColumn("start", F.col("_o") + F.col("_i")).drop("_h", "_b", "_i", "_o"))
 
     n_slots = [p.slots() for p in plans]
@@ -190,24 +190,23 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
 
     slots = numbered.mapInPandas(place, "s int, block long, shard int, turn int, take long")
     covers = F.sequence(F.expr(f"start div {block_words}"), F.expr(f"(start + size - 1) div {block_words}"))
-    pieces = placed.where("size > 0").select("s", "start", "doc_id", "_row", "size", F.explode(covers).alias("block"))
+    pieces = placed.where("size > 0").select("s", "start", *ROW_KEY, "size", F.explode(covers).alias("block"))
     a = F.col("block") * block_words
     parts = (
         pieces.join(slots, ["s", "block"])
         .withColumn("low", F.greatest(F.col("start"), a) - F.col("start"))
         .withColumn("high", F.least(F.col("start") + F.col("size"), a + F.col("take")) - F.col("start"))
         .where("high > low")
-        .select("s", "start", "doc_id", "_row", "size", "shard", "turn", "low", "high")
+        .select("s", "start", *ROW_KEY, "size", "shard", "turn", "low", "high")
     )
     return Mix(placed, slots, parts)
 
 
 def words_taken(m: Mix) -> DataFrame:
     """(doc_id, size, source_size, target, taken), a row for each row of documents."""
-    key = ["s", "start", "doc_id", "_row", "size"]
-    taken = m.parts.groupBy(*key).agg(F.sum(F.col("high") - F.col("low")).alias("taken"))
+    taken = m.parts.groupBy("s", "start").agg(F.sum(F.col("high") - F.col("low")).alias("taken"))
     # a document with words is the only one at its place; one without takes none
-    full = m.docs.where("size > 0").join(taken.select("s", "start", "taken"), ["s", "start"], "left")
+    full = m.docs.where("size > 0").join(taken, ["s", "start"], "left")
     none = m.docs.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
     return full.unionByName(none).select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
 
@@ -244,8 +243,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     (the whole text as it is if all are drawn), n_chars to match. Documents of which no word is drawn go."""
     keyed = with_row_key(docs)
     m = mix(keyed, **options)
-    drawn = m.parts.groupBy("doc_id", "_row", "s", "start", "size", "turn").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
-    facts = drawn.select("doc_id", "_row", F.struct("size", "turn", "ranges").alias("fact"))
+    drawn = m.parts.groupBy(*ROW_KEY, "s", "start", "size", "turn").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
+    facts = drawn.select(*ROW_KEY, F.struct("size", "turn", "ranges").alias("fact"))
     fact = fresh("fact", docs.columns)
     schema = StructType([StructField(f.name, StringType() if f.name == "text" else f.dataType) for f in docs.schema])
     out = attach(keyed, facts, fact).mapInArrow(_cut_texts(fact), schema)

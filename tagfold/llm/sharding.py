@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagfold.llm.common import attach, cut, fresh, unit, with_row_key
+from tagfold.llm.common import ROW_KEY, attach, cut, fresh, unit, with_row_key
 
 SHARDS, ROUNDS = 16, 4
 BUCKET_ROWS = 4096
@@ -26,10 +26,10 @@ GROUP = ("g", "crc", "size")
 def _prepare(docs: DataFrame, shards: int) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     slim = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), "_row", F.xxhash64(text).alias("g"), F.crc32(text.cast("binary")).alias("crc"),
+        F.col("doc_id").cast("long").alias("doc_id"), *ROW_KEY, F.xxhash64(text).alias("g"), F.crc32(text.cast("binary")).alias("crc"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
     )
-    slim = cut(slim.withColumn("shard", F.pmod(F.xxhash64("doc_id", "_row"), F.lit(shards)).cast("int")))
+    slim = cut(slim.withColumn("shard", F.pmod(F.xxhash64(*ROW_KEY), F.lit(shards)).cast("int")))
     counts = cut(slim.groupBy(*GROUP).agg(F.count("*").alias("n")))
     return slim.join(counts, list(GROUP))
 
@@ -62,7 +62,7 @@ def propagate(linked: DataFrame, rows: int, shards: int, rounds: int = ROUNDS) -
         # at most `shards` entries a group; a group larger than a shard has as many homes as it needs
         ranked = here.groupBy(*GROUP).agg(F.sum("c").alias("all"), F.sort_array(F.collect_list(F.struct("c", tie.alias("tie"), "shard")), asc=False)["shard"].alias("ranked"))
         homes = cut(ranked.select(*GROUP, F.slice("ranked", F.lit(1), F.expr(f"cast(ceil(all / {max(1, room[-1])}) as int)")).alias("homes")))
-        mine = F.get("homes", F.pmod(F.xxhash64("doc_id", "_row", F.lit(3)), F.size("homes")).cast("int"))
+        mine = F.get("homes", F.pmod(F.xxhash64(*ROW_KEY, F.lit(3)), F.size("homes")).cast("int"))
         to = F.when(F.array_contains("homes", F.col("shard")), F.col("shard")).otherwise(mine)
         wish = linked.join(homes, list(GROUP)).withColumn("to", to).drop("homes")
         table = {(r["shard"], r["to"]): r["count"] for r in wish.where("`to` <> shard").groupBy("shard", "to").count().collect()}
@@ -72,7 +72,7 @@ def propagate(linked: DataFrame, rows: int, shards: int, rounds: int = ROUNDS) -
         for (a, b), q in sorted(quotas(table, load, room).items()):
             grant = F.when((F.col("shard") == a) & (F.col("to") == b), F.lit(q)).otherwise(grant)
         whole = F.col("n") * 100 < rows // shards + 1
-        draw = F.when(whole, unit("g", "crc", F.lit(turn))).otherwise(unit("doc_id", "_row", F.lit(turn)))
+        draw = F.when(whole, unit("g", "crc", F.lit(turn))).otherwise(unit(*ROW_KEY, F.lit(turn)))
         linked = cut(wish.withColumn("shard", F.when((F.col("to") != F.col("shard")) & (draw < grant), F.col("to")).otherwise(F.col("shard"))).drop("to"))
     return linked
 
@@ -93,8 +93,8 @@ def settle(placed: DataFrame, rows: int, shards: int) -> DataFrame:
     large = F.col("n") > BUCKET_ROWS
     b = (
         placed.withColumn("k", F.when(F.col("n") > 1, 0).otherwise(1))
-        .withColumn("gb", F.when(F.col("k") == 0, F.pmod(F.xxhash64("g", "crc"), F.lit(buckets))).otherwise(F.pmod(F.xxhash64("doc_id", "_row", F.lit(1)), F.lit(buckets))))
-        .withColumn("db", F.when(large, F.pmod(F.xxhash64("doc_id", "_row", F.lit(2)), F.lit(buckets))).otherwise(F.lit(0)))
+        .withColumn("gb", F.when(F.col("k") == 0, F.pmod(F.xxhash64("g", "crc"), F.lit(buckets))).otherwise(F.pmod(F.xxhash64(*ROW_KEY, F.lit(1)), F.lit(buckets))))
+        .withColumn("db", F.when(large, F.pmod(F.xxhash64(*ROW_KEY, F.lit(2)), F.lit(buckets))).otherwise(F.lit(0)))
     )
     keys = ["shard", "k", "gb", "db"]
     sums = cut(b.groupBy(*keys).agg(F.count("*").alias("c")))
@@ -103,7 +103,7 @@ def settle(placed: DataFrame, rows: int, shards: int) -> DataFrame:
         have[r["shard"]] = r["c"]
     before = Window.partitionBy("shard").orderBy("k", "gb", "db").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(*keys, F.coalesce(F.sum("c").over(before), F.lit(0)).alias("o"))
-    inside = F.row_number().over(Window.partitionBy(*keys).orderBy("g", "doc_id", "_row")) - 1
+    inside = F.row_number().over(Window.partitionBy(*keys).orderBy("g", *ROW_KEY)) - 1
     ranked = b.withColumn("i", inside).join(offsets, keys).withColumn("rank", (F.col("o") + F.col("i")).cast("long"))
     extra, lack = [0], [0]
     for k in range(shards):
@@ -114,14 +114,14 @@ def settle(placed: DataFrame, rows: int, shards: int) -> DataFrame:
     slot = _pick(moved, have) + x - _pick(moved, lack[:-1])
     stays = F.col("rank") < _pick(F.col("shard"), room)
     return ranked.select(
-        "doc_id", "_row", "size", F.col("crc").alias("text_crc32"),
+        "doc_id", *ROW_KEY, "size", F.col("crc").alias("text_crc32"),
         F.when(stays, F.col("shard")).otherwise(moved).cast("int").alias("shard"),
         F.when(stays, F.col("rank")).otherwise(slot).cast("long").alias("slot"),
     )
 
 
 def shard_rows(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """docs: from `with_row_key`. (doc_id, _row, size, text_crc32, shard, slot)."""
+    """docs: from `with_row_key`. (doc_id, the row key, size, text_crc32, shard, slot)."""
     grouped = cut(_prepare(docs, shards))
     rows = grouped.count()
     linked = propagate(grouped.where("n > 1"), rows, shards)
@@ -132,6 +132,6 @@ def sharded_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """Rows of docs with `shard` and `slot`, which replace columns of those names."""
     slim = docs.drop("shard", "slot")
     keyed = with_row_key(slim)
-    facts = shard_rows(keyed, shards).select("doc_id", "_row", F.struct("shard", "slot").alias("fact"))
+    facts = shard_rows(keyed, shards).select(*ROW_KEY, F.struct("shard", "slot").alias("fact"))
     fact = fresh("fact", slim.columns)
     return attach(keyed, facts, fact).select(*(F.col(f"`{c}`") for c in slim.columns), F.col(fact)["shard"].alias("shard"), F.col(fact)["slot"].alias("slot"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagfold.llm.common import cut, with_row_key
+from tagfold.llm.common import ROW_KEY, cut, one_of_each, with_row_key
 from tagfold.llm.components import components
 
 SHINGLE_WORDS, MAX_BITS, SEED = 4, 4, 42
@@ -256,12 +256,10 @@ def keep_first(docs: DataFrame, words_per_shingle: int = SHINGLE_WORDS, max_bits
     """Rows of docs, one of each component: that of its smallest doc_id and, where rows repeat that doc_id, the least by
     a hash of the row. A component without any doc_id keeps one row too."""
     keyed = with_row_key(docs)
-    fps = cut(fingerprints(keyed, words_per_shingle, "_row"))
+    fps = cut(fingerprints(keyed, words_per_shingle, *ROW_KEY))
     labels = label_fingerprints(fps, max_bits)
-    named = fps.join(labels, "fp").select("root", "doc_id", "_row")
-    first = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("f"))
-    kept = cut(first.select("f.doc_id", "f._row"))
-    same = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & F.col("d._row").eqNullSafe(F.col("k._row"))
-    rows = keyed.alias("d").join(kept.alias("k"), same, "left_semi")
+    named = fps.join(labels, "fp").select("root", "doc_id", *ROW_KEY)
+    first = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *ROW_KEY)).alias("f"))
+    kept = cut(first.select(*(F.col("f")[k].alias(k) for k in ROW_KEY)))
     # rows equal in every column are one document
-    return rows.dropDuplicates(["doc_id", "_row"]).drop("_row")
+    return one_of_each(keyed).join(kept, ROW_KEY, "left_semi").drop(*ROW_KEY)

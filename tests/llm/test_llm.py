@@ -480,7 +480,7 @@ def test_components_of_a_path(spark):
 
 def test_attach_keeps_each_copy(spark, odd):
     keyed = with_row_key(odd)
-    facts = keyed.select("doc_id", "_row", F.struct(F.lit(1).alias("x")).alias("fact"))
+    facts = keyed.select("_row", "_row2", F.struct(F.lit(1).alias("x")).alias("fact"))
     assert attach(keyed, facts, "x").drop("x").exceptAll(odd).count() == 0 and attach(keyed, facts, "x").count() == odd.count()
 
 
