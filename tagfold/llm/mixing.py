@@ -188,12 +188,13 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
                 out.append(pd.DataFrame({"s": rows["s"], "block": block, "shard": rows["shard"], "turn": turn.astype("int32"), "take": np.where(j == n - 1, last, p.block_words)}))
             yield from out
 
+    # its size is not known to the planner, which would take it for small; it grows with the mix, so it is never broadcast
     slots = numbered.mapInPandas(place, "s int, block long, shard int, turn int, take long")
     covers = F.sequence(F.expr(f"start div {block_words}"), F.expr(f"(start + size - 1) div {block_words}"))
     pieces = placed.where("size > 0").select("s", "start", *ROW_KEY, "size", F.explode(covers).alias("block"))
     a = F.col("block") * block_words
     parts = (
-        pieces.join(slots, ["s", "block"])
+        pieces.join(slots.hint("merge"), ["s", "block"])
         .withColumn("low", F.greatest(F.col("start"), a) - F.col("start"))
         .withColumn("high", F.least(F.col("start") + F.col("size"), a + F.col("take")) - F.col("start"))
         .where("high > low")
