@@ -22,30 +22,37 @@ def _consensus_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame
 def group_consensus(rows: DataFrame) -> DataFrame:
     """rows: gkey, pos, seq, qual of groups of two or more. Order within a group is file order, so the result does not
     depend on how rows are dealt."""
-    members = rows.groupBy("gkey").agg(F.array_sort(F.collect_list(F.struct("pos", "seq", "qual"))).alias("members"))
+    # aligning costs far more than the bytes suggest by which small partitions would be merged, hence a given number
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    members = rows.repartition(tasks, "gkey").groupBy("gkey").agg(F.array_sort(F.collect_list(F.struct("pos", "seq", "qual"))).alias("members"))
     return members.mapInPandas(_consensus_batches, "gkey string, seq string, qual string")
 
 
+def _calls(g: DataFrame, numbered: DataFrame, sequences: DataFrame | None, duplicates_only: bool, report_original_reads: bool) -> DataFrame:
+    """Rows of the calls; `sequences` (gkey, seq, qual) of the larger groups, or None for headers alone."""
+    body = [] if sequences is None else ["seq", "qual"]
+    larger = numbered.where("n > 1") if sequences is None else sequences.join(numbered, "gkey")
+    one = [F.lit(1).alias("kind"), F.lit(0).cast("long").alias("i")]
+    out = larger.select("ug", *one, quality_tag(F.concat("gkey", read_tag("CON", F.col("ug"), n=F.col("n"))), F.col("quality")).alias("id"), *body)
+    if not duplicates_only:
+        out = out.unionByName(g.where("n = 1").select("ug", *one, quality_tag(F.concat("id", read_tag("SIN", F.col("ug"))), F.col("quality")).alias("id"), *body))
+    if report_original_reads:
+        tag = read_tag("ORIG", F.col("ug"), F.col("i"), F.col("n"))
+        out = out.unionByName(g.where("n > 1").select("ug", F.lit(0).alias("kind"), "i", F.concat("id", tag).alias("id"), *body))
+    return out
+
+
 def call_consensus(reads: DataFrame, index: DataFrame, duplicates_only: bool = False, report_original_reads: bool = False, exact_ids: bool = False, max_group_reads: int | None = None) -> DataFrame:
     """(ug, kind, i, id, seq, qual), one consensus row a group (kind 1, or a single's own read), originals of larger
     groups as kind 0 if asked for. Sort by (ug, kind, i) to write. A group beyond `max_group_reads` raises."""
     g = grouped_reads(reads, index, duplicates_only, exact_ids)
     if max_group_reads is not None:
         g = g.withColumn("n", F.when(F.col("n") <= max_group_reads, F.col("n")).otherwise(F.raise_error(F.lit("a group has more reads than max_group_reads")).cast("long")))
-    many = g.where("n > 1")
-    called = group_consensus(many.select("gkey", "pos", "seq", "qual")).join(number_groups(index, duplicates_only, exact_ids), "gkey")
-    out = called.select(
-        "ug", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("i"),
-        quality_tag(F.concat("gkey", read_tag("CON", F.col("ug"), n=F.col("n"))), F.col("quality")).alias("id"), "seq", "qual",
-    )
-    if not duplicates_only:
-        out = out.unionByName(g.where("n = 1").select(
-            "ug", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("i"),
-            quality_tag(F.concat("id", read_tag("SIN", F.col("ug"))), F.col("quality")).alias("id"), "seq", "qual",
-        ))
-    if report_original_reads:
-        out = out.unionByName(many.select(
-            "ug", F.lit(0).alias("kind"), "i",
-            F.concat("id", read_tag("ORIG", F.col("ug"), F.col("i"), F.col("n"))).alias("id"), "seq", "qual",
-        ))
-    return out
+    sequences = group_consensus(g.where("n > 1").select("gkey", "pos", "seq", "qual"))
+    return _calls(g, number_groups(index, duplicates_only, exact_ids), sequences, duplicates_only, report_original_reads)
+
+
+def call_headers(reads: DataFrame, index: DataFrame, duplicates_only: bool = False, report_original_reads: bool = False, exact_ids: bool = False) -> DataFrame:
+    """(ug, kind, i, id) of the same rows; nothing is aligned."""
+    g = grouped_reads(reads, index, duplicates_only, exact_ids)
+    return _calls(g, number_groups(index, duplicates_only, exact_ids), None, duplicates_only, report_original_reads)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tagfold.functions.intervals import Interval
 from tagfold.functions.scalars import fastq_lines, phred_average, phred_total
 from tagfold.operators import index as ix
-from tagfold.operators.consensus import call_consensus
+from tagfold.operators.consensus import call_consensus, call_headers
 from tagfold.operators.groups import number_groups, tag_groups
 from tagfold.operators.stats import duplicate_stats, group_sizes, size_histogram
 from tagfold.plans import fixture
@@ -37,7 +37,7 @@ def _group_keys(spark, d, exact):
 
 def _headers(spark, d, **more):
     reads = fixture.reads(spark, d)
-    return call_consensus(reads, build(spark, d).index, **more).select("ug", F.col("kind").cast("long").alias("kind"), "i", "id")
+    return call_headers(reads, build(spark, d).index, **more).withColumn("kind", F.col("kind").cast("long"))
 
 
 def _consensus(spark, d):
