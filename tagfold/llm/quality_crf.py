@@ -21,14 +21,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from tagfold.llm.common import fresh
 
 TRAIN_PER_CLASS = 3000
 STEPS, RATE, L2 = 250, 0.08, 1e-3
 #: Text bytes whose features are computed at once, unless a single text is longer.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 UPPER, LOWER, DIGIT, STOP, SYMBOL, HIGH = range(1, 7)
 SPACES = b" \t\n\r\x0b\x0c"
@@ -266,7 +266,7 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, per
     return train(features, first, label, weight)
 
 
-def _score_batches(field: Field, text: str = "_text", score: str = "score"):
+def _score_batches(field: Field, text: str, score: str, drop: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = LineFeatures()
         for b in batches:
@@ -275,7 +275,7 @@ def _score_batches(field: Field, text: str = "_text", score: str = "score"):
                 f, weight, first = make(data, offsets)
                 good, _, _ = marginals(field.log_odds(f), first, field.pair)
                 scores[a:z] = np.add.reduceat(good * weight, first[:-1]) / np.add.reduceat(weight, first[:-1])
-            names = [x for x in b.schema.names if x != text]
+            names = [x for x in b.schema.names if not drop or x != text]
             yield pa.RecordBatch.from_arrays([*(b.column(x) for x in names), pa.array(np.clip(scores, 0.0, 1.0))], [*names, score])
 
     return run
@@ -284,15 +284,17 @@ def _score_batches(field: Field, text: str = "_text", score: str = "score"):
 def score(docs: DataFrame, field: Field) -> DataFrame:
     """(doc_id, score), a row for each row of docs."""
     slim = docs.select("doc_id", F.col("text").cast("string").alias("_text"))
-    return slim.mapInArrow(_score_batches(field), f"doc_id {dict(slim.dtypes)['doc_id']}, score double")
+    return slim.mapInArrow(_score_batches(field, "_text", "score", True), f"doc_id {dict(slim.dtypes)['doc_id']}, score double")
 
 
 def keep_good(docs: DataFrame, field: Field, threshold: float = 0.5) -> DataFrame:
     """Rows of docs, with all their columns, whose score reaches the threshold."""
-    text, score = fresh("_text", docs.columns), fresh("score", docs.columns)
-    with_text = docs.withColumn(text, F.col("text").cast("string"))
+    score = fresh("score", docs.columns)
+    plain = isinstance(docs.schema["text"].dataType, StringType)  # else a copy as a string goes along
+    text = "text" if plain else fresh("_text", docs.columns)
+    with_text = docs if plain else docs.withColumn(text, F.col("text").cast("string"))
     schema = StructType([*docs.schema.fields, StructField(score, DoubleType())])
-    return with_text.mapInArrow(_score_batches(field, text, score), schema).where(F.col(score) >= threshold).drop(score)
+    return with_text.mapInArrow(_score_batches(field, text, score, not plain), schema).where(F.col(score) >= threshold).drop(score)
 
 
 def may_learn(doc_id: str = "doc_id") -> Column:
