@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tagfold.llm.common import fresh
 
@@ -146,12 +147,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, edit_share: float = EDIT
 def keep_clean(docs: DataFrame, benchmark: DataFrame, edit_share: float = EDIT_SHARE) -> DataFrame:
     """Rows of docs whose text holds no item, settled row by row without a join."""
     held = hold_items(benchmark)
-    text = fresh("_text", docs.columns)
+    plain = isinstance(docs.schema["text"].dataType, StringType)  # else a copy as a string goes along
+    text = "text" if plain else fresh("_text", docs.columns)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passages = Passages(held.value, edit_share)
         for b in batches:
             good = [not passages.hits(normalise(t.as_py())) for t in b.column(text)]
-            yield b.drop_columns([text]).filter(pa.array(good, pa.bool_()))
+            yield (b if plain else b.drop_columns([text])).filter(pa.array(good, pa.bool_()))
 
-    return docs.withColumn(text, F.col("text").cast("string")).mapInArrow(clean, docs.schema)
+    return (docs if plain else docs.withColumn(text, F.col("text").cast("string"))).mapInArrow(clean, docs.schema)
