@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 
 from tagfold.llm.common import cut
 
-BOOKS, WORDS, BEAM, ROUNDS = 8, 64, 4, 8
+BOOKS, WORDS, BEAM, ROUNDS = 24, 64, 4, 8
 TRAIN_ROWS, SEED = 16_384, 7
-BLOCK_ROWS, BLOCK_QUERIES, SHORTLIST, QUERIES_AT_ONCE = 8192, 4096, 256, 256
+BLOCK_ROWS, BLOCK_QUERIES, SHORTLIST, QUERIES_AT_ONCE = 8192, 4096, 384, 256
 
 
 def train(x: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int = ROUNDS, seed: int = SEED) -> np.ndarray:

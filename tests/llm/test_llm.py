@@ -208,6 +208,19 @@ def test_ann_recall(spark):
     assert all(abs(s - exact[q] @ exact[i]) < 1e-12 for q in list(want)[:20] for i, s in got[q])
 
 
+def test_ann_recall_in_a_full_block_of_random_vectors():
+    """The hardest case: no structure that books could learn, as many rows as a block holds."""
+    x = np.random.default_rng(8).normal(size=(ann_additive.BLOCK_ROWS, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    books = ann_additive.train(x)
+    codes = np.concatenate([ann_additive.encode(x[a : a + 2048], books) for a in range(0, len(x), 2048)])
+    near = sum(books[j][codes[:, j]] for j in range(len(books)))
+    q = np.arange(0, len(x), 100)
+    short = ann_additive.take_best(x[q] @ near.T, ann_additive.SHORTLIST)
+    true = np.argsort(-(x[q] @ x.T), axis=1)[:, :21]
+    assert np.mean([len(set(s) & set(t)) / 21 for s, t in zip(short, true, strict=True)]) >= 0.95
+
+
 def test_ann_ties_and_odd_rows(spark):
     rows = [(k, [1.0, 0.0], "x") for k in range(700, 0, -1)] + [(1000, [0.5, 0.5], "x"), (1000, [0.5, 0.5], "y"), (1003, None, "x"), (1001, [0.0, 0.0], "x"), (1002, [None, 1.0], "x"), (1004, [float("nan"), 1.0], "x"), (1005, [float("inf"), 1.0], "x"), (1006, [1.0], "x"), (None, [1.0, 1.0], "x"), (1007, [], "x")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string")
