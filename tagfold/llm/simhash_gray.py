@@ -11,11 +11,16 @@ bucket leaves the task: at most a row per member, however many pairs link.
 Empty or null texts have fingerprint zero and link like others. Rows repeated as they are, or with equal texts, share a
 fingerprint and so a component. Extra columns are ignored. A null doc_id is kept, and never is a component's name unless
 the component has no other.
+
+`keep_first` thins a corpus to one row of each group of copies: texts whose sets of five-word shingles have a Jaccard
+similarity of 0.8 or more, which lie at up to some 20 bits, where no intact block of 64 bits is left to deal by. There the
+buckets are keyed by runs of minima of the shingles' hashes. In each bucket the same tree links what is within MAX_BITS
+at once and gives the pairs within REACH_BITS of what is then still apart; these are settled on the whole shingle sets.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -29,49 +34,66 @@ from tagfold.llm.components import components
 SHINGLE_WORDS, MAX_BITS, SEED = 4, 4, 42
 FANOUT_BITS = 3
 WIDE = 1 << 24
+#: Copies: words a shingle, least similarity as a fraction, bits at which a pair is still worth comparing, and buckets of a
+#: text with the minima that key one (at a similarity of 0.8 two texts miss each other in all buckets 8 times in 10,000).
+COPY_WORDS, SIMILAR, REACH_BITS = 5, (4, 5), 22
+BANDS, MINIMA = 18, 5
+#: Representatives of at most 24 bytes that are broadcast to fetch their texts; more are joined by shuffling.
+BROADCAST_ROWS = 200_000
 #: Rows of whole buckets that are searched together, and pairs that are compared at once.
 ROWS_AT_ONCE, PAIRS_AT_ONCE = 1 << 16, 1 << 20
 HASHES_AT_ONCE = 1 << 16
 
 
-def fingerprint(text: bytes, words_per_shingle: int = SHINGLE_WORDS) -> int:
-    """Unsigned 64 bits; a bit is set if it is set in over half the shingles' hashes."""
+def _words(text: bytes) -> list[bytes]:
+    return text.lower().split()
+
+
+def shingle_hashes(words: list[bytes], words_per_shingle: int) -> Iterator[np.ndarray]:
+    """The hashes of all shingles, in runs."""
     import xxhash
 
-    words = text.lower().split()
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     k = min(words_per_shingle, len(words))
     starts, ends = starts[: len(words) - k + 1], ends[k - 1 :]
-    votes = np.zeros(64, np.int64)
     h = xxhash.xxh64_intdigest
     for a in range(0, len(starts), HASHES_AT_ONCE):
         z = slice(a, a + HASHES_AT_ONCE)
-        hashes = np.array([h(joined[i:j], SEED) for i, j in zip(starts[z].tolist(), ends[z].tolist(), strict=True)], "<u8")
+        yield np.array([h(joined[i:j], SEED) for i, j in zip(starts[z].tolist(), ends[z].tolist(), strict=True)], "<u8")
+
+
+def majority(runs: Iterable[np.ndarray]) -> int:
+    """Unsigned 64 bits; a bit is set if it is set in over half the hashes."""
+    votes, n = np.zeros(64, np.int64), 0
+    for hashes in runs:
         bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         votes += np.add.reduce(bits, axis=0, dtype=np.uint32)
-    set_bits = votes * 2 > len(starts)
-    return int(np.packbits(set_bits, bitorder="little").view("<u8")[0])
+        n += len(hashes)
+    return int(np.packbits(votes * 2 > n, bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: bytes, words_per_shingle: int = SHINGLE_WORDS) -> int:
+    return majority(shingle_hashes(_words(text), words_per_shingle))
 
 
-def _fingerprint_batches(words_per_shingle: int, carry: list[str]):
+def _fingerprint_batches(words_per_shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column("text").cast(pa.binary())
             found = np.fromiter((fingerprint(t.as_py() or b"", words_per_shingle) for t in texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in carry), pa.array(found.view(np.int64))], [*carry, "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 
     return run
 
 
-def fingerprints(docs: DataFrame, words_per_shingle: int = SHINGLE_WORDS, *carry: str) -> DataFrame:
-    """(doc_id, further long columns, fp): fp is the fingerprint's bits as a signed long."""
-    columns = ["doc_id", *carry]
-    slim = docs.select(*(F.col(c).cast("long").alias(c) for c in columns), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(_fingerprint_batches(words_per_shingle, columns), ", ".join(f"{c} long" for c in [*columns, "fp"]))
+def fingerprints(docs: DataFrame, words_per_shingle: int = SHINGLE_WORDS) -> DataFrame:
+    """(doc_id, fp): fp is the fingerprint's bits as a signed long."""
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return slim.mapInArrow(_fingerprint_batches(words_per_shingle), "doc_id long, fp long")
 
 
 def gray_rank(x: Column) -> Column:
@@ -149,6 +171,26 @@ class GrayForest:
             who, seen, node = np.repeat(who, n), np.repeat(seen, n), np.repeat(start[node], n) + at
         return np.concatenate(found_q), np.concatenate(found_leaf)
 
+    def pairs(self, queries: np.ndarray, q: np.ndarray, max_bits: int, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All (query, leaf after it) within reach whose labels differ; groups of the query's own label alone are passed
+        over whole."""
+        who, node, seen = queries, self.bucket[queries], np.zeros(len(queries), np.int64)
+        low, high = [label], [label]
+        for _, _, start, _ in self.levels[1:]:
+            low.append(np.minimum.reduceat(low[-1], start))
+            high.append(np.maximum.reduceat(high[-1], start))
+        for level in range(len(self.levels) - 1, -1, -1):
+            pattern, _, start, end = self.levels[level]
+            last = np.r_[self.first_leaf[level][1:], len(label)] - 1
+            seen = seen + np.bitwise_count((q[who] ^ pattern[node]) & self.residual[level][node])
+            keep = (seen <= max_bits) & (last[node] > who) & ((low[level][node] != label[who]) | (high[level][node] != label[who]))
+            who, node, seen = who[keep], node[keep], seen[keep]
+            if level:
+                n = end[node] - start[node]
+                at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                who, seen, node = np.repeat(who, n), np.repeat(seen, n), np.repeat(start[node], n) + at
+        return who, node
+
     def solid(self, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
         """Links of each leaf to the first of the group above it, where any two members of the group are within reach."""
         out = [(np.zeros(0, np.int64),) * 2]
@@ -177,46 +219,67 @@ def _union(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def forest_links(fps: np.ndarray, bucket: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a spanning forest of all links within the buckets; rows sorted by bucket and Gray rank."""
-    if len(fps) < 2:
-        return fps[:0], fps[:0]
-    tree = GrayForest(fps, bucket)
-    label = _union(np.arange(len(fps)), *tree.solid(max_bits))
+def _portions(bucket: np.ndarray) -> Iterator[np.ndarray]:
+    """All rows in runs that are compared with about PAIRS_AT_ONCE others, or of one row."""
     cost = np.cumsum(np.bincount(bucket)[bucket])
     at = 0
-    while at < len(fps):
+    while at < len(bucket):
         until = max(at + 1, int(np.searchsorted(cost, (cost[at - 1] if at else 0) + PAIRS_AT_ONCE, "right")))
-        label = _union(label, *tree.search(np.arange(at, until), fps, max_bits))
+        yield np.arange(at, until)
         at = until
+
+
+def forest_labels(tree: GrayForest, fps: np.ndarray, bucket: np.ndarray, max_bits: int) -> np.ndarray:
+    """The first row that links reach within the bucket, for each row."""
+    label = _union(np.arange(len(fps)), *tree.solid(max_bits))
+    for rows in _portions(bucket):
+        label = _union(label, *tree.search(rows, fps, max_bits))
+    return label
+
+
+def forest_links(fps: np.ndarray, bucket: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning forest of all links within the buckets; rows sorted by bucket and Gray rank."""
+    if len(fps) < 2:
+        return fps[:0], fps[:0]
+    label = forest_labels(GrayForest(fps, bucket), fps, bucket, max_bits)
     child = np.flatnonzero(label != np.arange(len(fps)))
     return fps[child], fps[label[child]]
 
 
-def _search_batches(max_bits: int):
-    def links(t: np.ndarray, key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-        new = np.r_[False, (t[1:] != t[:-1]) | (key[1:] != key[:-1])]
-        a, b = forest_links(fp.view(np.uint64), np.cumsum(new), max_bits)
-        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+def _whole_buckets(batches: Iterator[pa.RecordBatch], key: list[str], values: list[str]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """Runs of whole buckets, by rows that come sorted by key: the buckets' numbers from 0, and the columns of values."""
+    held: list[list[np.ndarray]] = []
+    n = 0
+
+    def run(columns: list[np.ndarray], new: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        return np.cumsum(np.r_[False, new]), columns[len(key) :]
+
+    def merged() -> tuple[list[np.ndarray], np.ndarray]:
+        columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+        return columns, np.any([c[1:] != c[:-1] for c in columns[: len(key)]], axis=0)
 
+    for batch in batches:
+        if batch.num_rows:
+            held.append([np.asarray(batch.column(c)) for c in (*key, *values)])
+            n += batch.num_rows
+        if n < ROWS_AT_ONCE:
+            continue
+        columns, new = merged()
+        changes = np.flatnonzero(new)
+        if len(changes):  # the last bucket may go on
+            end = int(changes[-1]) + 1
+            yield run([c[:end] for c in columns], new[: end - 1])
+            columns = [c[end:] for c in columns]
+        held, n = [columns], len(columns[0])
+    if n:
+        yield run(*merged())
+
+
+def _search_batches(max_bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        n = 0
-        for batch in batches:
-            if batch.num_rows:
-                held.append([np.asarray(batch.column(c)) for c in ("t", "key", "fp")])
-                n += batch.num_rows
-            if n < ROWS_AT_ONCE:
-                continue
-            t, key, fp = (np.concatenate(c) for c in zip(*held, strict=True))
-            changes = np.flatnonzero((t[1:] != t[:-1]) | (key[1:] != key[:-1]))
-            if len(changes):  # the last bucket may go on
-                end = int(changes[-1]) + 1
-                yield links(t[:end], key[:end], fp[:end])
-                t, key, fp = t[end:], key[end:], fp[end:]
-            held, n = [[t, key, fp]], len(t)
-        if n:
-            yield links(*(np.concatenate(c) for c in zip(*held, strict=True)))
+        for bucket, (fp,) in _whole_buckets(batches, ["t", "key"], ["fp"]):
+            a, b = forest_links(fp.view(np.uint64), bucket, max_bits)
+            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
     return run
 
@@ -252,14 +315,118 @@ def hex16(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_first(docs: DataFrame, words_per_shingle: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """Rows of docs, one of each component: that of its smallest doc_id and, where rows repeat that doc_id, the least by
-    a hash of the row. A component without any doc_id keeps one row too."""
+def _multipliers() -> np.ndarray:
+    return np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import xxhash
+
+    factors = _multipliers()
+    mix, band = factors[:MINIMA], np.arange(BANDS, dtype=np.uint64)
+    for b in batches:
+        class1, class2, fp, n = (np.zeros(b.num_rows, np.int64) for _ in range(4))
+        keys: list[np.ndarray | None] = []
+        for row, t in enumerate(b.column("text").cast(pa.binary())):
+            words = _words(t.as_py() or b"")
+            name = xxhash.xxh128_intdigest(b" ".join(words), SEED)
+            class1[row], class2[row] = _signed(name >> 64), _signed(name & (1 << 64) - 1)
+            runs = list(shingle_hashes(words, COPY_WORDS))
+            fp[row] = _signed(majority(runs))
+            if not runs:
+                keys.append(None)
+                continue
+            hashes = np.unique(np.concatenate(runs))
+            n[row] = len(hashes)
+            least = np.full(len(factors), ~np.uint64(0))
+            for a in range(0, len(hashes), 2048):
+                np.minimum(least, (hashes[a : a + 2048] * factors[:, None]).min(axis=1), out=least)
+            x = ((least.reshape(BANDS, MINIMA) >> np.uint64(7)) * mix).sum(axis=1) + band
+            keys.append(((x ^ x >> np.uint64(31)) * factors[-1]).view(np.int64))
+        arrays = [pa.array(class1), pa.array(class2), pa.array(fp), pa.array(n), pa.array(keys, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", *ROW_KEY)), *arrays], ["doc_id", *ROW_KEY, "c", "c2", "fp", "n", "keys"])
+
+
+def sketches(keyed: DataFrame) -> DataFrame:
+    """keyed: from `with_row_key`. For each row, two hashes of its words that together name its text, its fingerprint, its
+    number of distinct shingles and the keys of its buckets (null without words)."""
+    slim = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), *ROW_KEY, F.col("text").cast("string").alias("text"))
+    return slim.mapInArrow(_sketch_batches, "doc_id long, _row long, _row2 long, c long, c2 long, fp long, n long, keys array<long>")
+
+
+def _copy_batches(near_bits: int, far_bits: int):
+    up, down = SIMILAR
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["a", "b", "sure"]
+        for bucket, (fp, c, n) in _whole_buckets(batches, ["key"], ["fp", "c", "n"]):
+            many = np.bincount(bucket)[bucket] > 1
+            if not many.any():
+                continue
+            fp, c, n = fp[many].view(np.uint64), c[many], n[many]
+            bucket = np.cumsum(np.r_[False, np.diff(bucket[many]) > 0])
+            tree = GrayForest(fp, bucket)
+            label = forest_labels(tree, fp, bucket, near_bits)
+            child = np.flatnonzero(label != np.arange(len(fp)))
+            yield pa.RecordBatch.from_arrays([pa.array(c[child]), pa.array(c[label[child]]), pa.array(np.ones(len(child), bool))], names)
+            for rows in _portions(bucket):
+                a, b = tree.pairs(rows, fp, far_bits, label)
+                fit = down * np.minimum(n[a], n[b]) >= up * np.maximum(n[a], n[b])  # else no such similarity
+                a, b = a[fit], b[fit]
+                yield pa.RecordBatch.from_arrays([pa.array(c[a]), pa.array(c[b]), pa.array(np.zeros(len(a), bool))], names)
+
+    return run
+
+
+def _similar_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    up, down = SIMILAR
+
+    def shingles(text: pa.Scalar) -> np.ndarray:
+        return np.unique(np.concatenate(list(shingle_hashes(_words(text.as_py()), COPY_WORDS))))
+
+    for b in batches:
+        yes = []
+        for x, y in zip(b.column("x").cast(pa.binary()), b.column("y").cast(pa.binary()), strict=True):
+            s, t = shingles(x), shingles(y)
+            both = len(np.intersect1d(s, t, assume_unique=True))
+            yes.append(down * both >= up * (len(s) + len(t) - both))
+        yield b.select(["a", "b"]).filter(pa.array(yes, pa.bool_()))
+
+
+def similar_pairs(pairs: DataFrame, keyed: DataFrame, classes: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) of texts whose shingle sets are similar. Only texts that some pair names are shuffled."""
+    named = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
+    need = cut(classes.join(named, "c", "left_semi").select("c", F.col("best._row").alias("_row"), F.col("best._row2").alias("_row2")))
+    small = need.count() <= BROADCAST_ROWS
+    rows = keyed.select(*ROW_KEY, F.col("text").cast("string").alias("text")).join(F.broadcast(need) if small else need, ROW_KEY)
+    texts = cut(rows.select("c", "text").dropDuplicates(["c"]))
+    left, right = texts.select(F.col("c").alias("a"), F.col("text").alias("x")), texts.select(F.col("c").alias("b"), F.col("text").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_similar_batches, "a long, b long")
+
+
+def copy_groups(keyed: DataFrame, max_bits: int = MAX_BITS, reach_bits: int = REACH_BITS) -> DataFrame:
+    """keyed: from `with_row_key`. (c, root, best): each distinct text, its group and its row with the smallest doc_id.
+    Texts of a bucket link within `max_bits`, and within `reach_bits` if they are similar. Texts are named by 64 bits in
+    links and by 128 elsewhere."""
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *ROW_KEY)).alias("best")
+    classes = cut(sketches(keyed).groupBy("c", "c2").agg(best, *(F.first(x).alias(x) for x in ("fp", "n", "keys"))))
+    spread = classes.select("c", "fp", "n", F.explode("keys").alias("key"))
+    dealt = spread.repartition("key").withColumn("gray", gray_rank(F.col("fp"))).sortWithinPartitions("key", "gray", "c")
+    found = cut(dealt.select("key", "fp", "c", "n").mapInArrow(_copy_batches(max_bits, reach_bits), "a long, b long, sure boolean"))
+    roots = components(found.where("sure").select("a", "b"))
+    apart = found.where("not sure").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    for x in ("a", "b"):
+        apart = apart.join(roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")), x, "left")
+    apart = cut(apart.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"))
+    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(similar_pairs(apart, keyed, classes)))
+    return classes.join(roots, classes["c"] == roots["node"], "left").select("c", F.coalesce("root", "c").alias("root"), "best")
+
+
+def keep_first(docs: DataFrame, max_bits: int = MAX_BITS, reach_bits: int = REACH_BITS) -> DataFrame:
+    """Rows of docs, one of each group of copies: that of its smallest doc_id and, where rows repeat that doc_id, the least
+    by a hash of the row. A group without any doc_id keeps one row too; texts without words are copies of each other."""
     keyed = with_row_key(docs)
-    fps = cut(fingerprints(keyed, words_per_shingle, *ROW_KEY))
-    labels = label_fingerprints(fps, max_bits)
-    named = fps.join(labels, "fp").select("root", "doc_id", *ROW_KEY)
-    first = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *ROW_KEY)).alias("f"))
-    kept = cut(first.select(*(F.col("f")[k].alias(k) for k in ROW_KEY)))
+    first = copy_groups(keyed, max_bits, reach_bits).groupBy("root").agg(F.min("best").alias("best"))
+    kept = cut(first.select("best._row", "best._row2"))
     # rows equal in every column are one document
     return one_of_each(keyed).join(kept, ROW_KEY, "left_semi").drop(*ROW_KEY)

@@ -481,6 +481,64 @@ def test_simhash_odd(spark, odd, none):
     assert simhash_gray.keep_first(none).count() == 0
 
 
+def shingle_set(text, k=simhash_gray.COPY_WORDS):
+    words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
+    return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))}
+
+
+def similar(a, b):
+    return 5 * len(a & b) >= 4 * len(a | b)
+
+
+def check_kept(texts, kept):
+    """By comparing all pairs: no two kept texts are similar; what went hangs on a kept row by links that are allowed, and
+    what has no such link stays."""
+    ids = sorted(texts)
+    sets, fps = {d: shingle_set(texts[d]) for d in ids}, {d: slow_fingerprint(texts[d], simhash_gray.COPY_WORDS) for d in ids}
+    must, may = slow_groups(ids, lambda a, b: similar(sets[a], sets[b])), slow_groups(ids, lambda a, b: similar(sets[a], sets[b]) or (fps[a] ^ fps[b]).bit_count() <= 4)
+    assert len({must[d] for d in kept}) == len(kept)
+    assert {may[d] for d in kept} == set(may.values()) and all(d in kept or must[d] != d or may[d] != d for d in ids)
+
+
+def slow_groups(ids, linked):
+    root = {d: d for d in ids}
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            if root[a] != root[b] and linked(a, b):
+                low, high = sorted((root[a], root[b]))
+                root = {d: low if r == high else r for d, r in root.items()}
+    return root
+
+
+def test_copies_by_brute_force(spark):
+    rng = np.random.default_rng(9)
+    texts = {}
+    for g in range(25):
+        base = [f"w{x}" for x in rng.integers(0, 400, rng.integers(1, 160))]
+        for _ in range(int(rng.integers(1, 9))):
+            words = list(base)
+            for _ in range(int(rng.integers(0, 1 + len(words) // 40))):
+                words[rng.integers(0, len(words))] = f"x{rng.integers(0, 99)}"
+            texts[len(texts)] = " ".join(words) if g % 2 else "  ".join(words).upper()
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    kept = {r["doc_id"] for r in simhash_gray.keep_first(df).collect()}
+    assert len(kept) < len(texts)
+    check_kept(texts, kept)
+
+
+@pytest.mark.parametrize("labels", [1, 3, 1000])
+def test_tree_gives_all_pairs_of_different_labels(labels):
+    rng = np.random.default_rng(labels)
+    ball = rng.integers(0, 1 << 63, 9, dtype=np.uint64)
+    fps = np.unique(np.array([b ^ np.uint64(sum(1 << int(k) for k in rng.choice(64, 7, replace=False))) for b in ball for _ in range(40)], np.uint64))
+    bucket = np.sort(rng.integers(0, 4, len(fps)))
+    bucket = np.unique(bucket, return_inverse=True)[1]
+    label = rng.integers(0, labels, len(fps))
+    a, b = simhash_gray.GrayForest(fps, bucket).pairs(np.arange(len(fps)), fps, 12, label)
+    want = {(i, j) for i in range(len(fps)) for j in range(i + 1, len(fps)) if bucket[i] == bucket[j] and label[i] != label[j] and int(fps[i] ^ fps[j]).bit_count() <= 12}
+    assert len(a) == len(want) and set(zip(a.tolist(), b.tolist(), strict=True)) == want
+
+
 # the pipeline
 
 
@@ -509,8 +567,7 @@ def test_pipeline_stages(spark, sf, tmp_path):
     raw, good, single, clean, mixed, out = (x.collect() for x in seen)
     lost = {r["doc_id"] for r in raw} - {r["doc_id"] for r in good}
     assert {d for d, q in truth.items() if q == 0} <= lost and sum(truth.get(d) == 1 for d in lost) <= 1
-    comp = slow_components({r["doc_id"]: slow_fingerprint(r["text"]) for r in good})
-    assert {r["doc_id"] for r in single} == set(comp.values())
+    check_kept({r["doc_id"]: r["text"] for r in good}, {r["doc_id"] for r in single})
     assert {r["doc_id"] for r in clean} == {r["doc_id"] for r in single if not any(x in decontaminate.normalise(r["text"]) for x in items)}
     words = lambda rows: sum(len(r["text"].encode().split()) for r in rows)
     assert abs(words(mixed) - 1.5 * words(clean)) <= 20
