@@ -15,7 +15,11 @@ the component has no other.
 `keep_first` thins a corpus to one row of each group of copies: texts whose sets of five-word shingles have a Jaccard
 similarity of 0.8 or more, which lie at up to some 20 bits, where no intact block of 64 bits is left to deal by. There the
 buckets are keyed by runs of minima of the shingles' hashes. In each bucket the same tree links what is within MAX_BITS
-at once and gives the pairs within REACH_BITS of what is then still apart; these are settled on the whole shingle sets.
+at once and gives the pairs within REACH_BITS of what is then still apart. An odd sketch of each set (Mitzenmacher, Pagh,
+Pham 2014: a bit for each of 512 classes of hashes, set if an odd number of shingles falls in it) takes most of these
+out: sets differ in at least as many shingles as their sketches do in bits, so a pair whose sketches differ in more bits
+than a similar pair has shingles apart is not similar, and no similar pair is lost. The rest is settled on the whole
+shingle sets: first the nearest pair of each text, then what still joins different groups.
 """
 
 from __future__ import annotations
@@ -38,6 +42,7 @@ WIDE = 1 << 24
 #: text with the minima that key one (at a similarity of 0.8 two texts miss each other in all buckets 8 times in 10,000).
 COPY_WORDS, SIMILAR, REACH_BITS = 5, (4, 5), 22
 BANDS, MINIMA = 18, 5
+SKETCH_LONGS = 8
 #: Representatives of at most 24 bytes that are broadcast to fetch their texts; more are joined by shuffling.
 BROADCAST_ROWS = 200_000
 #: Rows of whole buckets that are searched together, and pairs that are compared at once.
@@ -319,6 +324,13 @@ def _multipliers() -> np.ndarray:
     return np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def odd_sketch(hashes: np.ndarray) -> np.ndarray:
+    """hashes: distinct. Bits, as longs, of which no more differ between two sets than there are hashes in one set alone."""
+    width = 64 * SKETCH_LONGS
+    odd = np.bincount((hashes % np.uint64(width)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import xxhash
 
@@ -327,6 +339,7 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     for b in batches:
         class1, class2, fp, n = (np.zeros(b.num_rows, np.int64) for _ in range(4))
         keys: list[np.ndarray | None] = []
+        odd = np.zeros((b.num_rows, SKETCH_LONGS), np.int64)
         for row, t in enumerate(b.column("text").cast(pa.binary())):
             words = _words(t.as_py() or b"")
             name = xxhash.xxh128_intdigest(b" ".join(words), SEED)
@@ -338,42 +351,53 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 continue
             hashes = np.unique(np.concatenate(runs))
             n[row] = len(hashes)
+            odd[row] = odd_sketch(hashes)
             least = np.full(len(factors), ~np.uint64(0))
             for a in range(0, len(hashes), 2048):
                 np.minimum(least, (hashes[a : a + 2048] * factors[:, None]).min(axis=1), out=least)
             x = ((least.reshape(BANDS, MINIMA) >> np.uint64(7)) * mix).sum(axis=1) + band
             keys.append(((x ^ x >> np.uint64(31)) * factors[-1]).view(np.int64))
-        arrays = [pa.array(class1), pa.array(class2), pa.array(fp), pa.array(n), pa.array(keys, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", *ROW_KEY)), *arrays], ["doc_id", *ROW_KEY, "c", "c2", "fp", "n", "keys"])
+        arrays = [pa.array(class1), pa.array(class2), pa.array(fp), pa.array(n), pa.array(keys, pa.list_(pa.int64())), pa.array(list(odd), pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", *ROW_KEY)), *arrays], ["doc_id", *ROW_KEY, "c", "c2", "fp", "n", "keys", "odd"])
 
 
 def sketches(keyed: DataFrame) -> DataFrame:
     """keyed: from `with_row_key`. For each row, two hashes of its words that together name its text, its fingerprint, its
-    number of distinct shingles and the keys of its buckets (null without words)."""
+    number of distinct shingles, the keys of its buckets (null without words) and its odd sketch."""
     slim = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), *ROW_KEY, F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(_sketch_batches, "doc_id long, _row long, _row2 long, c long, c2 long, fp long, n long, keys array<long>")
+    return slim.mapInArrow(_sketch_batches, "doc_id long, _row long, _row2 long, c long, c2 long, fp long, n long, keys array<long>, odd array<long>")
+
+
+SKETCH = [f"s{k}" for k in range(SKETCH_LONGS)]
 
 
 def _copy_batches(near_bits: int, far_bits: int):
     up, down = SIMILAR
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["a", "b", "sure"]
-        for bucket, (fp, c, n) in _whole_buckets(batches, ["key"], ["fp", "c", "n"]):
+        def out(a: np.ndarray, b: np.ndarray, far: np.ndarray | None) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int32()) if far is None else pa.array(far, pa.int32())], ["a", "b", "far"])
+
+        for bucket, columns in _whole_buckets(batches, ["key"], ["fp", "c", "n", *SKETCH]):
             many = np.bincount(bucket)[bucket] > 1
             if not many.any():
                 continue
-            fp, c, n = fp[many].view(np.uint64), c[many], n[many]
+            fp, c, n, *sketch = (x[many] for x in columns)
+            fp = fp.view(np.uint64)
             bucket = np.cumsum(np.r_[False, np.diff(bucket[many]) > 0])
             tree = GrayForest(fp, bucket)
             label = forest_labels(tree, fp, bucket, near_bits)
             child = np.flatnonzero(label != np.arange(len(fp)))
-            yield pa.RecordBatch.from_arrays([pa.array(c[child]), pa.array(c[label[child]]), pa.array(np.ones(len(child), bool))], names)
+            yield out(c[child], c[label[child]], None)
             for rows in _portions(bucket):
                 a, b = tree.pairs(rows, fp, far_bits, label)
                 fit = down * np.minimum(n[a], n[b]) >= up * np.maximum(n[a], n[b])  # else no such similarity
                 a, b = a[fit], b[fit]
-                yield pa.RecordBatch.from_arrays([pa.array(c[a]), pa.array(c[b]), pa.array(np.zeros(len(a), bool))], names)
+                far = np.zeros(len(a), np.int32)
+                for s in sketch:
+                    far += np.bitwise_count((s[a] ^ s[b]).view(np.uint64))
+                fit = (up + down) * far <= (down - up) * (n[a] + n[b])
+                yield out(c[a[fit]], c[b[fit]], far[fit])
 
     return run
 
@@ -384,24 +408,52 @@ def _similar_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     def shingles(text: pa.Scalar) -> np.ndarray:
         return np.unique(np.concatenate(list(shingle_hashes(_words(text.as_py()), COPY_WORDS))))
 
-    for b in batches:
+    last, t = None, None
+    for batch in batches:
         yes = []
-        for x, y in zip(b.column("x").cast(pa.binary()), b.column("y").cast(pa.binary()), strict=True):
-            s, t = shingles(x), shingles(y)
+        for b, x, y in zip(batch.column("b").to_pylist(), batch.column("x").cast(pa.binary()), batch.column("y").cast(pa.binary()), strict=True):
+            if b != last:  # pairs come sorted by b
+                last, t = b, shingles(y)
+            s = shingles(x)
             both = len(np.intersect1d(s, t, assume_unique=True))
             yes.append(down * both >= up * (len(s) + len(t) - both))
-        yield b.select(["a", "b"]).filter(pa.array(yes, pa.bool_()))
+        yield batch.select(["a", "b"]).filter(pa.array(yes, pa.bool_()))
 
 
-def similar_pairs(pairs: DataFrame, keyed: DataFrame, classes: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) of texts whose shingle sets are similar. Only texts that some pair names are shuffled."""
+def texts_of_pairs(pairs: DataFrame, keyed: DataFrame, classes: DataFrame) -> DataFrame:
+    """(c, text) of the texts that some pair names; only these are shuffled."""
     named = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
     need = cut(classes.join(named, "c", "left_semi").select("c", F.col("best._row").alias("_row"), F.col("best._row2").alias("_row2")))
     small = need.count() <= BROADCAST_ROWS
     rows = keyed.select(*ROW_KEY, F.col("text").cast("string").alias("text")).join(F.broadcast(need) if small else need, ROW_KEY)
-    texts = cut(rows.select("c", "text").dropDuplicates(["c"]))
+    return cut(rows.select("c", "text").dropDuplicates(["c"]))
+
+
+def similar_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) of texts whose shingle sets are similar."""
     left, right = texts.select(F.col("c").alias("a"), F.col("text").alias("x")), texts.select(F.col("c").alias("b"), F.col("text").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_similar_batches, "a long, b long")
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_similar_batches, "a long, b long")
+
+
+def still_apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (a, b) that join different groups."""
+    for x in ("a", "b"):
+        pairs = pairs.join(roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")), x, "left")
+    return pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).drop("root_a", "root_b")
+
+
+def settle(pairs: DataFrame, roots: DataFrame, keyed: DataFrame, classes: DataFrame) -> DataFrame:
+    """pairs: (a, b, far). roots, with the groups joined that similar pairs link. The nearest pair of each text goes first,
+    so that pairs inside the groups that these make, of which there may be as many as squares of members, need no look."""
+    pairs = cut(still_apart(pairs, roots))
+    texts = texts_of_pairs(pairs, keyed, classes)
+    ends = F.explode(F.array("a", "b")).alias("c")
+    first = pairs.select(ends, F.struct("far", "a", "b").alias("p")).groupBy("c").agg(F.min("p").alias("p")).select("p.a", "p.b").distinct()
+    edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    first = cut(first)
+    roots = components(edges.unionByName(similar_pairs(first, texts)))
+    rest = cut(still_apart(pairs.join(first, ["a", "b"], "left_anti"), roots))
+    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(similar_pairs(rest, texts)))
 
 
 def copy_groups(keyed: DataFrame, max_bits: int = MAX_BITS, reach_bits: int = REACH_BITS) -> DataFrame:
@@ -409,16 +461,13 @@ def copy_groups(keyed: DataFrame, max_bits: int = MAX_BITS, reach_bits: int = RE
     Texts of a bucket link within `max_bits`, and within `reach_bits` if they are similar. Texts are named by 64 bits in
     links and by 128 elsewhere."""
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *ROW_KEY)).alias("best")
-    classes = cut(sketches(keyed).groupBy("c", "c2").agg(best, *(F.first(x).alias(x) for x in ("fp", "n", "keys"))))
-    spread = classes.select("c", "fp", "n", F.explode("keys").alias("key"))
+    classes = cut(sketches(keyed).groupBy("c", "c2").agg(best, *(F.first(x).alias(x) for x in ("fp", "n", "keys", "odd"))))
+    spread = classes.select("c", "fp", "n", *(F.col("odd")[k].alias(x) for k, x in enumerate(SKETCH)), F.explode("keys").alias("key"))
     dealt = spread.repartition("key").withColumn("gray", gray_rank(F.col("fp"))).sortWithinPartitions("key", "gray", "c")
-    found = cut(dealt.select("key", "fp", "c", "n").mapInArrow(_copy_batches(max_bits, reach_bits), "a long, b long, sure boolean"))
-    roots = components(found.where("sure").select("a", "b"))
-    apart = found.where("not sure").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    for x in ("a", "b"):
-        apart = apart.join(roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")), x, "left")
-    apart = cut(apart.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"))
-    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(similar_pairs(apart, keyed, classes)))
+    found = cut(dealt.select("key", "fp", "c", "n", *SKETCH).mapInArrow(_copy_batches(max_bits, reach_bits), "a long, b long, far int"))
+    roots = components(found.where("far is null").select("a", "b"))
+    pairs = found.where("far is not null").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("far").alias("far"))
+    roots = settle(pairs, roots, keyed, classes)
     return classes.join(roots, classes["c"] == roots["node"], "left").select("c", F.coalesce("root", "c").alias("root"), "best")
 
 

@@ -526,6 +526,27 @@ def test_copies_by_brute_force(spark):
     check_kept(texts, kept)
 
 
+def test_odd_sketch_never_exceeds_the_difference():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 5, 80, 700, 9000):
+        pool = rng.integers(0, 1 << 63, n + n // 4, dtype=np.uint64)
+        a, b = (np.unique(rng.choice(pool, n, replace=False)) if n else pool for _ in range(2))
+        apart = np.bitwise_count((simhash_gray.odd_sketch(a) ^ simhash_gray.odd_sketch(b)).view(np.uint64)).sum()
+        assert apart <= len(np.setxor1d(a, b)) and (n != 80 or apart > 0)
+
+
+def test_large_group_of_copies_of_a_template(spark):
+    rng = np.random.default_rng(11)
+    base, texts = [f"w{x}" for x in range(120)], {}
+    for d in range(260):
+        words = list(base)
+        for _ in range(int(rng.integers(0, 6))):
+            words[rng.integers(0, len(words))] = f"x{rng.integers(0, 9999)}"
+        texts[d] = " ".join(words)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    check_kept(texts, {r["doc_id"] for r in simhash_gray.keep_first(df).collect()})
+
+
 @pytest.mark.parametrize("labels", [1, 3, 1000])
 def test_tree_gives_all_pairs_of_different_labels(labels):
     rng = np.random.default_rng(labels)
