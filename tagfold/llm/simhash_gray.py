@@ -19,7 +19,8 @@ at once and gives the pairs within REACH_BITS of what is then still apart. An od
 Pham 2014: a bit for each of 512 classes of hashes, set if an odd number of shingles falls in it) takes most of these
 out: sets differ in at least as many shingles as their sketches do in bits, so a pair whose sketches differ in more bits
 than a similar pair has shingles apart is not similar, and no similar pair is lost. The rest is settled on the whole
-shingle sets: first the nearest pair of each text, then what still joins different groups.
+shingle sets. A first pass gives the nearest pair of each text in each bucket; a second, over the buckets that hold more
+pairs than that, gives all that still join different groups.
 """
 
 from __future__ import annotations
@@ -371,33 +372,67 @@ def sketches(keyed: DataFrame) -> DataFrame:
 SKETCH = [f"s{k}" for k in range(SKETCH_LONGS)]
 
 
-def _copy_batches(near_bits: int, far_bits: int):
+def _fitting(tree: GrayForest, columns: list[np.ndarray], label: np.ndarray, far_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Runs of pairs of different labels that may be similar, with the bits in which their sketches differ."""
     up, down = SIMILAR
+    fp, _, n, *sketch = columns
+    for rows in _portions(tree.bucket):
+        a, b = tree.pairs(rows, fp, far_bits, label)
+        fit = down * np.minimum(n[a], n[b]) >= up * np.maximum(n[a], n[b])
+        a, b = a[fit], b[fit]
+        far = np.zeros(len(a), np.int64)
+        for s in sketch:
+            far += np.bitwise_count((s[a] ^ s[b]).view(np.uint64))
+        fit = (up + down) * far <= (down - up) * (n[a] + n[b])
+        yield a[fit], b[fit], far[fit]
+
+
+def _shared_buckets(batches: Iterator[pa.RecordBatch], values: list[str]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """As `_whole_buckets`, of buckets with two rows or more; the first column is the fingerprints."""
+    for bucket, columns in _whole_buckets(batches, ["key"], values):
+        many = np.bincount(bucket)[bucket] > 1
+        if many.any():
+            fp, *rest = (x[many] for x in columns)
+            yield np.cumsum(np.r_[False, np.diff(bucket[many]) > 0]), [fp.view(np.uint64), *rest]
+
+
+def _nearest_batches(near_bits: int, far_bits: int):
+    """(a, b, true): links; (a, b, false): the nearest pair of each text that may be similar; (key, null, null): a bucket
+    that holds more such pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(a: np.ndarray, b: np.ndarray, far: np.ndarray | None) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int32()) if far is None else pa.array(far, pa.int32())], ["a", "b", "far"])
+        def out(a: np.ndarray, b: np.ndarray | pa.Array, sure: bool | None) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array([sure] * len(a), pa.bool_())], ["a", "b", "sure"])
 
-        for bucket, columns in _whole_buckets(batches, ["key"], ["fp", "c", "n", *SKETCH]):
-            many = np.bincount(bucket)[bucket] > 1
-            if not many.any():
-                continue
-            fp, c, n, *sketch = (x[many] for x in columns)
-            fp = fp.view(np.uint64)
-            bucket = np.cumsum(np.r_[False, np.diff(bucket[many]) > 0])
+        for bucket, (key, *columns) in ((x, [y[1], y[0], *y[2:]]) for x, y in _shared_buckets(batches, ["fp", "key", "c", "n", *SKETCH])):
+            fp, c = columns[:2]
             tree = GrayForest(fp, bucket)
             label = forest_labels(tree, fp, bucket, near_bits)
             child = np.flatnonzero(label != np.arange(len(fp)))
-            yield out(c[child], c[label[child]], None)
-            for rows in _portions(bucket):
-                a, b = tree.pairs(rows, fp, far_bits, label)
-                fit = down * np.minimum(n[a], n[b]) >= up * np.maximum(n[a], n[b])  # else no such similarity
-                a, b = a[fit], b[fit]
-                far = np.zeros(len(a), np.int32)
-                for s in sketch:
-                    far += np.bitwise_count((s[a] ^ s[b]).view(np.uint64))
-                fit = (up + down) * far <= (down - up) * (n[a] + n[b])
-                yield out(c[a[fit]], c[b[fit]], far[fit])
+            yield out(c[child], c[label[child]], True)
+            none = np.iinfo(np.int64).max
+            nearest, fits = np.full(len(fp), none), np.zeros(bucket[-1] + 1, np.int64)
+            for a, b, far in _fitting(tree, columns, label, far_bits):
+                np.minimum.at(nearest, a, far << 32 | b)
+                np.minimum.at(nearest, b, far << 32 | a)
+                fits += np.bincount(bucket[a], minlength=len(fits))
+            a = np.flatnonzero(nearest != none)
+            b = nearest[a] & 0xFFFFFFFF
+            pairs = np.unique(np.minimum(a, b) << 32 | np.maximum(a, b))
+            a, b = pairs >> 32, pairs & 0xFFFFFFFF
+            yield out(c[a], c[b], False)
+            more = fits > np.bincount(bucket[a], minlength=len(fits))
+            more = key[np.flatnonzero(np.r_[True, np.diff(bucket) > 0])[more]]
+            yield out(more, pa.nulls(len(more), pa.int64()), None)
+
+    return run
+
+
+def _apart_batches(far_bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, (label, *columns) in ((x, [y[1], y[0], *y[2:]]) for x, y in _shared_buckets(batches, ["fp", "root", "c", "n", *SKETCH])):
+            for a, b, _ in _fitting(GrayForest(columns[0], bucket), columns, label, far_bits):
+                yield pa.RecordBatch.from_arrays([pa.array(columns[1][a]), pa.array(columns[1][b])], ["a", "b"])
 
     return run
 
@@ -435,25 +470,18 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_similar_batches, "a long, b long")
 
 
-def still_apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs (a, b) that join different groups."""
-    for x in ("a", "b"):
-        pairs = pairs.join(roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")), x, "left")
-    return pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).drop("root_a", "root_b")
+def _in_buckets(classes: DataFrame, *more: str) -> DataFrame:
+    sketch = (F.col("odd")[k].alias(x) for k, x in enumerate(SKETCH))
+    return classes.select("c", "fp", "n", *more, *sketch, F.explode("keys").alias("key"))
+
+
+def _dealt(buckets: DataFrame) -> DataFrame:
+    sorted_ = buckets.repartition("key").withColumn("gray", gray_rank(F.col("fp"))).sortWithinPartitions("key", "gray", "c")
+    return sorted_.drop("gray")
 
 
-def settle(pairs: DataFrame, roots: DataFrame, keyed: DataFrame, classes: DataFrame) -> DataFrame:
-    """pairs: (a, b, far). roots, with the groups joined that similar pairs link. The nearest pair of each text goes first,
-    so that pairs inside the groups that these make, of which there may be as many as squares of members, need no look."""
-    pairs = cut(still_apart(pairs, roots))
-    texts = texts_of_pairs(pairs, keyed, classes)
-    ends = F.explode(F.array("a", "b")).alias("c")
-    first = pairs.select(ends, F.struct("far", "a", "b").alias("p")).groupBy("c").agg(F.min("p").alias("p")).select("p.a", "p.b").distinct()
-    edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    first = cut(first)
-    roots = components(edges.unionByName(similar_pairs(first, texts)))
-    rest = cut(still_apart(pairs.join(first, ["a", "b"], "left_anti"), roots))
-    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(similar_pairs(rest, texts)))
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def copy_groups(keyed: DataFrame, max_bits: int = MAX_BITS, reach_bits: int = REACH_BITS) -> DataFrame:
@@ -462,12 +490,19 @@ def copy_groups(keyed: DataFrame, max_bits: int = MAX_BITS, reach_bits: int = RE
     links and by 128 elsewhere."""
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *ROW_KEY)).alias("best")
     classes = cut(sketches(keyed).groupBy("c", "c2").agg(best, *(F.first(x).alias(x) for x in ("fp", "n", "keys", "odd"))))
-    spread = classes.select("c", "fp", "n", *(F.col("odd")[k].alias(x) for k, x in enumerate(SKETCH)), F.explode("keys").alias("key"))
-    dealt = spread.repartition("key").withColumn("gray", gray_rank(F.col("fp"))).sortWithinPartitions("key", "gray", "c")
-    found = cut(dealt.select("key", "fp", "c", "n", *SKETCH).mapInArrow(_copy_batches(max_bits, reach_bits), "a long, b long, far int"))
-    roots = components(found.where("far is null").select("a", "b"))
-    pairs = found.where("far is not null").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("far").alias("far"))
-    roots = settle(pairs, roots, keyed, classes)
+    found = cut(_dealt(_in_buckets(classes)).mapInArrow(_nearest_batches(max_bits, reach_bits), "a long, b long, sure boolean"))
+    nearest = cut(_ordered(found.where("not sure")))
+    near = similar_pairs(nearest, texts_of_pairs(nearest, keyed, classes))
+    roots = components(found.where("sure").select("a", "b").unionByName(near))
+
+    grouped = classes.join(roots, classes["c"] == roots["node"], "left").drop("node").withColumn("root", F.coalesce("root", "c"))
+    fuller = cut(found.where("sure is null").select(F.col("a").alias("key")).distinct())
+    small = fuller.count() <= BROADCAST_ROWS
+    buckets = _in_buckets(grouped, "root").join(F.broadcast(fuller) if small else fuller, "key", "left_semi")
+    apart = _dealt(buckets).mapInArrow(_apart_batches(reach_bits), "a long, b long")
+    rest = cut(_ordered(apart).join(nearest, ["a", "b"], "left_anti"))
+    more = similar_pairs(rest, texts_of_pairs(rest, keyed, classes))
+    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     return classes.join(roots, classes["c"] == roots["node"], "left").select("c", F.coalesce("root", "c").alias("root"), "best")
 
 
