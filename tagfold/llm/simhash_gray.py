@@ -41,7 +41,7 @@ FANOUT_BITS = 3
 WIDE = 1 << 24
 #: Copies: words a shingle, least similarity as a fraction, bits at which a pair is still worth comparing, and buckets of a
 #: text with the minima that key one (at a similarity of 0.8 two texts miss each other in all buckets 8 times in 10,000).
-COPY_WORDS, SIMILAR, REACH_BITS = 5, (4, 5), 22
+COPY_WORDS, SIMILAR, REACH_BITS = 5, (4, 5), 32
 BANDS, MINIMA = 18, 5
 SKETCH_LONGS = 8
 #: Representatives of at most 24 bytes that are broadcast to fetch their texts; more are joined by shuffling.
