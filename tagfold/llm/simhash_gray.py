@@ -14,8 +14,8 @@ the component has no other.
 
 `keep_first` thins a corpus to one row of each group of copies: texts whose sets of five-word shingles have a Jaccard
 similarity of 0.8 or more, which lie at up to some 20 bits, where no intact block of 64 bits is left to deal by. There the
-buckets are keyed by runs of minima of the shingles' hashes. In each bucket the same tree links what is within MAX_BITS
-at once and gives the pairs within REACH_BITS of what is then still apart. An odd sketch of each set (Mitzenmacher, Pagh,
+buckets are keyed by runs of minima of the shingles' hashes. In each bucket the same tree gives the pairs within REACH_BITS
+of what is still apart; near fingerprints alone link nothing. An odd sketch of each set (Mitzenmacher, Pagh,
 Pham 2014: a bit for each of 512 classes of hashes, set if an odd number of shingles falls in it) takes most of these
 out: sets differ in at least as many shingles as their sketches do in bits, so a pair whose sketches differ in more bits
 than a similar pair has shingles apart is not similar, and no similar pair is lost. The rest is settled on the whole
@@ -235,19 +235,14 @@ def _portions(bucket: np.ndarray) -> Iterator[np.ndarray]:
         at = until
 
 
-def forest_labels(tree: GrayForest, fps: np.ndarray, bucket: np.ndarray, max_bits: int) -> np.ndarray:
-    """The first row that links reach within the bucket, for each row."""
-    label = _union(np.arange(len(fps)), *tree.solid(max_bits))
-    for rows in _portions(bucket):
-        label = _union(label, *tree.search(rows, fps, max_bits))
-    return label
-
-
 def forest_links(fps: np.ndarray, bucket: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges of a spanning forest of all links within the buckets; rows sorted by bucket and Gray rank."""
     if len(fps) < 2:
         return fps[:0], fps[:0]
-    label = forest_labels(GrayForest(fps, bucket), fps, bucket, max_bits)
+    tree = GrayForest(fps, bucket)
+    label = _union(np.arange(len(fps)), *tree.solid(max_bits))
+    for rows in _portions(bucket):
+        label = _union(label, *tree.search(rows, fps, max_bits))
     child = np.flatnonzero(label != np.arange(len(fps)))
     return fps[child], fps[label[child]]
 
@@ -396,23 +391,18 @@ def _shared_buckets(batches: Iterator[pa.RecordBatch], values: list[str]) -> Ite
             yield np.cumsum(np.r_[False, np.diff(bucket[many]) > 0]), [fp.view(np.uint64), *rest]
 
 
-def _nearest_batches(near_bits: int, far_bits: int):
-    """(a, b, true): links; (a, b, false): the nearest pair of each text that may be similar; (key, null, null): a bucket
-    that holds more such pairs."""
+def _nearest_batches(far_bits: int):
+    """(a, b): the nearest pair of each text that may be similar; (key, null): a bucket that holds more such pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(a: np.ndarray, b: np.ndarray | pa.Array, sure: bool | None) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array([sure] * len(a), pa.bool_())], ["a", "b", "sure"])
+        def out(a: np.ndarray, b: np.ndarray | pa.Array) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for bucket, (key, *columns) in ((x, [y[1], y[0], *y[2:]]) for x, y in _shared_buckets(batches, ["fp", "key", "c", "n", *SKETCH])):
             fp, c = columns[:2]
-            tree = GrayForest(fp, bucket)
-            label = forest_labels(tree, fp, bucket, near_bits)
-            child = np.flatnonzero(label != np.arange(len(fp)))
-            yield out(c[child], c[label[child]], True)
             none = np.iinfo(np.int64).max
             nearest, fits = np.full(len(fp), none), np.zeros(bucket[-1] + 1, np.int64)
-            for a, b, far in _fitting(tree, columns, label, far_bits):
+            for a, b, far in _fitting(GrayForest(fp, bucket), columns, np.arange(len(fp)), far_bits):
                 np.minimum.at(nearest, a, far << 32 | b)
                 np.minimum.at(nearest, b, far << 32 | a)
                 fits += np.bincount(bucket[a], minlength=len(fits))
@@ -420,10 +410,10 @@ def _nearest_batches(near_bits: int, far_bits: int):
             b = nearest[a] & 0xFFFFFFFF
             pairs = np.unique(np.minimum(a, b) << 32 | np.maximum(a, b))
             a, b = pairs >> 32, pairs & 0xFFFFFFFF
-            yield out(c[a], c[b], False)
+            yield out(c[a], c[b])
             more = fits > np.bincount(bucket[a], minlength=len(fits))
             more = key[np.flatnonzero(np.r_[True, np.diff(bucket) > 0])[more]]
-            yield out(more, pa.nulls(len(more), pa.int64()), None)
+            yield out(more, pa.nulls(len(more), pa.int64()))
 
     return run
 
@@ -484,19 +474,19 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def copy_groups(keyed: DataFrame, max_bits: int = MAX_BITS, reach_bits: int = REACH_BITS) -> DataFrame:
+def copy_groups(keyed: DataFrame, reach_bits: int = REACH_BITS) -> DataFrame:
     """keyed: from `with_row_key`. (c, root, best): each distinct text, its group and its row with the smallest doc_id.
-    Texts of a bucket link within `max_bits`, and within `reach_bits` if they are similar. Texts are named by 64 bits in
-    links and by 128 elsewhere."""
+    Texts of a bucket link within `reach_bits` if they are similar. Texts are named by 64 bits in links and by 128
+    elsewhere."""
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *ROW_KEY)).alias("best")
     classes = cut(sketches(keyed).groupBy("c", "c2").agg(best, *(F.first(x).alias(x) for x in ("fp", "n", "keys", "odd"))))
-    found = cut(_dealt(_in_buckets(classes)).mapInArrow(_nearest_batches(max_bits, reach_bits), "a long, b long, sure boolean"))
-    nearest = cut(_ordered(found.where("not sure")))
+    found = cut(_dealt(_in_buckets(classes)).mapInArrow(_nearest_batches(reach_bits), "a long, b long"))
+    nearest = cut(_ordered(found.where("b is not null")))
     near = similar_pairs(nearest, texts_of_pairs(nearest, keyed, classes))
-    roots = components(found.where("sure").select("a", "b").unionByName(near))
+    roots = components(near)
 
     grouped = classes.join(roots, classes["c"] == roots["node"], "left").drop("node").withColumn("root", F.coalesce("root", "c"))
-    fuller = cut(found.where("sure is null").select(F.col("a").alias("key")).distinct())
+    fuller = cut(found.where("b is null").select(F.col("a").alias("key")).distinct())
     small = fuller.count() <= BROADCAST_ROWS
     buckets = _in_buckets(grouped, "root").join(F.broadcast(fuller) if small else fuller, "key", "left_semi")
     apart = _dealt(buckets).mapInArrow(_apart_batches(reach_bits), "a long, b long")
@@ -506,11 +496,11 @@ def copy_groups(keyed: DataFrame, max_bits: int = MAX_BITS, reach_bits: int = RE
     return classes.join(roots, classes["c"] == roots["node"], "left").select("c", F.coalesce("root", "c").alias("root"), "best")
 
 
-def keep_first(docs: DataFrame, max_bits: int = MAX_BITS, reach_bits: int = REACH_BITS) -> DataFrame:
+def keep_first(docs: DataFrame, reach_bits: int = REACH_BITS) -> DataFrame:
     """Rows of docs, one of each group of copies: that of its smallest doc_id and, where rows repeat that doc_id, the least
     by a hash of the row. A group without any doc_id keeps one row too; texts without words are copies of each other."""
     keyed = with_row_key(docs)
-    first = copy_groups(keyed, max_bits, reach_bits).groupBy("root").agg(F.min("best").alias("best"))
+    first = copy_groups(keyed, reach_bits).groupBy("root").agg(F.min("best").alias("best"))
     kept = cut(first.select("best._row", "best._row2"))
     # rows equal in every column are one document
     return one_of_each(keyed).join(kept, ROW_KEY, "left_semi").drop(*ROW_KEY)

@@ -547,6 +547,19 @@ def test_large_group_of_copies_of_a_template(spark):
     check_kept(texts, {r["doc_id"] for r in simhash_gray.keep_first(df).collect()})
 
 
+def test_near_fingerprints_alone_are_no_copies(spark):
+    """Texts of one template under the similarity, of which some fingerprints lie within four bits by chance, all stay."""
+    rng = np.random.default_rng(13)
+    base = [f"w{x}" for x in range(104)]
+    texts = {d: " ".join(base + [f"d{d}x{x}" for x in range(int(rng.integers(22, 26)))]) for d in range(1500)}
+    sets = {d: shingle_set(t) for d, t in texts.items()}
+    assert not any(similar(sets[0], sets[d]) for d in range(1, 1500))
+    fps = np.array([slow_fingerprint(t, simhash_gray.COPY_WORDS) for t in texts.values()], np.uint64)
+    assert (np.bitwise_count(fps[:, None] ^ fps) <= 4).sum() > len(fps)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert simhash_gray.keep_first(df).count() == len(texts)
+
+
 @pytest.mark.parametrize("labels", [1, 3, 1000])
 def test_tree_gives_all_pairs_of_different_labels(labels):
     rng = np.random.default_rng(labels)
