@@ -14,8 +14,9 @@ the component has no other.
 
 `keep_first` thins a corpus to one row of each group of copies: texts whose sets of five-word shingles have a Jaccard
 similarity of 0.8 or more, which lie at up to some 20 bits, where no intact block of 64 bits is left to deal by. There the
-buckets are keyed by runs of minima of the shingles' hashes. In each bucket the same tree gives the pairs within REACH_BITS
-of what is still apart; near fingerprints alone link nothing. An odd sketch of each set (Mitzenmacher, Pagh,
+buckets are keyed by runs of minima of the shingles' hashes. In each bucket the same tree gives all pairs of what is still
+apart, at any bits: fingerprints weigh repeated shingles and sets do not, so equal sets may have any two fingerprints, and
+these neither link texts nor rule pairs out. An odd sketch of each set (Mitzenmacher, Pagh,
 Pham 2014: a bit for each of 512 classes of hashes, set if an odd number of shingles falls in it) takes most of these
 out: sets differ in at least as many shingles as their sketches do in bits, so a pair whose sketches differ in more bits
 than a similar pair has shingles apart is not similar, and no similar pair is lost. The rest is settled on the whole
@@ -39,9 +40,9 @@ from tagfold.llm.components import components
 SHINGLE_WORDS, MAX_BITS, SEED = 4, 4, 42
 FANOUT_BITS = 3
 WIDE = 1 << 24
-#: Copies: words a shingle, least similarity as a fraction, bits at which a pair is still worth comparing, and buckets of a
-#: text with the minima that key one (at a similarity of 0.8 two texts miss each other in all buckets 8 times in 10,000).
-COPY_WORDS, SIMILAR, REACH_BITS = 5, (4, 5), 32
+#: Copies: words a shingle, least similarity as a fraction, and buckets of a text with the minima that key one (at a
+#: similarity of 0.8 two texts miss each other in all buckets 8 times in 10,000).
+COPY_WORDS, SIMILAR = 5, (4, 5)
 BANDS, MINIMA = 18, 5
 SKETCH_LONGS = 8
 #: Representatives of at most 24 bytes that are broadcast to fetch their texts; more are joined by shuffling.
@@ -367,12 +368,12 @@ def sketches(keyed: DataFrame) -> DataFrame:
 SKETCH = [f"s{k}" for k in range(SKETCH_LONGS)]
 
 
-def _fitting(tree: GrayForest, columns: list[np.ndarray], label: np.ndarray, far_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _fitting(tree: GrayForest, columns: list[np.ndarray], label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Runs of pairs of different labels that may be similar, with the bits in which their sketches differ."""
     up, down = SIMILAR
     fp, _, n, *sketch = columns
     for rows in _portions(tree.bucket):
-        a, b = tree.pairs(rows, fp, far_bits, label)
+        a, b = tree.pairs(rows, fp, 64, label)
         fit = down * np.minimum(n[a], n[b]) >= up * np.maximum(n[a], n[b])
         a, b = a[fit], b[fit]
         far = np.zeros(len(a), np.int64)
@@ -391,40 +392,34 @@ def _shared_buckets(batches: Iterator[pa.RecordBatch], values: list[str]) -> Ite
             yield np.cumsum(np.r_[False, np.diff(bucket[many]) > 0]), [fp.view(np.uint64), *rest]
 
 
-def _nearest_batches(far_bits: int):
+def _nearest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b): the nearest pair of each text that may be similar; (key, null): a bucket that holds more such pairs."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(a: np.ndarray, b: np.ndarray | pa.Array) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-        for bucket, (key, *columns) in ((x, [y[1], y[0], *y[2:]]) for x, y in _shared_buckets(batches, ["fp", "key", "c", "n", *SKETCH])):
-            fp, c = columns[:2]
-            none = np.iinfo(np.int64).max
-            nearest, fits = np.full(len(fp), none), np.zeros(bucket[-1] + 1, np.int64)
-            for a, b, far in _fitting(GrayForest(fp, bucket), columns, np.arange(len(fp)), far_bits):
-                np.minimum.at(nearest, a, far << 32 | b)
-                np.minimum.at(nearest, b, far << 32 | a)
-                fits += np.bincount(bucket[a], minlength=len(fits))
-            a = np.flatnonzero(nearest != none)
-            b = nearest[a] & 0xFFFFFFFF
-            pairs = np.unique(np.minimum(a, b) << 32 | np.maximum(a, b))
-            a, b = pairs >> 32, pairs & 0xFFFFFFFF
-            yield out(c[a], c[b])
-            more = fits > np.bincount(bucket[a], minlength=len(fits))
-            more = key[np.flatnonzero(np.r_[True, np.diff(bucket) > 0])[more]]
-            yield out(more, pa.nulls(len(more), pa.int64()))
-
-    return run
-
-
-def _apart_batches(far_bits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, (label, *columns) in ((x, [y[1], y[0], *y[2:]]) for x, y in _shared_buckets(batches, ["fp", "root", "c", "n", *SKETCH])):
-            for a, b, _ in _fitting(GrayForest(columns[0], bucket), columns, label, far_bits):
-                yield pa.RecordBatch.from_arrays([pa.array(columns[1][a]), pa.array(columns[1][b])], ["a", "b"])
-
-    return run
+    def out(a: np.ndarray, b: np.ndarray | pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    for bucket, (key, *columns) in ((x, [y[1], y[0], *y[2:]]) for x, y in _shared_buckets(batches, ["fp", "key", "c", "n", *SKETCH])):
+        fp, c = columns[:2]
+        none = np.iinfo(np.int64).max
+        nearest, fits = np.full(len(fp), none), np.zeros(bucket[-1] + 1, np.int64)
+        for a, b, far in _fitting(GrayForest(fp, bucket), columns, np.arange(len(fp))):
+            np.minimum.at(nearest, a, far << 32 | b)
+            np.minimum.at(nearest, b, far << 32 | a)
+            fits += np.bincount(bucket[a], minlength=len(fits))
+        a = np.flatnonzero(nearest != none)
+        b = nearest[a] & 0xFFFFFFFF
+        pairs = np.unique(np.minimum(a, b) << 32 | np.maximum(a, b))
+        a, b = pairs >> 32, pairs & 0xFFFFFFFF
+        yield out(c[a], c[b])
+        more = fits > np.bincount(bucket[a], minlength=len(fits))
+        more = key[np.flatnonzero(np.r_[True, np.diff(bucket) > 0])[more]]
+        yield out(more, pa.nulls(len(more), pa.int64()))
+
+
+def _apart_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for bucket, (label, *columns) in ((x, [y[1], y[0], *y[2:]]) for x, y in _shared_buckets(batches, ["fp", "root", "c", "n", *SKETCH])):
+        for a, b, _ in _fitting(GrayForest(columns[0], bucket), columns, label):
+            yield pa.RecordBatch.from_arrays([pa.array(columns[1][a]), pa.array(columns[1][b])], ["a", "b"])
 
 
 def _similar_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -474,13 +469,12 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def copy_groups(keyed: DataFrame, reach_bits: int = REACH_BITS) -> DataFrame:
+def copy_groups(keyed: DataFrame) -> DataFrame:
     """keyed: from `with_row_key`. (c, root, best): each distinct text, its group and its row with the smallest doc_id.
-    Texts of a bucket link within `reach_bits` if they are similar. Texts are named by 64 bits in links and by 128
-    elsewhere."""
+    Texts of a bucket link if they are similar. Texts are named by 64 bits in links and by 128 elsewhere."""
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *ROW_KEY)).alias("best")
     classes = cut(sketches(keyed).groupBy("c", "c2").agg(best, *(F.first(x).alias(x) for x in ("fp", "n", "keys", "odd"))))
-    found = cut(_dealt(_in_buckets(classes)).mapInArrow(_nearest_batches(reach_bits), "a long, b long"))
+    found = cut(_dealt(_in_buckets(classes)).mapInArrow(_nearest_batches, "a long, b long"))
     nearest = cut(_ordered(found.where("b is not null")))
     near = similar_pairs(nearest, texts_of_pairs(nearest, keyed, classes))
     roots = components(near)
@@ -489,18 +483,18 @@ def copy_groups(keyed: DataFrame, reach_bits: int = REACH_BITS) -> DataFrame:
     fuller = cut(found.where("b is null").select(F.col("a").alias("key")).distinct())
     small = fuller.count() <= BROADCAST_ROWS
     buckets = _in_buckets(grouped, "root").join(F.broadcast(fuller) if small else fuller, "key", "left_semi")
-    apart = _dealt(buckets).mapInArrow(_apart_batches(reach_bits), "a long, b long")
+    apart = _dealt(buckets).mapInArrow(_apart_batches, "a long, b long")
     rest = cut(_ordered(apart).join(nearest, ["a", "b"], "left_anti"))
     more = similar_pairs(rest, texts_of_pairs(rest, keyed, classes))
     roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     return classes.join(roots, classes["c"] == roots["node"], "left").select("c", F.coalesce("root", "c").alias("root"), "best")
 
 
-def keep_first(docs: DataFrame, reach_bits: int = REACH_BITS) -> DataFrame:
+def keep_first(docs: DataFrame) -> DataFrame:
     """Rows of docs, one of each group of copies: that of its smallest doc_id and, where rows repeat that doc_id, the least
     by a hash of the row. A group without any doc_id keeps one row too; texts without words are copies of each other."""
     keyed = with_row_key(docs)
-    first = copy_groups(keyed, reach_bits).groupBy("root").agg(F.min("best").alias("best"))
+    first = copy_groups(keyed).groupBy("root").agg(F.min("best").alias("best"))
     kept = cut(first.select("best._row", "best._row2"))
     # rows equal in every column are one document
     return one_of_each(keyed).join(kept, ROW_KEY, "left_semi").drop(*ROW_KEY)

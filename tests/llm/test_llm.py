@@ -560,6 +560,17 @@ def test_near_fingerprints_alone_are_no_copies(spark):
     assert simhash_gray.keep_first(df).count() == len(texts)
 
 
+def test_copies_with_repeated_lines_of_their_own(spark):
+    """Equal bodies, each with a line of its own many times: similar sets, but fingerprints of all distances."""
+    texts = {}
+    for d in range(60):
+        body, own = [f"b{d // 2}x{x}" for x in range(304)], [f"l{d}x{x}" for x in range(15)]
+        texts[d] = " ".join(body + own * 60)
+    assert all(similar(shingle_set(texts[d]), shingle_set(texts[d + 1])) for d in range(0, 60, 2))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash_gray.keep_first(df).collect()) == list(range(0, 60, 2))
+
+
 @pytest.mark.parametrize("labels", [1, 3, 1000])
 def test_tree_gives_all_pairs_of_different_labels(labels):
     rng = np.random.default_rng(labels)
