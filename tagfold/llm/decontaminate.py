@@ -7,8 +7,9 @@ around every piece hit Myers' bit-parallel distance (1999) settles whether the i
 already verified for the item are not verified again.
 
 Items are collected to the driver, up to MAX_ITEM_BYTES in all (a benchmark is a stated set that does not grow with the
-corpus); a larger table raises. Items of fewer than MIN_CHARS normalised characters are left out, as they would hit by
-chance; null and empty ones with them. Null texts hit nothing. A document and item
+corpus); a larger table raises. Items of fewer than MIN_CHARS normalised characters, which would hit by chance, must be
+there without an edit and as whole words. Null and empty items are left out; items without an id count, and all of them are
+one item with a null id in the result. Null texts hit nothing. A document and item
 give one row, however often the document row is repeated; extra columns are ignored.
 """
 
@@ -73,12 +74,17 @@ def myers(pattern: str, text: str) -> tuple[int, int]:
     return best, at
 
 
+def whole_words(text: str, a: int, b: int) -> bool:
+    """Whether no word goes on over either end of text[a:b]."""
+    return not (a and text[a - 1].isalnum() and text[a].isalnum()) and not (b < len(text) and text[b - 1].isalnum() and text[b].isalnum())
+
+
 class Passages:
-    def __init__(self, items: list[tuple[int, str]], share: float = EDIT_SHARE) -> None:
+    def __init__(self, items: list[tuple[int | None, str]], share: float = EDIT_SHARE) -> None:
         import ahocorasick
 
-        self.items = [(i, t) for i, t in items if len(t) >= MIN_CHARS]
-        self.errors = [budget(t, share) for _, t in self.items]
+        self.items = [(i, t) for i, t in items if t]
+        self.errors = [budget(t, share) if len(t) >= MIN_CHARS else 0 for _, t in self.items]
         owners: dict[str, list[tuple[int, int]]] = {}
         for k, (_, t) in enumerate(self.items):
             for place, piece in pieces(t, self.errors[k]):
@@ -102,6 +108,10 @@ class Passages:
                     continue
                 item, e = self.items[k][1], self.errors[k]
                 start = end + 1 - n - place
+                if len(item) < MIN_CHARS:  # its one piece is the item
+                    if whole_words(text, start, end + 1):
+                        found[k] = 0
+                    continue
                 a, b = max(0, start - e), start + len(item) + e
                 if (a, b) == done.get(k):
                     continue
@@ -118,11 +128,11 @@ class Passages:
 
 def hold_items(benchmark: DataFrame):
     """The items, normalised and sorted, as a broadcast value of proven size."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null and item_id is not null").distinct()
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     if size > MAX_ITEM_BYTES:
         raise ValueError(f"benchmark items take {size} bytes; the bound is {MAX_ITEM_BYTES}")
-    return benchmark.sparkSession.sparkContext.broadcast(sorted((r[0], normalise(r[1])) for r in items.collect()))
+    return benchmark.sparkSession.sparkContext.broadcast(sorted(((r[0], normalise(r[1])) for r in items.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1])))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, edit_share: float = EDIT_SHARE) -> DataFrame:

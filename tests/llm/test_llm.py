@@ -312,6 +312,15 @@ def test_decontamination_query(spark, sf, odd, none):
     assert decontaminate.contaminated(odd, bench.limit(0)).count() == 0
 
 
+def test_short_items_and_items_without_id(spark):
+    long = "a passage of the benchmark without any id"
+    texts = ["He said: Forty  Two!", "forty twofold", "forty tw", f"see {long.upper()} here", "clean", None, "x forty-two"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "Forty two"), (None, long), (None, "forty-two"), (2, ""), (3, None)], "item_id long, text string")
+    assert {tuple(r) for r in decontaminate.contaminated(docs, bench).collect()} == {(0, 1, 0), (3, None, 0), (6, None, 0)}
+    assert sorted(r["doc_id"] for r in decontaminate.keep_clean(docs, bench).collect()) == [1, 2, 4, 5]
+
+
 # 7
 
 
