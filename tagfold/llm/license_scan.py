@@ -6,8 +6,8 @@ calibrated by one temperature, fitted to predictions on rows left out of trainin
 on. It is confirmed if the paragraph holds MIN_SHARE or more of the n-grams of one of the family's templates.
 
 Scoring is DataFrame expressions alone: n-grams are exploded and joined with the weights, a table as small as the training
-table. Every template holds a cue word, and a paragraph must hold one to be scored, so the rest is not exploded: a confirmed
-paragraph shares a cue. Weights are whole numbers (in millionths), so margins do not depend on the order of sums.
+table. A paragraph must hold a key word to be scored, so the rest is not exploded; a confirmed paragraph always does (`keys`).
+Weights are whole numbers (in millionths), so margins do not depend on the order of sums.
 
 Null and empty texts have no paragraphs. Rows repeated as they are count again. Extra columns are ignored.
 """
@@ -45,6 +45,8 @@ OTHERS = (
     "The committee released its report under pressure.", "This work is difficult.", "Version 2.0 of the game sold well.",
 )
 CUES = ("license", "licensed", "licence", "licenced", "copyright", "spdx", "reserved", "permission", "redistribute", "redistribution", "lgpl", "gpl", "cc0")
+#: Words of templates that are too common to look for.
+COMMON = frozenset("2.0 3 4.0 1.0 a all an and any be by for free in is it may no not of or part person source subject that the this to under version with work you".split())
 TOKEN = r"[^a-z0-9.]+"
 
 
@@ -121,11 +123,22 @@ def _tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     return w, spark.createDataFrame(rows, "gram string, family string, template int, template_size int")
 
 
+@lru_cache(maxsize=1)
+def keys() -> tuple[str, ...]:
+    """Words of which every confirmed paragraph holds one: without them, less than MIN_SHARE of any template is left."""
+    found = {w for ts in TEMPLATES.values() for t in ts for w in words(t)} - COMMON
+    for ts in TEMPLATES.values():
+        for g in map(grams, ts):
+            if 100 * sum(found.isdisjoint(x.split()) for x in g) >= MIN_SHARE_PERCENT * len(g):
+                raise ValueError(f"a template can be confirmed without a key: {sorted(g)}")
+    return tuple(sorted(found))
+
+
 def paragraph_grams(docs: DataFrame) -> DataFrame:
-    """(doc_id, paragraph, copy, gram): distinct n-grams of the paragraphs that hold a cue."""
-    cue = r"(?i)(?:^|[^a-z0-9])(?:" + "|".join(CUES) + r")(?:$|[^a-z0-9])"
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.col("text").rlike("(?i)" + "|".join(CUES)))
-    lines = rows.select("doc_id", F.posexplode(F.split("text", "\n"))).where(F.col("col").rlike(cue))
+    """(doc_id, paragraph, copy, gram): distinct n-grams of the paragraphs that hold a key."""
+    key = r"(?:^|[^a-z0-9])(?:" + "|".join(x.replace(".", "[.]") for x in keys()) + r")(?:$|[^a-z0-9])"
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.lower("text").rlike(key))
+    lines = rows.select("doc_id", F.posexplode(F.split("text", "\n"))).where(F.lower("col").rlike(key))
     trimmed = F.filter(F.transform(F.split(F.lower("col"), TOKEN), lambda x: F.trim(x, F.lit("."))), lambda x: x != "")
     w = lines.select("doc_id", F.col("pos").cast("long").alias("paragraph"), F.md5("col").alias("line"), trimmed.alias("w"))
     pairs = F.when(F.size("w") > 1, F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))

@@ -414,6 +414,12 @@ def test_licences(spark, odd, none):
     assert license_scan.licences(odd).count() == 0 and license_scan.licences(none).count() == 0
 
 
+def test_each_template_by_itself(spark):
+    rows = [(f, t) for f, ts in license_scan.TEMPLATES.items() for t in ts] + [("CC-BY", "Released under CC BY 4.0."), ("CC-BY-SA", "Shared under CC BY-SA 4.0.")]
+    df = spark.createDataFrame([(k, f"Some words.\n{t}\nmore") for k, (_, t) in enumerate(rows)], "doc_id long, text string")
+    assert {(r["doc_id"], r["family"]) for r in license_scan.licences(df).collect()} == {(k, f) for k, (f, _) in enumerate(rows)}
+
+
 # 10
 
 
