@@ -1,6 +1,7 @@
 """Operator 9: licence families of paragraphs, by a trained classifier that template comparison confirms.
 
-A paragraph is a line of a text. Its words (a-z, 0-9, dots within) give one-word and two-word n-grams; a multinomial
+A paragraph is a line of a text, or a run of neighbouring lines, none without words, whose inner lines hold fewer words than
+the longest template: a notice of a template's length, however it is wrapped, lies in such a run. Its words (a-z, 0-9, dots within) give one-word and two-word n-grams; a multinomial
 logistic regression over the n-grams that its training table holds names a family or `unknown`. The probability is
 calibrated by one temperature, fitted to predictions on rows left out of training, and a family counts from MIN_PROBABILITY
 on. It is confirmed if the paragraph holds MIN_SHARE or more of the n-grams of one of the family's templates.
@@ -15,9 +16,9 @@ Null and empty texts have no paragraphs. Rows repeated as they are count again.
 from __future__ import annotations
 
 import math
-from functools import lru_cache
+from functools import lru_cache, reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 STEPS, RATE, L2, FOLDS = 150, 4.0, 1e-3, 4
@@ -46,7 +47,7 @@ OTHERS = (
 )
 CUES = ("license", "licensed", "licence", "licenced", "copyright", "spdx", "reserved", "permission", "redistribute", "redistribution", "lgpl", "gpl", "cc0")
 #: Words of templates that are too common to look for.
-COMMON = frozenset("2.0 3 4.0 1.0 a all an and any be by for free in is it may no not of or part person source subject that the this to under version with work you".split())
+COMMON = frozenset("1.0 2.0 2.1 3 3.0 4.0 a all and any are be by can copy file form free general in is it later library may mit no not of or part person software source subject the this to under use v version with work you".split())
 TOKEN = r"[^a-z0-9.]+"
 
 
@@ -135,25 +136,39 @@ def keys() -> tuple[str, ...]:
 
 
 def paragraph_grams(docs: DataFrame) -> DataFrame:
-    """(doc_id, paragraph, copy, gram): distinct n-grams of the paragraphs that hold a key."""
+    """(doc_id, src, paragraph, last, line, gram): distinct n-grams of the lines and runs of lines that hold a key and
+    enough of some template."""
     key = r"(?:^|[^a-z0-9])(?:" + "|".join(x.replace(".", "[.]") for x in keys()) + r")(?:$|[^a-z0-9])"
+    longest = max(len(words(t)) for ts in TEMPLATES.values() for t in ts)
+    cleaned = lambda c: F.filter(F.transform(F.split(F.lower(c), TOKEN), lambda x: F.trim(x, F.lit("."))), lambda x: x != "")
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.lower("text").rlike(key))
-    lines = rows.select("doc_id", F.posexplode(F.split("text", "\n"))).where(F.lower("col").rlike(key))
-    trimmed = F.filter(F.transform(F.split(F.lower("col"), TOKEN), lambda x: F.trim(x, F.lit("."))), lambda x: x != "")
-    w = lines.select("doc_id", F.col("pos").cast("long").alias("paragraph"), F.md5("col").alias("line"), trimmed.alias("w"))
+    lines = rows.select("doc_id", F.md5("text").alias("src"), F.split("text", "\n").alias("lines"))
+    lines = lines.select("*", F.transform("lines", lambda x: F.size(cleaned(x))).alias("n"), F.transform("lines", lambda x: F.lower(x).rlike(key)).alias("k"))
+    spans = f"""flatten(transform(sequence(0, size(lines) - 1), i -> transform(filter(sequence(i, least(i + {longest}, size(lines) - 1)),
+      j -> if(i = j, k[i], exists(slice(k, i + 1, j - i + 1), x -> x) and forall(slice(n, i + 1, j - i + 1), x -> x > 0)
+        and aggregate(slice(n, i + 2, j - i - 1), 0, (a, x) -> a + x) < {longest})), j -> named_struct('paragraph', i, 'last', j))))"""
+    at = lines.select("doc_id", "src", "lines", F.explode(F.expr(spans)).alias("s")).select("doc_id", "src", "s.*", F.expr("array_join(slice(lines, s.paragraph + 1, s.last - s.paragraph + 1), ' ')").alias("col"))
+    w = at.select("doc_id", "src", F.col("paragraph").cast("long").alias("paragraph"), F.col("last").cast("long").alias("last"), F.md5("col").alias("line"), cleaned(F.col("col")).alias("w"))
     pairs = F.when(F.size("w") > 1, F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
-    return w.select("doc_id", "paragraph", "line", F.explode(F.array_distinct(F.concat("w", pairs))).alias("gram"))
+    held = w.select("doc_id", "src", "paragraph", "last", "line", F.array_distinct(F.concat("w", pairs)).alias("grams"))
+    # what holds too little of every template cannot be confirmed
+    wanted = [grams(t) for ts in TEMPLATES.values() for t in ts]
+    enough = [F.size(F.array_intersect("grams", F.array(*map(F.lit, sorted(g))))) * 100 >= MIN_SHARE_PERCENT * len(g) for g in wanted]
+    near = held.where(reduce(Column.__or__, enough))
+    return near.select("doc_id", "src", "paragraph", "last", "line", F.explode("grams").alias("gram"))
 
 
 def classify(docs: DataFrame) -> DataFrame:
-    """(doc_id, paragraph, family, probability, share): paragraphs with a confirmed family, `share` in whole percent."""
+    """(doc_id, paragraph, last, line, family, probability, share, counts): lines, and runs of lines from paragraph to last,
+    with a confirmed family, `share` in whole percent; `counts` is 1 for a line and for the first of the least runs that
+    overlap, else 0."""
     spark = docs.sparkSession
     classes, weights, temperature = model()
     w, templates = _tables(spark)
     n = len(classes)
     # both tables are bounded by the training table
     scored = paragraph_grams(docs).join(F.broadcast(w), "gram", "left")
-    key = ["doc_id", "paragraph", "line"]
+    key = ["doc_id", "src", "paragraph", "last", "line"]
     # rows repeated as they are would add up their n-grams; their count is taken out again
     z = scored.groupBy(*key, "gram").agg(F.first("w").alias("w"))
     sums = [F.coalesce(F.sum(F.get("w", F.lit(c))), F.lit(0)) + F.lit(weights[""][c]) for c in range(n)]
@@ -162,16 +177,25 @@ def classify(docs: DataFrame) -> DataFrame:
     e = F.aggregate("z", F.lit(0.0), lambda a, x: a + F.exp((x - top) / F.lit(1e6 * temperature)))
     best = held.select(*key, "grams", (F.array_position("z", top) - 1).cast("int").alias("class"), (F.lit(1.0) / e).alias("probability"))
     named = best.withColumn("family", F.get(F.array(*map(F.lit, classes)), F.col("class"))).where((F.col("family") != UNKNOWN) & (F.col("probability") >= MIN_PROBABILITY))
-    met = named.select(*key, "family", "probability", F.explode("grams").alias("gram")).join(F.broadcast(templates), ["gram", "family"])
-    shares = met.groupBy(*key, "family", "probability", "template", "template_size").agg(F.count("*").alias("c"))
-    share = F.max(F.expr("(100 * c) div template_size")).alias("share")
-    return shares.groupBy(*key, "family", "probability").agg(share).where(F.col("share") >= MIN_SHARE_PERCENT).drop("line")
+    met = named.select(*key, "family", "probability", F.explode("grams").alias("gram")).join(F.broadcast(templates.withColumnRenamed("family", "of")), "gram")
+    shares = met.groupBy(*key, "family", "probability", "of", "template", "template_size").agg(F.count("*").alias("c"))
+    shares = shares.withColumn("share", F.expr("(100 * c) div template_size")).where(F.col("share") >= MIN_SHARE_PERCENT)
+    confirmed = shares.groupBy(*key, "family", "probability").agg(F.max(F.expr("if(of = family, share, null)")).alias("share"), F.collect_set("of").alias("covers")).where("share is not null")
+    # a run says nothing new of a family whose template a line of it, confirmed by itself, holds already
+    all_ = confirmed.groupBy("doc_id", "src").agg(F.collect_list(F.struct("paragraph", "last", "line", "family", "probability", "share", "covers")).alias("s"))
+    own = all_.withColumn("o", F.expr("filter(s, x -> x.paragraph = x.last)"))
+    new = own.withColumn("r", F.expr("filter(s, x -> x.paragraph < x.last and not exists(o, y -> y.paragraph between x.paragraph and x.last and array_contains(y.covers, x.family)))"))
+    least = new.withColumn("l", F.expr("filter(r, x -> not exists(r, y -> y.family = x.family and y.paragraph >= x.paragraph and y.last <= x.last and y.last - y.paragraph < x.last - x.paragraph))"))
+    first = "filter(l, x -> not exists(l, y -> y.family = x.family and y.paragraph < x.paragraph and y.last >= x.paragraph))"
+    marked = least.withColumn("f", F.expr(first)).select("doc_id", F.explode(F.expr("concat(transform(o, x -> struct(x, 1 as counts)), transform(r, x -> struct(x, if(array_contains(f, x), 1, 0) as counts)))")).alias("x"))
+    return marked.select("doc_id", "x.x.*", "x.counts").drop("covers")
 
 
 def licences(docs: DataFrame) -> DataFrame:
     """(doc_id, family, paragraphs, probability, share): documents with a confirmed licence; the greatest probability
     (four decimals) and template share (whole percent) of the paragraphs."""
-    return classify(docs).groupBy("doc_id", "family").agg(F.count("*").alias("paragraphs"), F.round(F.max("probability"), 4).alias("probability"), F.max("share").cast("long").alias("share"))
+    once = classify(docs).groupBy("doc_id", "paragraph", "last", "line", "family").agg(*(F.max(c).alias(c) for c in ("probability", "share", "counts")))
+    return once.groupBy("doc_id", "family").agg(F.sum("counts").alias("paragraphs"), F.round(F.max("probability"), 4).alias("probability"), F.max("share").cast("long").alias("share"))
 
 
 def oracle() -> str:

@@ -420,6 +420,21 @@ def test_each_template_by_itself(spark):
     assert {(r["doc_id"], r["family"]) for r in license_scan.licences(df).collect()} == {(k, f) for k, (f, _) in enumerate(rows)}
 
 
+WRAPPED = {
+    "LGPL": "/* This library is free software; you can redistribute it and/or\n * modify it under the terms of the GNU Lesser General Public\n * License as published by the Free Software Foundation. */",
+    "MPL-2.0": "// This Source Code Form is subject to the terms of the Mozilla\n// Public License, v. 2.0.",
+    "CC-BY-SA": "This work is licensed under a Creative\nCommons Attribution-ShareAlike 4.0\nInternational License.",
+    "MIT": "Permission is\nhereby granted,\nfree of charge,\nto any person\nobtaining a copy\nof this software",
+}
+
+
+def test_wrapped_notices(spark):
+    rows = [(k, f"Umber tolan wef.\n\n{t}\n\nDrel ost.") for k, t in enumerate(WRAPPED.values())]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["family"], r["paragraphs"]) for r in license_scan.licences(df).collect()}
+    assert got == {(k, f, 1) for k, f in enumerate(WRAPPED)}
+
+
 # 10
 
 
