@@ -6,3 +6,5 @@ from pyspark import cloudpickle
 
 # Python functions travel to executors whole, so the package need not be installed there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+VERSION = "0.2.0"

@@ -1,50 +1,74 @@
-"""Groups of reads that share a key: numbering, tagging, and consensus headers."""
+"""Groups of reads that share a key: numbering, tagging, and consensus headers.
+
+Two tables meet: the kept reads, and a table of groups with a number each. Both are dealt by the group key, the reads
+once. Group facts come from running windows, which spill, so no group is gathered in a value.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagfold.functions.scalars import group_key, read_tag, two_decimals
+from tagfold.operators.index import IndexResult
 from tagfold.operators.ordering import running_total
 
 #: Bytes of the read file that one range of the group numbering covers.
 RANGE_BYTES = 1 << 26
 
+KEPT = ("gkey", "id", "seq", "qual", "pos", "avg_qual")
+
+
+def kept_index(index: DataFrame, exact_ids: bool = False) -> DataFrame:
+    """(gkey, pos, avg_qual) of the kept rows of an index."""
+    return index.where(~F.col("ignored")).select(group_key(F.col("id"), exact_ids).alias("gkey"), "pos", "avg_qual")
+
+
+def kept_reads(reads: DataFrame, index: DataFrame, exact_ids: bool = False) -> DataFrame:
+    """Kept reads with their group key, of an index that came by itself. The join is on the start byte, so unmatched reads
+    are simply absent."""
+    return reads.select("id", "seq", "qual", "pos").join(kept_index(index, exact_ids), "pos").select(*KEPT)
+
 
-def join_reads(reads: DataFrame, index: DataFrame) -> DataFrame:
-    """Kept reads with their group key. The join is on the start byte, so unmatched reads are simply absent."""
-    kept = index.where(~F.col("ignored")).select(F.col("id").alias("identifier"), "pos", "avg_qual")
-    return reads.select("id", "seq", "qual", "pos").join(kept, "pos")
+def kept_of(result: IndexResult, exact_ids: bool = False) -> DataFrame:
+    """The same of an index built in this session: its marked reads have all columns, so nothing is joined."""
+    kept = result.marked.where(F.col("identifier").isNotNull() & ~F.col("ignored"))
+    return kept.withColumn("gkey", group_key(F.col("identifier"), exact_ids)).select(*KEPT)
 
 
-def number_groups(index: DataFrame, duplicates_only: bool = False, exact_ids: bool = False) -> DataFrame:
-    """(gkey, n, ug, quality): ug counts groups from 0 by first appearance; with `duplicates_only` singles use none.
+def number_groups(kept: DataFrame, duplicates_only: bool = False) -> DataFrame:
+    """kept: gkey, pos, avg_qual. (gkey, n, ug, quality): ug counts groups from 0 by first appearance; with
+    `duplicates_only` singles use none.
 
-    `quality` is the mean of the members' rounded means, added up in file order.
+    `quality` is the mean of the members' rounded means, added up in file order: a sum over a running frame, row by row.
     """
-    kept = index.where(~F.col("ignored")).withColumn("gkey", group_key(F.col("id"), exact_ids))
-    groups = kept.groupBy("gkey").agg(
-        F.count("*").alias("n"), F.min("pos").alias("first_pos"),
-        F.array_sort(F.collect_list(F.struct("pos", "avg_qual"))).alias("_q"),
-    ).withColumn("quality", F.aggregate("_q", F.lit(0.0), lambda a, x: a + x["avg_qual"]) / F.col("n")).drop("_q")
+    w = Window.partitionBy("gkey").orderBy("pos")
+    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = kept.select(
+        "gkey", F.row_number().over(w).cast("long").alias("n"), F.first("pos").over(so_far).alias("first_pos"),
+        F.sum("avg_qual").over(so_far).alias("_sum"), F.lead("pos").over(w).alias("_next"),
+    )
+    groups = running.where("_next is null").select("gkey", "n", "first_pos", (F.col("_sum") / F.col("n")).alias("quality"))
     if duplicates_only:
         groups = groups.where("n > 1")
     return running_total(groups, "first_pos", F.lit(1), RANGE_BYTES, "ug").select("gkey", "n", "ug", "quality")
 
 
-def grouped_reads(reads: DataFrame, index: DataFrame, duplicates_only: bool = False, exact_ids: bool = False) -> DataFrame:
-    """Kept reads with gkey, n, ug, quality and i, their place in the group from 1 in file order."""
-    rows = join_reads(reads, index).withColumn("gkey", group_key(F.col("identifier"), exact_ids))
-    rows = rows.withColumn("i", F.row_number().over(Window.partitionBy("gkey").orderBy("pos")).cast("long"))
-    return rows.join(number_groups(index, duplicates_only, exact_ids), "gkey")
+def grouped_reads(kept: DataFrame, duplicates_only: bool = False, tasks: int | None = None) -> DataFrame:
+    """kept: from `kept_reads` or `kept_of`. Its rows with n, ug, quality and i, their place in the group from 1 in file
+    order; a group's rows are together in a partition, in order. `tasks` fixes the number of partitions."""
+    numbered = number_groups(kept.select("gkey", "pos", "avg_qual"), duplicates_only)
+    dealt = kept if tasks is None else kept.repartition(tasks, "gkey")
+    # neither side has a proven bound
+    rows = dealt.join(numbered.hint("merge"), "gkey")
+    return rows.withColumn("i", F.row_number().over(Window.partitionBy("gkey").orderBy("pos")).cast("long"))
 
 
-def tag_groups(reads: DataFrame, index: DataFrame, exact_ids: bool = False) -> DataFrame:
+def tag_groups(kept: DataFrame) -> DataFrame:
     """(ug, i, id, seq, qual): every kept read, its header tagged with its place in its group."""
-    g = grouped_reads(reads, index, exact_ids=exact_ids)
+    g = grouped_reads(kept)
     return g.select("ug", "i", F.concat("id", read_tag("ORIG", F.col("ug"), F.col("i"), F.col("n"))).alias("id"), "seq", "qual")
 
 
-def quality_tag(tag, quality):
+def quality_tag(tag: Column, quality: Column) -> Column:
     return F.concat(tag, F.lit(" QL:f:"), two_decimals(quality))

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from tagfold.functions.identify import check_pattern, preset_identifier, regex_captures
 from tagfold.functions.intervals import Interval
 from tagfold.functions.scalars import phred_average, phred_total
+from tagfold.shared import hold
 
-#: Cluster maps up to this many bytes (as Spark estimates them) are broadcast by Spark itself; larger ones shuffle.
 GIB = 1 << 30
 
 
@@ -27,16 +27,17 @@ class UnequalCaptures(ValueError):
 class IndexResult:
     index: DataFrame
     metadata: DataFrame
-    #: every read with `identifier` (null: unmatched), `avg_qual`, `total_q`, `n_bases`, `ignored`
+    #: every read, all its columns, with `identifier` (null: unmatched), `avg_qual`, `total_q`, `n_bases`, `ignored`
     marked: DataFrame
 
 
 def mark_reads(reads: DataFrame, length=(0, 15000), quality=(0, float("inf"))) -> DataFrame:
-    """Adds total_q, n_bases, avg_qual and `ignored`; drops no read. An empty read is ignored (its mean is NaN)."""
+    """Adds total_q (unless the source gave it), n_bases, avg_qual and `ignored`; drops no read. An empty read is ignored
+    (its mean is NaN)."""
     length, quality = Interval.of(length), Interval.of(quality)
+    summed = reads if "total_q" in reads.columns else reads.withColumn("total_q", phred_total(F.col("qual")))
     return (
-        reads.withColumn("total_q", phred_total(F.col("qual")))
-        .withColumn("n_bases", F.octet_length("seq").cast("long"))
+        summed.withColumn("n_bases", F.octet_length("seq").cast("long"))
         .withColumn("avg_qual", phred_average(F.col("total_q"), F.col("n_bases")))
         .withColumn("ignored", ~(length.contains(F.col("n_bases")) & quality.contains(F.col("avg_qual"))))
     )
@@ -90,9 +91,12 @@ def check_matches(marked: DataFrame, skip_unmatched: bool) -> None:
         raise UnequalCaptures(f"reads have between {x['least']} and {x['most']} captures")
 
 
-def build_index(reads: DataFrame, preset: str | None = None, *, barcode_regex: str | None = None, clusters: DataFrame | None = None, skip_unmatched: bool = False, length=(0, 15000), quality=(0, float("inf")), check: bool = True) -> IndexResult:
-    """`check` runs the strict test eagerly; without it the caller answers for `check_matches`."""
+def build_index(reads: DataFrame, preset: str | None = None, *, barcode_regex: str | None = None, clusters: DataFrame | None = None, skip_unmatched: bool = False, length=(0, 15000), quality=(0, float("inf")), check: bool = True, once: bool = False) -> IndexResult:
+    """`check` runs the strict test eagerly; without it the caller answers for `check_matches`. With `once` the marked
+    reads are written to the shared folder in one pass over the source, and everything after reads them from there."""
     marked = identify(mark_reads(reads, length, quality), preset, barcode_regex, clusters)
+    if once:
+        marked = hold(marked, "marked")
     if check:
         check_matches(marked, skip_unmatched)
     index = marked.where(F.col("identifier").isNotNull()).select(

@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tagfold import jobs
 from tagfold.functions.intervals import Interval
 from tagfold.functions.scalars import fastq_lines, phred_average, phred_total
 from tagfold.operators import index as ix
 from tagfold.operators.consensus import call_consensus, call_headers
-from tagfold.operators.groups import number_groups, tag_groups
+from tagfold.operators.groups import kept_index, kept_of, number_groups, tag_groups
 from tagfold.operators.stats import duplicate_stats, group_sizes, size_histogram
 from tagfold.plans import fixture
+from tagfold.shared import new_folder
+from tagfold.sources.fastq import read_fastq, write_fasta, write_fastq
+from tagfold.sources.index_file import read_index_file
 
 LEN, QUAL = Interval.parse("22,60"), Interval.parse("15,24")
 CUSTOM = r"^([ATCG]{4})[ATCG]{12}_([ATCG]{6})([ATCG]{99})?"
@@ -35,21 +39,25 @@ def _group_keys(spark, d, exact):
     return group_sizes(index, exact)
 
 
+def _kept(spark, d):
+    """Kept reads after one pass over the source."""
+    return kept_of(build(spark, d, once=True))
+
+
 def _headers(spark, d, **more):
-    reads = fixture.reads(spark, d)
-    return call_headers(reads, build(spark, d).index, **more).withColumn("kind", F.col("kind").cast("long"))
+    return call_headers(_kept(spark, d), **more).withColumn("kind", F.col("kind").cast("long"))
 
 
 def _consensus(spark, d):
-    return call_consensus(fixture.reads(spark, d), build(spark, d).index)
+    return call_consensus(_kept(spark, d))
 
 
 def _tags(spark, d):
-    return tag_groups(fixture.reads(spark, d), build(spark, d).index)
+    return tag_groups(_kept(spark, d))
 
 
 def _quality(spark, d):
-    return number_groups(build(spark, d).index)
+    return number_groups(kept_index(build(spark, d).index))
 
 
 def _phred(spark, d):
@@ -68,6 +76,59 @@ def _lines(spark, d):
     return r.select("pos", fastq_lines(F.col("id"), F.col("seq"), F.col("qual")).alias("record"))
 
 
+def _files(spark, d, write=write_fastq, kind="reads"):
+    """The fixture reads as several files in the shared folder, in order of their names."""
+    path = new_folder(spark, kind)
+    write(fixture.reads(spark, d), path, ("read_no",))
+    return path
+
+
+def _index_file(spark, d, **more):
+    """An index file made from read files, and its metadata."""
+    out = new_folder(spark, "index.tsv")
+    meta = jobs.index(spark, _files(spark, d), out, skip_unmatched=True, length=LEN, quality=QUAL, **more)
+    return out, meta
+
+
+def _file_clusters(spark, d):
+    path = new_folder(spark, "clusters")
+    lines = fixture.clusters(spark, d).join(fixture.reads(spark, d).select("read_id", F.col("id").alias("header")), "read_id")
+    text = F.concat_ws(";", "header", F.substring_index("identifier", "_", 1), F.substring_index("identifier", "_", -1))
+    lines.orderBy("line_no").select(text).write.text(path)
+    return read_index_file(spark, _index_file(spark, d, clusters=path)[0])[1]
+
+
+def _file_metadata(spark, d):
+    counts = ("read_count", "matched_read_count", "unmatched_read_count", "filtered_reads", "avg_qual", "avg_len", "gb")
+    meta = _index_file(spark, d)[1]
+    return spark.createDataFrame([tuple(meta[x] for x in counts)], ", ".join(f"{x} {'long' if k < 4 else 'double'}" for k, x in enumerate(counts)))
+
+
+def _file_report(spark, d):
+    out = new_folder(spark, "report")
+    report = jobs.summarise(spark, _index_file(spark, d)[0], f"{out}.html", f"{out}.json")
+    stats = report["stats"]
+    sizes = ",".join(f"{k}:{v}" for k, v in stats["distribution"].items())
+    row = (report["gb"], stats["total_reads"], stats["duplicate_reads"], stats["duplicate_ids"], sizes, max(map(int, stats["distribution"])))
+    return spark.createDataFrame([row], "gb string, total_reads long, duplicate_reads long, duplicate_ids long, distribution string, largest long")
+
+
+def _file_group(spark, d):
+    reads, out = _files(spark, d), new_folder(spark, "tagged")
+    index = new_folder(spark, "index.tsv")
+    jobs.index(spark, reads, index, skip_unmatched=True, length=LEN, quality=QUAL)
+    jobs.group(spark, index, reads, out)
+    return read_fastq(spark, out).select("id", "seq", "qual", "pos")
+
+
+def _file_call(spark, d):
+    reads, out = _files(spark, d), new_folder(spark, "called")
+    index = new_folder(spark, "index.tsv")
+    jobs.index(spark, reads, index, skip_unmatched=True, length=LEN, quality=QUAL)
+    jobs.call(spark, index, reads, out, report_original_reads=True)
+    return read_fastq(spark, out).select("id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     free = Interval()
     return {
@@ -94,6 +155,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "call_originals": lambda s, d: _headers(s, d, report_original_reads=True),
         "fastq_lines": _lines,
         "call_consensus": _consensus,
+        "fastq_scan": lambda s, d: read_fastq(s, _files(s, d)),
+        "fasta_scan": lambda s, d: read_fastq(s, _files(s, d, write_fasta)).select("id", "seq", "qual", "pos", "rec_len"),
+        "fastq_index": lambda s, d: read_index_file(s, _index_file(s, d)[0])[1],
+        "fastq_clusters_file": _file_clusters,
+        "fastq_metadata": _file_metadata,
+        "fastq_summary": _file_report,
+        "fastq_group": _file_group,
+        "fastq_call": _file_call,
     }
 
 
@@ -159,6 +228,18 @@ def oracle_sql() -> dict[str, str]:
         "call_headers": f"{idx()}, {ranked}, {rows} {con} UNION ALL {sin}",
         "call_headers_duplicates_only": f"{idx()}, {ranked.replace('FROM g)', 'FROM g WHERE n > 1)')} {con}",
         "call_originals": f"{idx()}, {ranked}, {rows} {con} UNION ALL {sin} UNION ALL {orig}",
+        "fastq_scan": f"WITH {marked()} SELECT id, seq, qual, pos, rec_len, total_q FROM m",
+        "fasta_scan": f"""WITH reads AS ({fixture.READS_SQL}), l AS (SELECT read_no, id, seq, '' AS qual, cast(length(id) + length(seq) + 3 AS bigint) AS rec_len FROM reads)
+            SELECT id, seq, qual, rec_len, cast(coalesce(sum(rec_len) OVER (ORDER BY read_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bigint) AS pos FROM l""",
+        "fastq_group": f"""{idx()}, {ranked}, {rows}, o AS (SELECT ug, i, header || ' UT:Z:ORIG_' || i || '_OF_' || n || ' UG:i:' || ug AS id, seq, qual FROM w)
+            SELECT id, seq, qual, cast(coalesce(sum(length(id) + length(seq) + length(qual) + 6) OVER (ORDER BY ug, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bigint) AS pos FROM o""",
+        "fastq_call": f"{idx()}, {ranked}, {rows} SELECT id FROM ({con} UNION ALL {sin} UNION ALL {orig})",
+        "fastq_summary": f"""{idx()}, {hist}
+            SELECT printf('%.3f', (SELECT max(pos + rec_len) FROM reads) / 1073741824.0::double) AS gb, cast(sum(n * groups) AS bigint) AS total_reads,
+              cast(coalesce(sum(n * groups) FILTER (n > 1), 0) AS bigint) AS duplicate_reads, cast(coalesce(sum(groups) FILTER (n > 1), 0) AS bigint) AS duplicate_ids,
+              string_agg(n || ':' || groups, ',' ORDER BY n) AS distribution, max(n) AS largest FROM h""",
         "fastq_lines": f"WITH reads AS ({fixture.READS_SQL}) SELECT pos, '@' || id || chr(10) || seq || chr(10) || '+' || chr(10) || qual AS record FROM reads",
     }
+    # the same read files, index and clusters, by way of files
+    q["fastq_index"], q["fastq_metadata"], q["fastq_clusters_file"] = q["index_bc_umi"], q["index_metadata"], q["index_clusters"]
     return q

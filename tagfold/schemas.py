@@ -10,6 +10,9 @@ READS = T.StructType([
     T.StructField("rec_len", T.LongType()),
 ])
 
+#: What the file source gives: reads, and the sum of each read's qualities.
+FILE_READS = T.StructType([*READS.fields, T.StructField("total_q", T.LongType())])
+
 INDEX = T.StructType([
     T.StructField("id", T.StringType()),
     T.StructField("pos", T.LongType()),
@@ -20,6 +23,7 @@ INDEX = T.StructType([
 ])
 
 METADATA = T.StructType([
+    T.StructField("tool_version", T.StringType()),
     T.StructField("file_path", T.StringType()),
     T.StructField("index_date", T.StringType()),
     T.StructField("elapsed", T.DoubleType()),

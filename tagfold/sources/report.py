@@ -1,4 +1,4 @@
-"""Statistics as JSON and as a page. Only the size histogram reaches the driver."""
+"""Statistics as JSON and as a page, for the console and as files. Only the size histogram reaches the driver."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from html import escape
 from pyspark.sql import DataFrame
 
 from tagfold.operators.stats import duplicate_stats
+from tagfold.sources.fastq import open_store
 
 
 def summary(index: DataFrame, metadata: dict) -> dict:
@@ -37,3 +38,12 @@ def render(report: dict) -> str:
         + _bars("Groups by size", sizes)
         + _bars("Reads by group size", [(k, k * v) for k, v in sizes])
     )
+
+
+def write_report(report: dict, page: str, data: str | None = None) -> None:
+    """The page, and the report as JSON if `data` names a file for it."""
+    for path, text in ((page, render(report)), (data, json.dumps(report, indent=2) + "\n")):
+        if path:
+            store, inner = open_store(path)
+            with store.open_output_stream(inner) as out:
+                out.write(text.encode())
