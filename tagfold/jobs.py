@@ -23,6 +23,7 @@ from tagfold.functions.intervals import Interval
 from tagfold.operators.consensus import call_consensus
 from tagfold.operators.groups import kept_reads, tag_groups
 from tagfold.operators.index import build_index
+from tagfold.shared import hold
 from tagfold.sources.fastq import read_fastq, write_fastq
 from tagfold.sources.index_file import read_clusters, read_index_file, write_index_file
 from tagfold.sources.report import summary, write_report
@@ -52,7 +53,9 @@ def _kept(spark: SparkSession, index_file: str, reads: str, exact_ids: bool) ->
 
 def call(spark: SparkSession, index_file: str, reads: str, out: str, duplicates_only: bool = False, report_original_reads: bool = False, exact_ids: bool = False, max_group_reads: int | None = None) -> None:
     kept = _kept(spark, index_file, reads, exact_ids)
-    write_fastq(call_consensus(kept, duplicates_only, report_original_reads, max_group_reads), out, ("ug", "kind", "i"))
+    # sorting looks at its input twice, and aligning twice would cost most of the job
+    called = hold(call_consensus(kept, duplicates_only, report_original_reads, max_group_reads), "called")
+    write_fastq(called, out, ("ug", "kind", "i"))
 
 
 def group(spark: SparkSession, index_file: str, reads: str, out: str, exact_ids: bool = False) -> None:

@@ -76,7 +76,7 @@ def _lines(spark, d):
     return r.select("pos", fastq_lines(F.col("id"), F.col("seq"), F.col("qual")).alias("record"))
 
 
-def _files(spark, d, write=write_fastq, kind="reads"):
+def read_files(spark, d, write=write_fastq, kind="reads"):
     """The fixture reads as several files in the shared folder, in order of their names."""
     path = new_folder(spark, kind)
     write(fixture.reads(spark, d), path, ("read_no",))
@@ -86,7 +86,7 @@ def _files(spark, d, write=write_fastq, kind="reads"):
 def _index_file(spark, d, **more):
     """An index file made from read files, and its metadata."""
     out = new_folder(spark, "index.tsv")
-    meta = jobs.index(spark, _files(spark, d), out, skip_unmatched=True, length=LEN, quality=QUAL, **more)
+    meta = jobs.index(spark, read_files(spark, d), out, skip_unmatched=True, length=LEN, quality=QUAL, **more)
     return out, meta
 
 
@@ -114,7 +114,7 @@ def _file_report(spark, d):
 
 
 def _file_group(spark, d):
-    reads, out = _files(spark, d), new_folder(spark, "tagged")
+    reads, out = read_files(spark, d), new_folder(spark, "tagged")
     index = new_folder(spark, "index.tsv")
     jobs.index(spark, reads, index, skip_unmatched=True, length=LEN, quality=QUAL)
     jobs.group(spark, index, reads, out)
@@ -122,7 +122,7 @@ def _file_group(spark, d):
 
 
 def _file_call(spark, d):
-    reads, out = _files(spark, d), new_folder(spark, "called")
+    reads, out = read_files(spark, d), new_folder(spark, "called")
     index = new_folder(spark, "index.tsv")
     jobs.index(spark, reads, index, skip_unmatched=True, length=LEN, quality=QUAL)
     jobs.call(spark, index, reads, out, report_original_reads=True)
@@ -155,8 +155,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "call_originals": lambda s, d: _headers(s, d, report_original_reads=True),
         "fastq_lines": _lines,
         "call_consensus": _consensus,
-        "fastq_scan": lambda s, d: read_fastq(s, _files(s, d)),
-        "fasta_scan": lambda s, d: read_fastq(s, _files(s, d, write_fasta)).select("id", "seq", "qual", "pos", "rec_len"),
+        "fastq_scan": lambda s, d: read_fastq(s, read_files(s, d)),
+        "fasta_scan": lambda s, d: read_fastq(s, read_files(s, d, write_fasta)).select("id", "seq", "qual", "pos", "rec_len"),
         "fastq_index": lambda s, d: read_index_file(s, _index_file(s, d)[0])[1],
         "fastq_clusters_file": _file_clusters,
         "fastq_metadata": _file_metadata,
