@@ -2,29 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names; where it names none, one beside the warehouse, or a temporary one if
-    the master is local."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named:
-            local = sc.master.startswith("local") and "cluster" not in sc.master
-            named = tempfile.mkdtemp(prefix="checkpoints-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints/{uuid.uuid4()}"
-        sc.setCheckpointDir(named)
-    return sc.getCheckpointDir()
+from tagfold.shared import shared_dir
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Computes `df` once into the shared checkpoint folder, so that a lost executor costs no recomputation upstream."""
-    checkpoint_dir(df.sparkSession)
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 

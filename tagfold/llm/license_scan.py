@@ -10,7 +10,9 @@ Scoring is DataFrame expressions alone: n-grams are exploded and joined with the
 table. A paragraph must hold a key word to be scored, so the rest is not exploded; a confirmed paragraph always does (`keys`).
 Weights are whole numbers (in millionths), so margins do not depend on the order of sums.
 
-Null and empty texts have no paragraphs. Rows repeated as they are count again. Extra columns are ignored.
+Null and empty texts have no paragraphs. Rows of one doc_id count as one document: equal texts count once, and of
+different texts a line or run counts once if it is the same at the same place. A null doc_id is one too. Extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -45,7 +47,6 @@ OTHERS = (
     "She studied at MIT and later in Paris.", "The Apache helicopter landed.", "A gnu is a large antelope.", "The library opens at nine.", "Please read the terms before you sign.",
     "The committee released its report under pressure.", "This work is difficult.", "Version 2.0 of the game sold well.",
 )
-CUES = ("license", "licensed", "licence", "licenced", "copyright", "spdx", "reserved", "permission", "redistribute", "redistribution", "lgpl", "gpl", "cc0")
 #: Words of templates that are too common to look for.
 COMMON = frozenset("1.0 2.0 2.1 3 3.0 4.0 a all and any are be by can copy file form free general in is it later library may mit no not of or part person software source subject the this to under use v version with work you".split())
 TOKEN = r"[^a-z0-9.]+"
@@ -199,23 +200,40 @@ def licences(docs: DataFrame) -> DataFrame:
 
 
 def oracle() -> str:
+    """The definition itself: every line and run is scored, without key words or a look at templates before."""
     classes, weights, temperature = model()
     n = len(classes)
     w = ", ".join(f"('{x}', [{', '.join(map(str, v))}])" for x, v in weights.items() if x)
     t = ", ".join(f"('{x}', '{f}', {k}, {len(grams(s))})" for f, ts in TEMPLATES.items() for k, s in enumerate(ts) for x in sorted(grams(s)))
-    cue = "(?i)(?:^|[^a-z0-9])(?:" + "|".join(CUES) + ")(?:$|[^a-z0-9])"
+    longest = max(len(words(t)) for ts in TEMPLATES.values() for t in ts)
     sums = ", ".join(f"(coalesce(sum(w[{c + 1}]), 0) + {weights[''][c]})::bigint" for c in range(n))
+    inside = "y.src = x.src AND y.doc_id IS NOT DISTINCT FROM x.doc_id AND y.family = x.family"
     return f"""
       WITH w(gram, w) AS (VALUES {w}), t(gram, family, template, size) AS (VALUES {t}),
-      l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS paragraph FROM documents),
-      k AS (SELECT *, list_filter(list_transform(regexp_split_to_array(lower(line), '{TOKEN}'), lambda x: trim(x, '.')), lambda x: x <> '') AS ws FROM l WHERE regexp_matches(line, '{cue}')),
-      g AS (SELECT doc_id, paragraph, unnest(list_distinct(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])))) AS gram FROM k),
-      z AS (SELECT doc_id, paragraph, [{sums}] AS z FROM g LEFT JOIN w USING (gram) GROUP BY doc_id, paragraph),
-      p AS (SELECT doc_id, paragraph, ({list(classes)})[list_position(z, list_max(z))] AS family,
+      d AS (SELECT DISTINCT doc_id, text, md5(text) AS src FROM documents WHERE text IS NOT NULL),
+      l AS (SELECT doc_id, src, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS p FROM d),
+      k AS (SELECT doc_id, src, p, line, list_filter(list_transform(regexp_split_to_array(lower(line), '{TOKEN}'), lambda x: trim(x, '.')), lambda x: x <> '') AS ws FROM l),
+      u AS (SELECT *, sum(len(ws)) OVER v AS upto, sum((len(ws) = 0)::int) OVER v AS blank FROM k WINDOW v AS (PARTITION BY doc_id, src ORDER BY p ROWS UNBOUNDED PRECEDING)),
+      r AS (SELECT a.doc_id, a.src, a.p AS paragraph, b.p AS last FROM u a JOIN u b
+            ON a.doc_id IS NOT DISTINCT FROM b.doc_id AND a.src = b.src AND b.p BETWEEN a.p AND a.p + {longest}
+            AND (a.p = b.p OR (len(a.ws) > 0 AND a.blank = b.blank AND b.upto - len(b.ws) - a.upto < {longest}))),
+      h AS (SELECT r.doc_id, r.src, r.paragraph, r.last, flatten(list(k.ws ORDER BY k.p)) AS ws, md5(string_agg(k.line, ' ' ORDER BY k.p)) AS line
+            FROM r JOIN k ON k.doc_id IS NOT DISTINCT FROM r.doc_id AND k.src = r.src AND k.p BETWEEN r.paragraph AND r.last GROUP BY ALL),
+      n AS (SELECT row_number() OVER () AS id, * FROM h),
+      g AS (SELECT id, unnest(list_distinct(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])))) AS gram FROM n),
+      z AS (SELECT id, [{sums}] AS z FROM g LEFT JOIN w USING (gram) GROUP BY id),
+      q AS (SELECT id, ({list(classes)})[list_position(z, list_max(z))] AS family,
               1.0 / list_sum(list_transform(z, lambda x: exp((x - list_max(z)) / {1e6 * temperature!r}::double))) AS probability FROM z),
-      c AS (SELECT p.doc_id, p.paragraph, p.family, p.probability, t.template, t.size, count(*) AS c
-            FROM p JOIN g ON g.doc_id = p.doc_id AND g.paragraph = p.paragraph JOIN t ON t.gram = g.gram AND t.family = p.family
-            WHERE p.family <> '{UNKNOWN}' AND p.probability >= {MIN_PROBABILITY} GROUP BY ALL),
-      s AS (SELECT doc_id, paragraph, family, probability, max((100 * c) // size) AS share FROM c GROUP BY ALL)
-      SELECT doc_id, family, count(*) AS paragraphs, round(max(probability), 4) AS probability, max(share)::bigint AS share
-      FROM s WHERE share >= {MIN_SHARE_PERCENT} GROUP BY doc_id, family"""
+      m AS (SELECT id, t.family AS of, t.template, (100 * count(*)) // t.size AS share FROM q JOIN g USING (id) JOIN t USING (gram)
+            WHERE q.family <> '{UNKNOWN}' AND probability >= {MIN_PROBABILITY} GROUP BY id, t.family, t.template, t.size HAVING (100 * count(*)) // t.size >= {MIN_SHARE_PERCENT}),
+      s AS (SELECT doc_id, src, paragraph, last, line, family, probability, max(share) FILTER (of = family) AS share, list(DISTINCT of) AS covers
+            FROM m JOIN q USING (id) JOIN n USING (id) GROUP BY ALL HAVING max(share) FILTER (of = family) IS NOT NULL),
+      o AS (SELECT * FROM s WHERE paragraph = last),
+      x AS (SELECT * FROM s x WHERE paragraph < last AND NOT EXISTS (SELECT 1 FROM o y WHERE y.src = x.src AND y.doc_id IS NOT DISTINCT FROM x.doc_id
+            AND y.paragraph BETWEEN x.paragraph AND x.last AND list_contains(y.covers, x.family))),
+      e AS (SELECT * FROM x WHERE NOT EXISTS (SELECT 1 FROM x y WHERE {inside} AND y.paragraph >= x.paragraph AND y.last <= x.last AND y.last - y.paragraph < x.last - x.paragraph)),
+      f AS (SELECT * FROM e x WHERE NOT EXISTS (SELECT 1 FROM e y WHERE {inside} AND y.paragraph < x.paragraph AND y.last >= x.paragraph)),
+      c AS (SELECT *, 1 AS counts FROM o UNION ALL
+            SELECT x.*, (EXISTS (SELECT 1 FROM f y WHERE {inside} AND y.paragraph = x.paragraph AND y.last = x.last))::int FROM x),
+      once AS (SELECT doc_id, paragraph, last, line, family, max(probability) AS probability, max(share) AS share, max(counts) AS counts FROM c GROUP BY ALL)
+      SELECT doc_id, family, sum(counts)::bigint AS paragraphs, round(max(probability), 4) AS probability, max(share)::bigint AS share FROM once GROUP BY doc_id, family"""

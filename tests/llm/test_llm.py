@@ -435,6 +435,24 @@ def test_wrapped_notices(spark):
     assert got == {(k, f, 1) for k, f in enumerate(WRAPPED)}
 
 
+def test_licences_equal_sql_on_odd_texts(spark, tmp_path):
+    long_text = "\n".join(f"Line {k} of a very long text about nothing much." if k % 500 else "Licensed under the MIT license." for k in range(4000))
+    rows = [
+        (1, "Released under the BSD terms."), (2, "This work is dedicated to the public domain under the CC-0 waiver."),
+        (3, "GNU General Public Licenses apply: released under the GNU General Public terms"), (4, "Licensed under the\nMIT license.\n\nLicensed under\nthe MIT license."),
+        (4, "Licensed under the\nMIT license.\n\nLicensed under\nthe MIT license."), (5, "SPDX-License-Identifier: MIT\nall\nof it"), (5, "x\nSPDX-License-Identifier: MIT"),
+        (None, "Released under the MIT License."), (6, None), (7, ""), (8, long_text), *((9 + k, t) for k, t in enumerate(WRAPPED.values())),
+    ]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    df = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    got = [tuple(r) for r in license_scan.licences(df).collect()]
+    want = duckdb.sql(license_scan.oracle().replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet'")).fetchall()
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    families = {(d, f): n for d, f, n, *_ in got}
+    assert families[1, "BSD"] == families[2, "CC0"] == families[3, "GPL"] == families[None, "MIT"] == 1
+    assert families[4, "MIT"] == 2 and families[8, "MIT"] == 8
+
+
 # 10
 
 
