@@ -6,8 +6,8 @@ k edits of the item holds one piece unchanged. One Aho-Corasick automaton of all
 around every piece hit Myers' bit-parallel distance (1999) settles whether the item is there. Hits that fall in a window
 already verified for the item are not verified again.
 
-Items are collected to the driver, up to MAX_ITEM_BYTES in all (a benchmark is a stated set that does not grow with the
-corpus); a larger table raises. Items of fewer than MIN_CHARS normalised characters, which would hit by chance, must be
+Items go to workers in parts of about PART_BYTES (an automaton takes some 53 times the bytes of its items, as measured), each
+broadcast; a larger benchmark takes a pass over the texts for each part, so any size is searched whole. Items of fewer than MIN_CHARS normalised characters, which would hit by chance, must be
 there without an edit and as whole words. Null and empty items are left out; items without an id count, and all of them are
 one item with a null id in the result. Null texts hit nothing. A document and item
 give one row, however often the document row is repeated; extra columns are ignored.
@@ -16,17 +16,18 @@ give one row, however often the document row is repeated; extra columns are igno
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from tagfold.llm.common import fresh
+from tagfold.llm.common import cut, fresh
 
 EDIT_SHARE = 0.05
 MIN_CHARS = 20
-MAX_ITEM_BYTES = 256 << 20
+PART_BYTES = 8 << 20
 
 
 def normalise(text: str | None) -> str:
@@ -126,19 +127,17 @@ class Passages:
         return found
 
 
-def hold_items(benchmark: DataFrame):
-    """The items, normalised and sorted, as a broadcast value of proven size."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
+def hold_items(benchmark: DataFrame, part_bytes: int = PART_BYTES) -> Iterator:
+    """The items, normalised and sorted, in parts of about `part_bytes`, each as a broadcast value. At least one part."""
+    items = cut(benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct())
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    if size > MAX_ITEM_BYTES:
-        raise ValueError(f"benchmark items take {size} bytes; the bound is {MAX_ITEM_BYTES}")
-    return benchmark.sparkSession.sparkContext.broadcast(sorted(((r[0], normalise(r[1])) for r in items.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1])))
+    parts = max(1, -(-size // part_bytes))
+    for k in range(parts):
+        part = items.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == k).collect()
+        yield benchmark.sparkSession.sparkContext.broadcast(sorted(((r[0], normalise(r[1])) for r in part), key=lambda x: (x[0] is None, x[0] or 0, x[1])))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, edit_share: float = EDIT_SHARE) -> DataFrame:
-    """(doc_id, item_id, distance): every document and item whose passage it holds within the budget."""
-    held = hold_items(benchmark)
-
+def _searcher(held, edit_share: float):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passages = Passages(held.value, edit_share)
         for b in batches:
@@ -150,20 +149,35 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, edit_share: float = EDIT
             columns = list(zip(*rows, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "item_id", "distance"])
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(search, "doc_id long, item_id long, distance long").groupBy("doc_id", "item_id").agg(F.min("distance").alias("distance"))
+    return search
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, edit_share: float = EDIT_SHARE) -> DataFrame:
-    """Rows of docs whose text holds no item, settled row by row without a join."""
-    held = hold_items(benchmark)
-    plain = isinstance(docs.schema["text"].dataType, StringType)  # else a copy as a string goes along
-    text = "text" if plain else fresh("_text", docs.columns)
+def contaminated(docs: DataFrame, benchmark: DataFrame, edit_share: float = EDIT_SHARE, part_bytes: int = PART_BYTES) -> DataFrame:
+    """(doc_id, item_id, distance): every document and item whose passage it holds within the budget."""
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = [slim.mapInArrow(_searcher(held, edit_share), "doc_id long, item_id long, distance long") for held in hold_items(benchmark, part_bytes)]
+    return reduce(DataFrame.unionByName, found).groupBy("doc_id", "item_id").agg(F.min("distance").alias("distance"))
+
 
+def _cleaner(held, edit_share: float, text: str, copied: bool):
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passages = Passages(held.value, edit_share)
         for b in batches:
             good = [not passages.hits(normalise(t.as_py())) for t in b.column(text)]
-            yield (b if plain else b.drop_columns([text])).filter(pa.array(good, pa.bool_()))
+            yield (b.drop_columns([text]) if copied else b).filter(pa.array(good, pa.bool_()))
+
+    return clean
 
-    return (docs if plain else docs.withColumn(text, F.col("text").cast("string"))).mapInArrow(clean, docs.schema)
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, edit_share: float = EDIT_SHARE, part_bytes: int = PART_BYTES) -> DataFrame:
+    """Rows of docs whose text holds no item, settled row by row without a join. Rows between passes are written to the
+    shared folder, so that a worker holds one automaton."""
+    plain = isinstance(docs.schema["text"].dataType, StringType)  # else a copy as a string goes along
+    text = "text" if plain else fresh("_text", docs.columns)
+    kept, last = docs, None
+    for held in hold_items(benchmark, part_bytes):
+        kept = kept if last is None else cut(kept)
+        last = held
+        source = kept if plain else kept.withColumn(text, F.col("text").cast("string"))
+        kept = source.mapInArrow(_cleaner(held, edit_share, text, not plain), docs.schema)
+    return kept

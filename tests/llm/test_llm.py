@@ -312,6 +312,27 @@ def test_decontamination_query(spark, sf, odd, none):
     assert decontaminate.contaminated(odd, bench.limit(0)).count() == 0
 
 
+def test_items_in_parts(spark, sf, documents):
+    benchmark = spark.read.parquet(f"{sf}/benchmark.parquet")
+    whole = sorted(map(tuple, decontaminate.contaminated(documents, benchmark).collect()))
+    assert whole and whole == sorted(map(tuple, decontaminate.contaminated(documents, benchmark, part_bytes=2000).collect()))
+    dirty = {d for d, *_ in whole}
+    for size in (2000, 1 << 20):
+        kept = {r["doc_id"] for r in decontaminate.keep_clean(documents, benchmark, part_bytes=size).collect()}
+        assert kept == {r["doc_id"] for r in documents.collect()} - dirty
+
+
+@pytest.mark.parametrize("n", range(1, 20))
+def test_items_of_any_length_by_brute_force(n):
+    rng = np.random.default_rng(n)
+    items = list({"".join(rng.choice(list("ab c"), n)).strip() for _ in range(40)})
+    texts = ["".join(rng.choice(list("ab c."), 60)) for _ in range(30)] + items
+    found = decontaminate.Passages([(k, decontaminate.normalise(t)) for k, t in enumerate(items)])
+    for t in map(decontaminate.normalise, texts):
+        want = {x for _, x in found.items if re.search(rf"(?<![a-z0-9]){re.escape(x)}(?![a-z0-9])", t)}
+        assert {found.items[k][1] for k in found.hits(t)} == want
+
+
 def test_short_items_and_items_without_id(spark):
     long = "a passage of the benchmark without any id"
     texts = ["He said: Forty  Two!", "forty twofold", "forty tw", f"see {long.upper()} here", "clean", None, "x forty-two"]
