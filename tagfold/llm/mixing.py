@@ -2,22 +2,23 @@
 
 The words of each source, its documents in a pseudorandom order, are packed into blocks of BLOCK_WORDS words (the last
 one may be short). A source's target in words is met by whole passes over its blocks and a part of one more; the last
-block drawn is cut, so that the words drawn are the target rounded down. For each output shard a multinomial draw over what is
-left of the targets says how many of its slots each source fills (the last shard takes the rest, so totals hold exactly).
+block drawn is cut, so that the words drawn are the target rounded down. Output shards hold about SLOTS_PER_SHARD blocks. How
+many of its slots a source has in each shard is a multinomial draw, in two steps: over groups of SHARDS_AT_ONCE shards, and
+over the shards of a group; so the draws of a shard are multinomial over the sources, and a source's total holds exactly.
 Slot j of a source maps to a block by a keyed permutation of the block numbers, another one for each pass, and slots join
 blocks by that number. The same input and seed give the same mix.
 
-Only the totals by source (at most MAX_SOURCES) and counts by shard and source (at most MAX_CELLS) are on the driver.
-Null texts have no words; a null source is a source, the last one. Empty tables give no rows. Rows repeated as they are
-are drawn as documents of their own.
+Sources, their targets, draws and slots are tables, of any size; the driver sees sums alone. The order of a source's documents
+is a window in two levels, of about the square root of all rows each. Null texts have no words; a null source is a source, the
+last one. Empty tables give no rows. Rows repeated as they are are drawn as documents of their own.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import cycle
 
 import numpy as np
 import pandas as pd
@@ -26,32 +27,31 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from tagfold.llm.common import ROW_KEY, attach, cut, fresh, with_row_key
+from tagfold.llm.common import ROW_KEY, attach, cut, fresh, join_counted, numbered, with_row_key
 
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
-BLOCK_WORDS, SLOTS_PER_SHARD, SEED = 512, 4096, 20_240
-MAX_SOURCES, MAX_CELLS = 100_000, 2_000_000
-BUCKET_DOCS = 4096
+BLOCK_WORDS, SLOTS_PER_SHARD, SHARDS_AT_ONCE, SEED = 512, 4096, 1024, 20_240
+SLOTS_PER_TASK = 1 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def targets(sizes: list[int], weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> list[float]:
-    """Words wanted of each source: by weight, none above `most` times its size, the excess shared out again."""
-    w = [x for x, _ in zip(cycle(weights), sizes, strict=False)]
-    left, out = share * sum(sizes), [0.0] * len(sizes)
-    open_ = [k for k, n in enumerate(sizes) if n > 0]
-    while open_:
-        total = sum(w[k] for k in open_)
-        over = [k for k in open_ if left * w[k] / total > most * sizes[k]]
-        if not over:
-            for k in open_:
-                out[k] = left * w[k] / total
+def with_targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """sources: s (number of the source), n (its words). Adds `target`: words wanted of it, by weight, none above `most` times
+    its words, the excess shared out again. Each round looks at the sources that the level so far caps, which only grow."""
+    w = F.get(F.array(*map(F.lit, weights)), F.pmod("s", F.lit(len(weights))).cast("int"))
+    some = sources.where("n > 0")
+    sums = some.agg(F.sum("n").alias("n"), F.sum(w).alias("w")).first()
+    if not sums["n"]:
+        return sources.withColumn("target", F.lit(0.0))
+    left, total, capped = share * sums["n"], sums["w"], 0
+    while total:
+        over = F.lit(left) * w / F.lit(total) > F.lit(float(most)) * F.col("n")
+        now = some.agg(F.count_if(over).alias("k"), F.sum(F.when(over, F.col("n"))).alias("n"), F.sum(F.when(~over, w)).alias("w")).first()
+        if now["k"] == capped:
             break
-        for k in over:
-            out[k] = most * sizes[k]
-        left -= sum(out[k] for k in over)
-        open_ = [k for k in open_ if k not in set(over)]
-    return out
+        left, total, capped = share * sums["n"] - most * now["n"], now["w"], now["k"]
+    level = F.lit(left) * w / F.lit(total) if total else F.lit(math.inf)
+    return sources.withColumn("target", F.when(F.col("n") > 0, F.least(level, F.lit(float(most)) * F.col("n"))).otherwise(0.0))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -119,25 +119,86 @@ class SourcePlan:
         return turns * n + k, rest - held(k - 1)
 
 
-def draw_counts(slots: list[int], per_shard: int = SLOTS_PER_SHARD, seed: int = SEED) -> np.ndarray:
-    """Slots of each source (column) in each shard (row); columns add up to `slots`."""
-    total, k = sum(slots), max(1, len(slots))
-    shards = max(1, min(-(-total // per_shard), MAX_CELLS // k))
-    rng = np.random.Generator(np.random.PCG64(seed))
-    left, out = np.array(slots, np.int64), np.zeros((shards, len(slots)), np.int64)
-    for i in range(shards - 1):
-        want = int(left.sum()) // (shards - i)
-        if not want:
-            continue
-        out[i] = np.minimum(rng.multinomial(want, left / left.sum()), left)
-        left = left - out[i]
-    out[-1] = left
-    return out
+def draw_counts(n: int, sizes: np.ndarray, *key: int) -> np.ndarray:
+    """n slots dealt to places by a multinomial draw, a place's chance by its size; the key seeds the draw."""
+    return np.random.Generator(np.random.PCG64(key)).multinomial(n, sizes / sizes.sum())
+
+
+FACTS = "s long, words long, quota long, n_slots long, last_take long"
+
+
+def _plans(block_words: int, seed: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            quota = [int(t) for t in b["target"]]
+            found = [SourcePlan(int(s), int(n), q, block_words, seed).slots() for s, n, q in zip(b["s"], b["n"], quota, strict=True)]
+            yield pd.DataFrame({"s": b["s"], "words": b["n"], "quota": quota, "n_slots": [k for k, _ in found], "last_take": [x for _, x in found]})
+
+    return run
+
+
+def _draws(shards: int, seed: int):
+    """Slots by source to slots by source and group of shards."""
+    groups = -(-shards // SHARDS_AT_ONCE)
+    sizes = np.minimum(SHARDS_AT_ONCE, shards - np.arange(groups) * SHARDS_AT_ONCE)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for r in b.itertuples(index=False):
+                c = draw_counts(r.n_slots, sizes, seed, r.s)
+                at = np.flatnonzero(c)
+                yield pd.DataFrame({**r._asdict(), "part": at, "first": (np.cumsum(c) - c)[at], "count": c[at]})
+
+    return run
+
+
+def _draws_within(shards: int, seed: int):
+    """Slots by source and group of shards to slots by source and shard."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for r in b.itertuples(index=False):
+                here = r.part * SHARDS_AT_ONCE
+                c = draw_counts(r.count, np.ones(min(SHARDS_AT_ONCE, shards - here)), seed, r.s, r.part)
+                at = np.flatnonzero(c)
+                first = r.first + (np.cumsum(c) - c)[at]
+                facts = {x: getattr(r, x) for x in ("s", "words", "quota", "n_slots", "last_take")}
+                yield pd.DataFrame({**facts, "shard": here + at, "first": first, "last": first + c[at] - 1})
+
+    return run
+
+
+def _place(block_words: int, seed: int):
+    """Slots to blocks, by the permutation of the source and pass."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for (s, words, quota), rows in b.groupby(["s", "words", "quota"]):
+                p = SourcePlan(int(s), int(words), int(quota), block_words, seed)
+                j = rows["j"].to_numpy()
+                turn, block = j // p.blocks, np.zeros(len(j), np.int64)
+                for t in np.unique(turn):
+                    block[turn == t] = p.permutation(int(t))(j[turn == t] % p.blocks)
+                take = np.where(j == rows["n_slots"] - 1, rows["last_take"], p.block_words)
+                yield pd.DataFrame({"s": rows["s"], "block": block, "shard": rows["shard"], "turn": turn.astype("int32"), "take": take})
+
+    return run
+
+
+def draw_slots(plans: DataFrame, slots_per_shard: int, block_words: int, seed: int) -> DataFrame:
+    """plans: FACTS, a row for each source. (s, block, shard, turn, take), a row for each slot."""
+    total = plans.agg(F.sum("n_slots")).first()[0] or 0
+    shards = max(1, -(-total // slots_per_shard))
+    tasks = max(int(plans.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // SLOTS_PER_TASK))
+    drawn = plans.where("n_slots > 0").mapInPandas(_draws(shards, seed), f"{FACTS}, part long, first long, count long")
+    within = drawn.repartition(tasks, "s", "part").mapInPandas(_draws_within(shards, seed), f"{FACTS}, shard long, first long, last long")
+    each = within.repartition(tasks, "s", "shard").select("s", "words", "quota", "n_slots", "last_take", "shard", F.explode(F.sequence("first", "last")).alias("j"))
+    return each.mapInPandas(_place(block_words, seed), "s long, block long, shard long, turn int, take long")
 
 
 @dataclass
 class Mix:
-    #: doc_id, the row key, source, size, s (source's number), start (first word in the source), source_size, target
+    #: doc_id, the row key, size, s (source's number), start (first word in the source), source_size, target
     docs: DataFrame
     #: s, block, shard, turn, take (words of the block that the slot holds)
     slots: DataFrame
@@ -145,51 +206,31 @@ class Mix:
     parts: DataFrame
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, block_words: int = BLOCK_WORDS, seed: int = SEED) -> Mix:
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, block_words: int = BLOCK_WORDS, seed: int = SEED, slots_per_shard: int = SLOTS_PER_SHARD) -> Mix:
     """docs: from `with_row_key`."""
-    spark = docs.sparkSession
-    sized = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *ROW_KEY, F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")))
-    totals = sized.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("docs")).limit(MAX_SOURCES + 1).collect()
-    if len(totals) > MAX_SOURCES:
-        raise ValueError(f"there are more than {MAX_SOURCES} sources")
-    totals.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
-    sizes = [r["n"] for r in totals]
-    wanted = targets(sizes, weights, share, most)
-    plans = [SourcePlan(k, n, int(t), block_words, seed) for k, (n, t) in enumerate(zip(sizes, wanted, strict=True))]
-    # at most MAX_SOURCES rows
-    numbers = spark.createDataFrame([(r["source"], k, sizes[k], float(wanted[k])) for k, r in enumerate(totals)], "source string, s int, source_size long, target double")
-    named = sized.alias("d").join(F.broadcast(numbers).alias("n"), F.col("d.source").eqNullSafe(F.col("n.source"))).select("d.*", "n.s", "n.source_size", "n.target")
-
-    buckets = max(1, -(-sum(r["docs"] for r in totals) // BUCKET_DOCS))
-    h = F.xxhash64(*ROW_KEY, F.lit(seed))
-    dealt = named.withColumn("_h", h).withColumn("_b", F.pmod("_h", F.lit(buckets)))
-    sums = dealt.groupBy("s", "_b").agg(F.sum("size").alias("_n"))
-    offsets = sums.select("s", "_b", F.coalesce(F.sum("_n").over(Window.partitionBy("s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
-    inside = F.coalesce(F.sum("size").over(Window.partitionBy("s", "_b").orderBy("_h", *ROW_KEY).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = cut(dealt.withColumn("_i", inside).join(offsets, ["s", "_b"]).withColumn("start", F.col("_o") + F.col("_i")).drop("_h", "_b", "_i", "_o"))
-
-    n_slots = [p.slots() for p in plans]
-    counts = draw_counts([n for n, _ in n_slots], seed=seed)
-    ends = np.cumsum(counts, axis=0)
-    ranges = [(int(i), int(k), int(ends[i, k] - counts[i, k]), int(ends[i, k]) - 1) for i, k in zip(*np.nonzero(counts), strict=True)]
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spread = spark.createDataFrame(ranges, "shard int, s int, first long, last long").repartition(width, "shard", "s")
-    numbered = spread.select("shard", "s", F.explode(F.sequence("first", "last")).alias("j"))
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for k, rows in b.groupby("s"):
-                p, (n, last) = plans[k], n_slots[k]
-                j = rows["j"].to_numpy()
-                turn, block = j // p.blocks, np.zeros(len(j), np.int64)
-                for t in np.unique(turn):
-                    block[turn == t] = p.permutation(int(t))(j[turn == t] % p.blocks)
-                out.append(pd.DataFrame({"s": rows["s"], "block": block, "shard": rows["shard"], "turn": turn.astype("int32"), "take": np.where(j == n - 1, last, p.block_words)}))
-            yield from out
-
+    source = F.col("source").cast("string")
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    name = [source.isNull().alias("none"), F.coalesce(source, F.lit("")).alias("name")]  # never null, so that rows join on it
+    sized = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *ROW_KEY, *name, size.alias("size")))
+    sources = numbered(sized.groupBy("none", "name").agg(F.sum("size").alias("n"), F.count("*").alias("docs")), "s", F.col("none"), F.col("name"))
+    sources = cut(with_targets(cut(sources), weights, share, most))
+    rows = sources.agg(F.sum("docs")).first()[0] or 0
+    facts = sources.select("none", "name", "docs", "s", F.col("n").alias("source_size"), "target")
+    named = join_counted(sized, facts, ["none", "name"], "docs", rows).drop("docs")
+
+    # both levels of the order are about as large
+    buckets = max(1, math.isqrt(rows))
+    dealt = named.withColumn("_h", F.xxhash64(*ROW_KEY, F.lit(seed))).withColumn("_b", F.pmod("_h", F.lit(buckets)))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.coalesce(F.sum("size").over(before(Window.partitionBy("s", "_b").orderBy("_h", *ROW_KEY))), F.lit(0))
+    ordered = cut(dealt.withColumn("_i", inside).drop("_h"))
+    sums = ordered.groupBy("s", "_b").agg(F.sum("size").alias("_n"))
+    offsets = cut(sums.select("s", "_b", F.coalesce(F.sum("_n").over(before(Window.partitionBy("s").orderBy("_b"))), F.lit(0)).alias("_o")))
+    placed = cut(ordered.join(offsets, ["s", "_b"]).withColumn("start", F.col("_o") + F.col("_i")).drop("_b", "_i", "_o"))
+
+    plans = cut(sources.mapInPandas(_plans(block_words, seed), FACTS))
     # its size is not known to the planner, which would take it for small; it grows with the mix, so it is never broadcast
-    slots = numbered.mapInPandas(place, "s int, block long, shard int, turn int, take long")
+    slots = draw_slots(plans, slots_per_shard, block_words, seed)
     covers = F.sequence(F.expr(f"start div {block_words}"), F.expr(f"(start + size - 1) div {block_words}"))
     pieces = placed.where("size > 0").select("s", "start", *ROW_KEY, "size", F.explode(covers).alias("block"))
     a = F.col("block") * block_words

@@ -345,10 +345,61 @@ def test_short_items_and_items_without_id(spark):
 # 7
 
 
-def test_targets():
-    assert mixing.targets([100, 100, 100]) == pytest.approx([200, 250 / 3, 500 / 3])
-    assert mixing.targets([10, 1000, 10]) == pytest.approx([20, 1490, 20])
-    assert mixing.targets([0, 0]) == [0, 0] and mixing.targets([]) == []
+def slow_targets(sizes, weights=(3, 1, 2), share=1.5, most=2.0):
+    w = [weights[k % len(weights)] for k in range(len(sizes))]
+    left, out, open_ = share * sum(sizes), [0.0] * len(sizes), {k for k, n in enumerate(sizes) if n}
+    while open_:
+        total = sum(w[k] for k in open_)
+        over = {k for k in open_ if left * w[k] / total > most * sizes[k]}
+        for k in over or open_:
+            out[k] = most * sizes[k] if over else left * w[k] / total
+        left -= sum(out[k] for k in over)
+        open_ = open_ - over if over else set()
+    return out
+
+
+def test_targets(spark):
+    assert slow_targets([100, 100, 100]) == pytest.approx([200, 250 / 3, 500 / 3])
+    rng = np.random.default_rng(2)
+    cases = [[100, 100, 100], [10, 1000, 10], [0, 0], [], *((10 ** rng.uniform(0, 6, rng.integers(1, 30))).astype(int).tolist() for _ in range(8))]
+    for sizes in cases:
+        df = spark.createDataFrame(list(enumerate(sizes)), "s long, n long")
+        got = [r["target"] for r in mixing.with_targets(df).orderBy("s").collect()]
+        assert got == slow_targets(sizes)
+
+
+def slow_mix(rows, weights=(3, 1, 2), block=512, seed=mixing.SEED):
+    """rows: (doc, source, size, place), place being the document's in its source's order. Words taken by document, block by
+    block and word by word."""
+    sources = sorted({r[1] for r in rows}, key=lambda x: (x is None, x or ""))
+    members = {s: sorted((r for r in rows if r[1] == s), key=lambda r: r[3]) for s in sources}
+    sizes = [sum(r[2] for r in members[s]) for s in sources]
+    taken = Counter({r[0]: 0 for r in rows})
+    for k, (s, target) in enumerate(zip(sources, slow_targets(sizes, weights), strict=True)):
+        words = [r[0] for r in members[s] for _ in range(r[2])]
+        blocks = [words[a : a + block] for a in range(0, len(words), block)]
+        plan = mixing.SourcePlan(k, len(words), int(target), block, seed)
+        left, turn = int(target), 0
+        while left:
+            for b in plan.permutation(turn)(np.arange(len(blocks))):
+                part = blocks[b][:left]
+                taken.update(part)
+                left -= len(part)
+                if not left:
+                    break
+            turn += 1
+    return taken
+
+
+def test_mix_by_brute_force(spark, documents):
+    keyed = with_row_key(documents.select("doc_id", "text", "source"))
+    n = keyed.count()
+    h = F.xxhash64("_row", "_row2", F.lit(mixing.SEED))
+    order = keyed.select("doc_id", "source", F.size(F.split(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " ")), " ")).alias("k"), F.length(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "))).alias("z"), F.struct(F.pmod(h, F.lit(int(n**0.5))), h, "_row", "_row2").alias("place"))
+    rows = [(r["doc_id"], r["source"], r["k"] if r["z"] else 0, tuple(r["place"])) for r in order.collect()]
+    for options in ({}, {"slots_per_shard": 3}):
+        got = {r["doc_id"]: r["taken"] for r in mixing.words_taken(mixing.mix(keyed, **options)).collect()}
+        assert got == dict(slow_mix(rows))
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 17, 1000])
@@ -358,9 +409,17 @@ def test_permutation(n):
     assert sorted(x.tolist()) == list(range(n)) and p(x, back=True).tolist() == list(range(n))
 
 
-def test_draws_add_up():
-    c = mixing.draw_counts([1000, 0, 50, 7], per_shard=100)
-    assert c.sum(0).tolist() == [1000, 0, 50, 7] and len(c) == 11 and (c >= 0).all()
+def test_draws(spark, monkeypatch):
+    """Every slot once, in about the same shards' shares, also over several groups of shards."""
+    monkeypatch.setattr(mixing, "SHARDS_AT_ONCE", 4)
+    words = [100_000, 0, 512 * 50, 700]
+    plans = [(k, n, 2 * n, *mixing.SourcePlan(k, n, 2 * n, 512, 1).slots()) for k, n in enumerate(words)]
+    slots = mixing.draw_slots(spark.createDataFrame(plans, mixing.FACTS), 20, 512, 1).collect()
+    assert Counter(r["s"] for r in slots) == {p[0]: p[3] for p in plans if p[3]}
+    for s, n, *_ in plans:
+        assert Counter((r["block"], r["turn"]) for r in slots if r["s"] == s) == {(b, t): 1 for b in range(-(-n // 512)) for t in (0, 1)}
+    held = Counter(r["shard"] for r in slots)
+    assert set(held) == set(range(-(-len(slots) // 20))) and max(held.values()) < 50
 
 
 def test_mix_meets_targets(spark, sf):
