@@ -7,23 +7,28 @@ ways, and what room the target shard has left for linked documents. Wishes beyon
 if the group is small, so that it moves whole, else by document. At the end a shard's linked documents come first,
 and whatever stands beyond its share of rows moves to the shards that lack rows.
 
+Facts of groups with a share of all rows are broadcast, of others joined (`join_counted`); ranks are windows in two levels of
+about the square root of all rows, over which groups larger than that are spread.
+
 Law `rows`: the shards' row counts differ by one at most. Slots run from 0 without gaps. A group larger than a shard is
 spread over several. Null texts count as empty; an empty table gives no rows; rows repeated as they are each have their slot.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagfold.llm.common import ROW_KEY, attach, cut, fresh, unit, with_row_key
+from tagfold.llm.common import ROW_KEY, attach, cut, fresh, join_counted, unit, with_row_key
 
 SHARDS, ROUNDS = 16, 4
-BUCKET_ROWS = 4096
 GROUP = ("g", "crc", "size")
 
 
-def _prepare(docs: DataFrame, shards: int) -> DataFrame:
+def _prepare(docs: DataFrame, shards: int) -> tuple[DataFrame, int]:
+    """The rows with their first shard and n, the rows of their group; and how many rows there are."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     slim = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), *ROW_KEY, F.xxhash64(text).alias("g"), F.crc32(text.cast("binary")).alias("crc"),
@@ -31,7 +36,8 @@ def _prepare(docs: DataFrame, shards: int) -> DataFrame:
     )
     slim = cut(slim.withColumn("shard", F.pmod(F.xxhash64(*ROW_KEY), F.lit(shards)).cast("int")))
     counts = cut(slim.groupBy(*GROUP).agg(F.count("*").alias("n")))
-    return slim.join(counts, list(GROUP))
+    rows = slim.count()
+    return cut(join_counted(slim, counts, list(GROUP), "n", rows)), rows
 
 
 def shares(rows: int, shards: int) -> list[int]:
@@ -51,20 +57,20 @@ def quotas(wishes: dict[tuple[int, int], int], linked: list[int], room: list[int
 
 
 def propagate(linked: DataFrame, rows: int, shards: int, rounds: int = ROUNDS) -> DataFrame:
-    """linked: rows of groups of two or more with `shard`; gives them their shard after the last round."""
+    """linked: rows of groups of two or more with `shard`, of `rows` rows in all; gives them their shard after the last round."""
     room = shares(rows, shards)
     for turn in range(rounds):
         load = [0] * shards
         for r in linked.groupBy("shard").count().collect():  # at most `shards` rows
             load[r["shard"]] = r["count"]
-        here = linked.groupBy(*GROUP, "shard").agg(F.count("*").alias("c"))
+        here = linked.groupBy(*GROUP, "n", "shard").agg(F.count("*").alias("c"))
         tie = F.xxhash64("g", "crc", "shard")
         # at most `shards` entries a group; a group larger than a shard has as many homes as it needs
-        ranked = here.groupBy(*GROUP).agg(F.sum("c").alias("all"), F.sort_array(F.collect_list(F.struct("c", tie.alias("tie"), "shard")), asc=False)["shard"].alias("ranked"))
-        homes = cut(ranked.select(*GROUP, F.slice("ranked", F.lit(1), F.expr(f"cast(ceil(all / {max(1, room[-1])}) as int)")).alias("homes")))
+        ranked = here.groupBy(*GROUP, "n").agg(F.sort_array(F.collect_list(F.struct("c", tie.alias("tie"), "shard")), asc=False)["shard"].alias("ranked"))
+        homes = cut(ranked.select(*GROUP, "n", F.slice("ranked", F.lit(1), F.expr(f"cast(ceil(n / {max(1, room[-1])}) as int)")).alias("homes")))
         mine = F.get("homes", F.pmod(F.xxhash64(*ROW_KEY, F.lit(3)), F.size("homes")).cast("int"))
         to = F.when(F.array_contains("homes", F.col("shard")), F.col("shard")).otherwise(mine)
-        wish = linked.join(homes, list(GROUP)).withColumn("to", to).drop("homes")
+        wish = join_counted(linked, homes, [*GROUP, "n"], "n", rows).withColumn("to", to).drop("homes")
         table = {(r["shard"], r["to"]): r["count"] for r in wish.where("`to` <> shard").groupBy("shard", "to").count().collect()}
         if not table:
             break
@@ -89,8 +95,8 @@ def _pick(index: Column, values: list[int]) -> Column:
 def settle(placed: DataFrame, rows: int, shards: int) -> DataFrame:
     """Final shard and slot: counts of rows at most one apart."""
     room = shares(rows, shards)
-    buckets = max(1, -(-rows // BUCKET_ROWS))
-    large = F.col("n") > BUCKET_ROWS
+    buckets = max(1, math.isqrt(rows))
+    large = F.col("n") > buckets
     b = (
         placed.withColumn("k", F.when(F.col("n") > 1, 0).otherwise(1))
         .withColumn("gb", F.when(F.col("k") == 0, F.pmod(F.xxhash64("g", "crc"), F.lit(buckets))).otherwise(F.pmod(F.xxhash64(*ROW_KEY, F.lit(1)), F.lit(buckets))))
@@ -122,8 +128,7 @@ def settle(placed: DataFrame, rows: int, shards: int) -> DataFrame:
 
 def shard_rows(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """docs: from `with_row_key`. (doc_id, the row key, size, text_crc32, shard, slot)."""
-    grouped = cut(_prepare(docs, shards))
-    rows = grouped.count()
+    grouped, rows = _prepare(docs, shards)
     linked = propagate(grouped.where("n > 1"), rows, shards)
     return settle(grouped.where("n = 1").unionByName(linked), rows, shards)
 

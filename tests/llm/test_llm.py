@@ -473,6 +473,83 @@ def test_shards_gather_groups(spark):
     assert sum(sorted(at["hot"].values())[-7:]) >= 1200
 
 
+def spark_hash(*values):
+    """Spark's xxhash64 of longs (int) and ints (as ("int", value)), signed."""
+    import xxhash
+
+    seed = 42
+    for v in values:
+        data = v[1].to_bytes(4, "little", signed=True) if isinstance(v, tuple) else v.to_bytes(8, "little", signed=True)
+        seed = xxhash.xxh64_intdigest(data, seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def int_(x):
+    return ("int", x)
+
+
+def slow_shards(rows, shards, rounds=sharding.ROUNDS):
+    """rows: dicts with text, key (a pair) and g, crc. Shard and slot of each, row by row."""
+    n = Counter(r["text"] for r in rows)
+    room = sharding.shares(len(rows), shards)
+    unit = lambda *v: (spark_hash(*v) % (1 << 40)) / (1 << 40)
+    for r in rows:
+        r["shard"] = spark_hash(*r["key"]) % shards
+    linked = [r for r in rows if n[r["text"]] > 1]
+    for turn in range(rounds):
+        load, at, homes, wish = Counter(r["shard"] for r in linked), defaultdict(Counter), {}, Counter()
+        for r in linked:
+            at[r["text"], r["g"], r["crc"]][r["shard"]] += 1
+        for (t, g, crc), c in at.items():
+            ranked = sorted(((k, spark_hash(g, crc, int_(s)), s) for s, k in c.items()), reverse=True)
+            homes[t] = [s for _, _, s in ranked][: -(-n[t] // max(1, room[-1]))]
+        for r in linked:
+            h = homes[r["text"]]
+            r["to"] = r["shard"] if r["shard"] in h else h[spark_hash(*r["key"], int_(3)) % len(h)]
+            if r["to"] != r["shard"]:
+                wish[r["shard"], r["to"]] += 1
+        if not wish:
+            break
+        grant = {}
+        into = Counter()
+        for (a, b), k in wish.items():
+            into[b] += k - min(k, wish[b, a])
+        for (a, b), k in list(wish.items()):
+            swap, free = min(k, wish[b, a]), max(0, room[b] - load[b])
+            grant[a, b] = (swap + (k - swap) * min(1.0, free / into[b] if into[b] else 0.0)) / k if k else 0.0
+        for r in linked:
+            whole = n[r["text"]] * 100 < len(rows) // shards + 1
+            draw = unit(r["g"], r["crc"], int_(turn)) if whole else unit(*r["key"], int_(turn))
+            if r["to"] != r["shard"] and draw < grant[r["shard"], r["to"]]:
+                r["shard"] = r["to"]
+    buckets = max(1, int(len(rows) ** 0.5))
+    held = defaultdict(list)
+    for r in rows:
+        k = n[r["text"]]
+        gb = spark_hash(r["g"], r["crc"]) if k > 1 else spark_hash(*r["key"], int_(1))
+        db = spark_hash(*r["key"], int_(2)) % buckets if k > buckets else 0
+        held[r["shard"]].append((k == 1, gb % buckets, db, r["g"], *r["key"]))
+    out, over = {}, []
+    for s in range(shards):
+        held[s].sort()
+        out |= {x[-2:]: (s, i) for i, x in enumerate(held[s][: room[s]])}
+        over += [x[-2:] for x in held[s][room[s] :]]
+    for s in range(shards):
+        have = len(held[s][: room[s]])
+        out |= {x: (s, have + i) for i, x in enumerate(over[: room[s] - have])}
+        over = over[room[s] - have :]
+    return out
+
+
+@pytest.mark.parametrize("hot", [0, 40, 400])
+def test_shards_by_brute_force(spark, hot):
+    rows = [(k, f"text {k % 90}" if k < 300 else f"single {k}") for k in range(700)] + [(10_000 + k, "hot") for k in range(hot)]
+    keyed = with_row_key(spark.createDataFrame(rows, "doc_id long, text string"))
+    facts = [{"text": r["text"], "key": (r["_row"], r["_row2"]), "g": r["g"], "crc": zlib.crc32(r["text"].encode())} for r in keyed.withColumn("g", F.xxhash64("text")).collect()]
+    got = {(r["_row"], r["_row2"]): (r["shard"], r["slot"]) for r in sharding.shard_rows(keyed, 4).collect()}
+    assert got == slow_shards(facts, 4)
+
+
 def test_shards_odd(spark, odd, none):
     out = sharding.sharded_documents(odd)
     assert out.count() == odd.count() and set(out.columns) == set(odd.columns)
