@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagfold.shared import shared_dir
+from tagfold.shared import hold, shared_dir
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Computes `df` once into the shared checkpoint folder, so that a lost executor costs no recomputation upstream."""
+    """Computes `df` once into the shared folder, so that a lost executor costs no recomputation upstream. What reads it
+    plans by its true size; a checkpoint would hand on estimates, which multiply from join to join."""
+    return hold(df, "cut")
+
+
+def in_order(df: DataFrame) -> DataFrame:
+    """The same, with its partitions as they are, and columns of any names."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
 
@@ -40,7 +46,7 @@ def join_counted(rows: DataFrame, facts: DataFrame, on: list[str], count: str, t
 
 def numbered(df: DataFrame, out: str, *order: Column) -> DataFrame:
     """Adds `out`, the row's place from 0 in the given order: sorted parts, whose sizes alone come to the driver."""
-    parts = cut(df.orderBy(*order))
+    parts = in_order(df.orderBy(*order))
     here = F.spark_partition_id()
     sizes = {r["p"]: r["count"] for r in parts.groupBy(here.alias("p")).count().collect()}
     starts = [0]
@@ -81,7 +87,5 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 def attach(docs: DataFrame, facts: DataFrame, out: str = "fact") -> DataFrame:
     """docs: from `with_row_key`. facts: the key and `fact` (a struct), a row for each copy of a document row. Gives each
     fact, as column `out`, the columns of its document, in one shuffle of the texts; a document without a fact goes."""
-    lists = facts.groupBy(*ROW_KEY).agg(F.collect_list("fact").alias("_facts_of_row"))
-    joined = one_of_each(docs).join(lists, ROW_KEY)
-    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ROW_KEY]
-    return joined.select(*rest, F.explode("_facts_of_row").alias(out))
+    joined = one_of_each(docs).join(facts.withColumnRenamed("fact", "_fact_of_row"), ROW_KEY)
+    return joined.select(*(F.col(f"`{c}`") for c in docs.columns if c not in ROW_KEY), F.col("_fact_of_row").alias(out))

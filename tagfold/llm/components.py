@@ -5,18 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagfold.llm.common import cut
+from tagfold.llm.common import cut, join_counted
 
 MAX_ROUNDS = 60
 
 
-def _stars(edges: DataFrame) -> DataFrame:
-    """edges: (a, b), a > b, distinct. One large star and one small star."""
+def _stars(edges: DataFrame, n: int) -> DataFrame:
+    """edges: (a, b), a > b, distinct, n of them. One large star and one small star. A node may have any share of all edges,
+    so what is known of a node meets its edges by `join_counted`."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
-    down = large.groupBy("a").agg(F.min("b").alias("m"))
-    small = large.join(down, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("k")).withColumn("m", F.least("a", "m"))
+    large = cut(join_counted(both, least, ["a"], "k", 2 * n).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct())
+    down = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("k"))
+    small = join_counted(large, down, ["a"], "k", n).where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return small.unionByName(down.select("a", F.col("m").alias("b"))).distinct()
 
 
@@ -29,5 +30,5 @@ def components(edges: DataFrame) -> DataFrame:
         mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if mark == seen or not mark[0]:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        seen, now = mark, cut(_stars(now))
+        seen, now = mark, cut(_stars(now, mark[0]))
     raise RuntimeError("components did not settle")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from tagfold.llm.common import cut, fresh
+from tagfold.llm.common import cut, fresh, in_order
 
 EDIT_SHARE = 0.05
 MIN_CHARS = 20
@@ -176,7 +176,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, edit_share: float = EDIT_S
     text = "text" if plain else fresh("_text", docs.columns)
     kept, last = docs, None
     for held in hold_items(benchmark, part_bytes):
-        kept = kept if last is None else cut(kept)
+        kept = kept if last is None else in_order(kept)
         last = held
         source = kept if plain else kept.withColumn(text, F.col("text").cast("string"))
         kept = source.mapInArrow(_cleaner(held, edit_share, text, not plain), docs.schema)

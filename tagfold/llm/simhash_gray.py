@@ -14,14 +14,16 @@ the component has no other.
 
 `keep_first` thins a corpus to one row of each group of copies: texts whose sets of five-word shingles have a Jaccard
 similarity of 0.8 or more, which lie at up to some 20 bits, where no intact block of 64 bits is left to deal by. There the
-buckets are keyed by runs of minima of the shingles' hashes. In each bucket the same tree gives all pairs of what is still
-apart, at any bits: fingerprints weigh repeated shingles and sets do not, so equal sets may have any two fingerprints, and
-these neither link texts nor rule pairs out. An odd sketch of each set (Mitzenmacher, Pagh,
-Pham 2014: a bit for each of 512 classes of hashes, set if an odd number of shingles falls in it) takes most of these
-out: sets differ in at least as many shingles as their sketches do in bits, so a pair whose sketches differ in more bits
+buckets are keyed by runs of minima of the shingles' hashes. Links settle in rounds. In the first ones each text of a bucket is held
+against one text of it, so a bucket of any size costs as many pairs as it has rows, and these are few different ones, as large groups
+share theirs over all buckets. What then still holds texts of different groups is searched by the same tree, which
+gives all pairs still apart, at any bits: fingerprints weigh repeated shingles and sets do not, so equal sets may have any
+two fingerprints, and these neither link texts nor rule pairs out. A bucket beyond AT_ONCE rows is cut into parts, and each two
+parts are a task's work. An odd sketch of each set (Mitzenmacher, Pagh,
+Pham 2014: a bit for each of 512 classes of hashes, set if an odd number of shingles falls in it) takes out most pairs
+that are not similar: sets differ in at least as many shingles as their sketches do in bits, so a pair whose sketches differ in more bits
 than a similar pair has shingles apart is not similar, and no similar pair is lost. The rest is settled on the whole
-shingle sets. A first pass gives the nearest pair of each text in each bucket; a second, over the buckets that hold more
-pairs than that, gives all that still join different groups.
+shingle sets.
 """
 
 from __future__ import annotations
@@ -34,19 +36,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagfold.llm.common import ROW_KEY, cut, one_of_each, with_row_key
+from tagfold.llm.common import ROW_KEY, cut, join_counted, one_of_each, with_row_key
 from tagfold.llm.components import components
 
 SHINGLE_WORDS, MAX_BITS, SEED = 4, 4, 42
 FANOUT_BITS = 3
-WIDE = 1 << 24
+#: Distinct fingerprints beyond which two blocks key a bucket, and rows of a bucket beyond which it is dealt by more bits.
+WIDE, FINER = 1 << 24, 1 << 20
 #: Copies: words a shingle, least similarity as a fraction, and buckets of a text with the minima that key one (at a
-#: similarity of 0.8 two texts miss each other in all buckets 8 times in 10,000).
+#: similarity of 0.8 two texts miss each other in all buckets once in 8 million times).
 COPY_WORDS, SIMILAR = 5, (4, 5)
-BANDS, MINIMA = 18, 5
+BANDS, MINIMA = 40, 5
 SKETCH_LONGS = 8
-#: Representatives of at most 24 bytes that are broadcast to fetch their texts; more are joined by shuffling.
+#: Rows of at most 40 bytes that are broadcast; more are joined by shuffling.
 BROADCAST_ROWS = 200_000
+#: Rows of a bucket that are compared in one task, and pairs that get the text of one of them in one task.
+AT_ONCE = 8192
 #: Rows of whole buckets that are searched together, and pairs that are compared at once.
 ROWS_AT_ONCE, PAIRS_AT_ONCE = 1 << 16, 1 << 20
 HASHES_AT_ONCE = 1 << 16
@@ -286,31 +291,55 @@ def _search_batches(max_bits: int):
     return run
 
 
-def similar_links(classes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """classes: distinct `fp`. (a, b): edges that join all fingerprints linked at `max_bits` or fewer."""
-    wide = classes.count() > WIDE
-    masks = bucket_masks(max_bits, wide)
-    keys = F.explode(F.array(*(F.struct(F.lit(k).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for k, m in enumerate(masks))))
-    spread = classes.select("fp", keys.alias("k")).select("k.t", "k.key", "fp")
+def finer_masks(mask: int, max_bits: int) -> list[int]:
+    """The mask with one of max_bits + 1 parts of the other bits each: of two fingerprints that agree in the mask and differ
+    in at most `max_bits` bits, one of these is intact too."""
+    free = [k for k in range(64) if not mask >> k & 1]
+    n = max_bits + 1
+    return [mask | sum(1 << k for k in free[len(free) * i // n : len(free) * (i + 1) // n]) for i in range(n)]
+
+
+def _keyed(rows: DataFrame, masks: list[int], first: int) -> DataFrame:
+    """(t, key, fp): t counts the masks from `first`."""
+    keys = F.explode(F.array(*(F.struct(F.lit(first + k).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for k, m in enumerate(masks))))
+    return rows.select("fp", keys.alias("k")).select("k.t", "k.key", "fp")
+
+
+def similar_links(classes: DataFrame, max_bits: int = MAX_BITS, wide_from: int = WIDE, finer_from: int = FINER) -> DataFrame:
+    """classes: distinct `fp`. (a, b): edges that join all fingerprints linked at `max_bits` or fewer. Beyond `wide_from` of
+    them all buckets are by two blocks; a bucket of more than `finer_from` is dealt anew by a part of its other bits."""
+    masks = bucket_masks(max_bits, classes.count() > wide_from)
+    spread = _keyed(classes, masks, 0)
+    # there are few values of a block, so counts are few; of the full buckets at most masks / finer_from of all rows
+    full = [(r["t"], r["key"]) for r in spread.groupBy("t", "key").count().where(F.col("count") > finer_from).select("t", "key").collect()]
+    if full:
+        held = F.broadcast(spread.sparkSession.createDataFrame(full, "t int, key long"))
+        rest = spread.join(held, ["t", "key"], "left_anti")
+        for t in sorted({t for t, _ in full}):
+            rows = spread.where(F.col("t") == t).join(held, ["t", "key"], "left_semi")
+            rest = rest.unionByName(_keyed(rows, finer_masks(masks[t], max_bits), len(masks) + t * (max_bits + 1)))
+        spread = rest
     dealt = spread.repartition("t", "key").withColumn("gray", gray_rank(F.col("fp"))).sortWithinPartitions("t", "key", "gray")
     return dealt.select("t", "key", "fp").mapInArrow(_search_batches(max_bits), "a long, b long")
 
 
 def label_fingerprints(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """(fp, root, first_doc): each distinct fingerprint, the one its component is named by, its own smallest doc_id."""
-    classes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first_doc")))
+    """(fp, n, root, first_doc): each distinct fingerprint, its rows, the one its component is named by, its own smallest
+    doc_id."""
+    classes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n")))
     roots = components(similar_links(classes.select("fp"), max_bits))
     named = classes.join(roots, classes["fp"] == roots["node"], "left")
-    return cut(named.select("fp", F.coalesce("root", "fp").alias("root"), "first_doc"))
+    return cut(named.select("fp", "n", F.coalesce("root", "fp").alias("root"), "first_doc"))
 
 
 def near_duplicates(docs: DataFrame, words_per_shingle: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest doc_id that links reach."""
     fps = cut(fingerprints(docs, words_per_shingle))
     named = label_fingerprints(fps, max_bits)
-    least = named.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    labels = cut(named.join(least, "root").select("fp", "component_id"))
-    return fps.join(labels, "fp").select("doc_id", "fp", "component_id")
+    least = cut(named.groupBy("root").agg(F.min("first_doc").alias("component_id"), F.count("*").alias("k")))
+    sizes = named.agg(F.count("*").alias("k"), F.sum("n").alias("n")).first()
+    labels = cut(join_counted(named.select("fp", "n", "root"), least, ["root"], "k", sizes["k"]).select("fp", "n", "component_id"))
+    return join_counted(fps, labels, ["fp"], "n", sizes["n"] or 0).select("doc_id", "fp", "component_id")
 
 
 def hex16(fp: Column) -> Column:
@@ -383,43 +412,12 @@ def _fitting(tree: GrayForest, columns: list[np.ndarray], label: np.ndarray) ->
         yield a[fit], b[fit], far[fit]
 
 
-def _shared_buckets(batches: Iterator[pa.RecordBatch], values: list[str]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
-    """As `_whole_buckets`, of buckets with two rows or more; the first column is the fingerprints."""
-    for bucket, columns in _whole_buckets(batches, ["key"], values):
-        many = np.bincount(bucket)[bucket] > 1
-        if many.any():
-            fp, *rest = (x[many] for x in columns)
-            yield np.cumsum(np.r_[False, np.diff(bucket[many]) > 0]), [fp.view(np.uint64), *rest]
-
-
-def _nearest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b): the nearest pair of each text that may be similar; (key, null): a bucket that holds more such pairs."""
-
-    def out(a: np.ndarray, b: np.ndarray | pa.Array) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-    for bucket, (key, *columns) in ((x, [y[1], y[0], *y[2:]]) for x, y in _shared_buckets(batches, ["fp", "key", "c", "n", *SKETCH])):
-        fp, c = columns[:2]
-        none = np.iinfo(np.int64).max
-        nearest, fits = np.full(len(fp), none), np.zeros(bucket[-1] + 1, np.int64)
-        for a, b, far in _fitting(GrayForest(fp, bucket), columns, np.arange(len(fp))):
-            np.minimum.at(nearest, a, far << 32 | b)
-            np.minimum.at(nearest, b, far << 32 | a)
-            fits += np.bincount(bucket[a], minlength=len(fits))
-        a = np.flatnonzero(nearest != none)
-        b = nearest[a] & 0xFFFFFFFF
-        pairs = np.unique(np.minimum(a, b) << 32 | np.maximum(a, b))
-        a, b = pairs >> 32, pairs & 0xFFFFFFFF
-        yield out(c[a], c[b])
-        more = fits > np.bincount(bucket[a], minlength=len(fits))
-        more = key[np.flatnonzero(np.r_[True, np.diff(bucket) > 0])[more]]
-        yield out(more, pa.nulls(len(more), pa.int64()))
-
-
 def _apart_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for bucket, (label, *columns) in ((x, [y[1], y[0], *y[2:]]) for x, y in _shared_buckets(batches, ["fp", "root", "c", "n", *SKETCH])):
-        for a, b, _ in _fitting(GrayForest(columns[0], bucket), columns, label):
-            yield pa.RecordBatch.from_arrays([pa.array(columns[1][a]), pa.array(columns[1][b])], ["a", "b"])
+    """Rows of pairs of parts of buckets: pairs of different groups, of a row of each part, that may be similar."""
+    for bucket, (root, fp, c, n, part, both, *sketch) in _whole_buckets(batches, ["key", "x", "y"], ["root", "fp", "c", "n", "part", "both", *SKETCH]):
+        for a, b, _ in _fitting(GrayForest(fp.view(np.uint64), bucket), [fp.view(np.uint64), c, n, *sketch], root):
+            across = (part[a] != part[b]) | ~both[a]
+            yield pa.RecordBatch.from_arrays([pa.array(c[a][across]), pa.array(c[b][across])], ["a", "b"])
 
 
 def _similar_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -449,45 +447,95 @@ def texts_of_pairs(pairs: DataFrame, keyed: DataFrame, classes: DataFrame) -> Da
     return cut(rows.select("c", "text").dropDuplicates(["c"]))
 
 
-def similar_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) of texts whose shingle sets are similar."""
-    left, right = texts.select(F.col("c").alias("a"), F.col("text").alias("x")), texts.select(F.col("c").alias("b"), F.col("text").alias("y"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_similar_batches, "a long, b long")
+def _with_facts(pairs: DataFrame, side: str, facts: DataFrame) -> DataFrame:
+    """pairs, cut, with `k_`side, the pairs that a text is in on this side, and its facts (`c` and others) with the side as suffix."""
+    counts = pairs.groupBy(F.col(side).alias("c")).agg(F.count("*").alias("k"))
+    named = cut(counts.join(facts, "c")).select(F.col("c").alias(side), *(F.col(x).alias(f"{x}_{side}") for x in ("k", *facts.columns) if x != "c"))
+    return join_counted(pairs, named, [side], f"k_{side}", pairs.count())
 
 
-def _in_buckets(classes: DataFrame, *more: str) -> DataFrame:
-    sketch = (F.col("odd")[k].alias(x) for k, x in enumerate(SKETCH))
-    return classes.select("c", "fp", "n", *more, *sketch, F.explode("keys").alias("key"))
+def _with_text(pairs: DataFrame, side: str, texts: DataFrame) -> DataFrame:
+    """pairs with `k_`side: adds `text_`side. A text that is in many pairs is repeated, so that no task joins more than about
+    AT_ONCE pairs with it."""
+    other = "b" if side == "a" else "a"
+    copies = lambda k: F.ceil(k / AT_ONCE).cast("int")
+    dealt = pairs.withColumn("part", F.pmod(F.xxhash64(other), copies(F.col(f"k_{side}"))).cast("int"))
+    times = cut(pairs.groupBy(F.col(side).alias("c")).agg(F.max(f"k_{side}").alias("k")))
+    spread = texts.join(times, "c").select(F.col("c").alias(side), F.col("text").alias(f"text_{side}"), F.explode(F.sequence(F.lit(0), copies(F.col("k")) - 1)).alias("part"))
+    return dealt.join(spread, [side, "part"]).drop("part")
 
 
-def _dealt(buckets: DataFrame) -> DataFrame:
-    sorted_ = buckets.repartition("key").withColumn("gray", gray_rank(F.col("fp"))).sortWithinPartitions("key", "gray", "c")
-    return sorted_.drop("gray")
+def similar_pairs(pairs: DataFrame, keyed: DataFrame, classes: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) of texts whose shingle sets are similar: by sizes, by sketches, and by the whole sets of the
+    rest."""
+    up, down = SIMILAR
+    sets = classes.select("c", "n", "odd")
+    known = _with_facts(cut(_with_facts(pairs, "a", sets)), "b", sets)
+    far = sum((F.bit_count(F.col("odd_a")[k].bitwiseXOR(F.col("odd_b")[k])) for k in range(SKETCH_LONGS)), F.lit(0))
+    fits = (down * F.least("n_a", "n_b") >= up * F.greatest("n_a", "n_b")) & ((up + down) * far <= (down - up) * (F.col("n_a") + F.col("n_b")))
+    left = cut(known.where(fits).select("a", "b", "k_a", "k_b"))
+    texts = texts_of_pairs(left, keyed, classes)
+    both = _with_text(cut(_with_text(left, "a", texts)), "b", texts).sortWithinPartitions("b")
+    return both.select("a", "b", F.col("text_a").alias("x"), F.col("text_b").alias("y")).mapInArrow(_similar_batches, "a long, b long")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _unsettled(rows: DataFrame, pick, n: int) -> tuple[DataFrame, int]:
+    """rows: key, c, root; n of them. Those of buckets with several roots, with m, the rows of the bucket, and the text of it
+    that `pick` names and its root; and how many are left."""
+    row = F.struct("c", "root")
+    facts = cut(rows.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("low"), F.max("root").alias("high"), pick(row).alias("pivot")).where("low < high").select("key", "m", "pivot"))
+    if facts.count() <= BROADCAST_ROWS:
+        left = rows.join(F.broadcast(facts), "key")
+    else:
+        left = join_counted(rows, facts, ["key"], "m", n)
+    left = cut(left)
+    return left, left.count()
+
+
+def _in_parts(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """rows: key, c, root, m. Each bucket for each two of its parts of about AT_ONCE rows, sorted for `_apart_batches`."""
+    sketch = (F.col("odd")[k].alias(x) for k, x in enumerate(SKETCH))
+    known = rows.join(classes.select("c", "fp", "n", *sketch), "c")
+    parts = F.ceil(F.col("m") / AT_ONCE).cast("int")
+    met = known.withColumn("part", F.pmod(F.xxhash64("c"), parts).cast("int")).withColumn("z", F.explode(F.sequence(F.lit(0), parts - 1)))
+    dealt = met.select("key", F.least("part", "z").alias("x"), F.greatest("part", "z").alias("y"), "root", "fp", "c", "n", "part", (F.col("part") != F.col("z")).alias("other"), *SKETCH)
+    return dealt.withColumn("both", F.col("x") != F.col("y")).drop("other").repartition("key", "x", "y").withColumn("gray", gray_rank(F.col("fp"))).sortWithinPartitions("key", "x", "y", "gray", "c").drop("gray")
+
+
 def copy_groups(keyed: DataFrame) -> DataFrame:
     """keyed: from `with_row_key`. (c, root, best): each distinct text, its group and its row with the smallest doc_id.
     Texts of a bucket link if they are similar. Texts are named by 64 bits in links and by 128 elsewhere."""
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *ROW_KEY)).alias("best")
     classes = cut(sketches(keyed).groupBy("c", "c2").agg(best, *(F.first(x).alias(x) for x in ("fp", "n", "keys", "odd"))))
-    found = cut(_dealt(_in_buckets(classes)).mapInArrow(_nearest_batches, "a long, b long"))
-    nearest = cut(_ordered(found.where("b is not null")))
-    near = similar_pairs(nearest, texts_of_pairs(nearest, keyed, classes))
-    roots = components(near)
-
-    grouped = classes.join(roots, classes["c"] == roots["node"], "left").drop("node").withColumn("root", F.coalesce("root", "c"))
-    fuller = cut(found.where("b is null").select(F.col("a").alias("key")).distinct())
-    small = fuller.count() <= BROADCAST_ROWS
-    buckets = _in_buckets(grouped, "root").join(F.broadcast(fuller) if small else fuller, "key", "left_semi")
-    apart = _dealt(buckets).mapInArrow(_apart_batches, "a long, b long")
-    rest = cut(_ordered(apart).join(nearest, ["a", "b"], "left_anti"))
-    more = similar_pairs(rest, texts_of_pairs(rest, keyed, classes))
-    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
-    return classes.join(roots, classes["c"] == roots["node"], "left").select("c", F.coalesce("root", "c").alias("root"), "best")
+    names, n = classes.select("c", "best"), classes.count() * BANDS
+    rows = classes.select(F.explode("keys").alias("key"), "c").withColumn("root", F.col("c"))
+    roots, links, tried = None, None, None
+
+    def settle(pairs: DataFrame) -> DataFrame:
+        nonlocal links, tried
+        new = _ordered(pairs)
+        new = cut(new if tried is None else new.join(tried, ["a", "b"], "left_anti"))
+        if roots is not None and new.isEmpty():
+            return roots
+        tried = new if tried is None else tried.unionByName(new)
+        found = cut(similar_pairs(new, keyed, classes))
+        links = found if links is None else links.unionByName(found)
+        return components(links)
+
+    def named(rows: DataFrame) -> DataFrame:
+        return cut(rows.join(roots, rows["c"] == roots["node"], "left").withColumn("root", F.coalesce(roots["root"], "c")).drop("node"))
+
+    for pick in (F.min, F.max):
+        rows, n = _unsettled(rows, pick, n)
+        roots = settle(rows.where("root <> pivot.root").select(F.col("c").alias("a"), F.col("pivot.c").alias("b")))
+        rows = named(rows.select("key", "c"))
+    rows, n = _unsettled(rows, F.min, n)
+    roots = settle(_in_parts(rows.drop("pivot"), classes).mapInArrow(_apart_batches, "a long, b long"))
+    return names.join(roots, names["c"] == roots["node"], "left").select("c", F.coalesce("root", "c").alias("root"), "best")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
@@ -497,4 +545,4 @@ def keep_first(docs: DataFrame) -> DataFrame:
     first = copy_groups(keyed).groupBy("root").agg(F.min("best").alias("best"))
     kept = cut(first.select("best._row", "best._row2"))
     # rows equal in every column are one document
-    return one_of_each(keyed).join(kept, ROW_KEY, "left_semi").drop(*ROW_KEY)
+    return one_of_each(keyed.join(kept, ROW_KEY, "left_semi")).drop(*ROW_KEY)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tagfold.llm import ann_additive, chat_format, components, decontaminate, license_scan, mixing, pii_anchor, quality_crf, queries, sharding, simhash_gray, url_filter
-from tagfold.llm.common import attach, with_row_key
+from tagfold.llm.common import HOT_SHARE, attach, join_counted, numbered, with_row_key
 
 LONG = " ".join(f"word{k % 977} item{k % 31}" for k in range(30_000))
 CLASHES = "fp long, g long, size long, score double, _text string, s int, shard int, slot long, fact string, root long, w string, grams string"
@@ -652,16 +652,14 @@ def test_simhash_by_brute_force(spark, documents):
     assert {r["doc_id"]: r["component_id"] for r in rows} == slow_components(fps)
 
 
-@pytest.mark.parametrize("wide", [False, True])
-def test_index_finds_every_link(spark, wide, monkeypatch):
+@pytest.mark.parametrize("options", [{}, {"wide_from": 0}, {"finer_from": 20}, {"wide_from": 0, "finer_from": 3}])
+def test_index_finds_every_link(spark, options):
     rng = np.random.default_rng(5)
     balls = [int(x) for x in rng.integers(0, 1 << 63, 12)]
     fps = {b ^ sum(1 << int(k) for k in rng.choice(64, n, replace=False)) for b in balls for n in rng.integers(0, 7, 60)}
     fps |= {int(x) for x in rng.integers(0, 1 << 63, 300)} | {k for k in range(40)}
-    if wide:
-        monkeypatch.setattr(simhash_gray, "WIDE", 0)
     df = spark.createDataFrame([(simhash_gray._signed(x),) for x in sorted(fps)], "fp long")
-    found = components.components(simhash_gray.similar_links(df)).collect()
+    found = components.components(simhash_gray.similar_links(df, **options)).collect()
     root = {x: x for x in map(simhash_gray._signed, fps)} | {r["node"]: r["root"] for r in found}
     want = slow_components({simhash_gray._signed(x): x for x in fps})
     assert all(root[d] == want[d] for d in want)
@@ -740,7 +738,9 @@ def test_odd_sketch_never_exceeds_the_difference():
         assert apart <= len(np.setxor1d(a, b)) and (n != 80 or apart > 0)
 
 
-def test_large_group_of_copies_of_a_template(spark):
+@pytest.mark.parametrize("at_once", [8192, 17])
+def test_large_group_of_copies_of_a_template(spark, at_once, monkeypatch):
+    monkeypatch.setattr(simhash_gray, "AT_ONCE", at_once)
     rng = np.random.default_rng(11)
     base, texts = [f"w{x}" for x in range(120)], {}
     for d in range(260):
@@ -799,6 +799,20 @@ def test_components_of_a_path(spark):
     assert components.components(df.limit(0)).count() == 0
 
 
+def test_join_counted_has_hot_and_other_keys(spark):
+    rows = spark.createDataFrame([(0, k) for k in range(4000)] + [(1 + k // 2, k) for k in range(4000)], "key long, v long")
+    facts = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum("v").alias("s"))
+    got = join_counted(rows, facts.where("key <> 7"), ["key"], "n", 8000)
+    assert facts.where(F.col("n") * HOT_SHARE >= 8000).count() == 1
+    assert got.exceptAll(rows.join(facts, "key").where("key <> 7").select(*got.columns)).count() == 0 and got.count() == 7998
+
+
+def test_numbered_counts_over_parts(spark):
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("x")).repartition(7)
+    assert [r["n"] for r in numbered(df, "n", F.col("x")).orderBy("x").collect()] == list(range(1000))
+    assert numbered(df.limit(0), "n", F.col("x")).count() == 0
+
+
 def test_attach_keeps_each_copy(spark, odd):
     keyed = with_row_key(odd)
     facts = keyed.select("_row", "_row2", F.struct(F.lit(1).alias("x")).alias("fact"))
