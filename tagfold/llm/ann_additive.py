@@ -3,20 +3,23 @@
 A vector is its norm times a direction; the direction is the sum of one word from each of BOOKS codebooks of full
 dimension, each trained by k-means on what the ones before left over. Encoding keeps the BEAM best partial sums from book
 to book, by products looked up in tables. Queries are scored against codes by a table of their products with all words,
-times the stored norm; the SHORTLIST best of each block are scored again on the original vectors in double precision.
+times the stored norm; the SHORTLIST best of each batch of rows are scored again on the original vectors in double precision.
 
-Books are trained on at most TRAIN_ROWS rows, the first by a hash of vec_id; every row is encoded. Rows and queries meet in
-blocks of bounded size, so that no task holds more than BLOCK_ROWS rows against BLOCK_QUERIES queries. The best of each
-block are merged by a window.
+Books are trained on at most TRAIN_ROWS rows, the first by a hash of vec_id; every row is encoded, once, into a table. Queries
+are broadcast in turns of QUERIES_AT_A_TURN; in each turn tasks read the encoded rows where they lie, batch by batch, and keep
+the best rows of each query so far. No vector is shuffled, and a query costs k rows of a few numbers a task, however many turns
+there are. The best of all tasks are merged by a window.
 
-Vectors that are null, zero, or hold null or non-finite parts take no part, nor do those of another length than the most
-frequent one (the longer on a tie). Rows of a query's vec_id are its own. Rows that repeat a vec_id count once, with the
-smallest vector by its bytes. Equal scores go by vec_id. Null vec_ids take no part. Empty tables give no rows.
+Vectors that are null, empty, zero, or hold null or non-finite parts take no part. An inner product needs equal lengths, so a
+query meets the vectors of its own length, each length with its own books. Every row is a row of its own: of rows that repeat
+a vec_id each is a query (if it qualifies) and a candidate for the others. Equal scores go by vec_id, then by the
+row's number. Null vec_ids take no part. Empty tables give no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +30,7 @@ from tagfold.llm.common import cut
 
 BOOKS, WORDS, BEAM, ROUNDS = 24, 64, 4, 8
 TRAIN_ROWS, SEED = 16_384, 7
-BLOCK_ROWS, BLOCK_QUERIES, SHORTLIST, QUERIES_AT_ONCE = 8192, 4096, 384, 256
+QUERIES_AT_A_TURN, SHORTLIST, QUERIES_AT_ONCE = 4096, 384, 256
 
 
 def train(x: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int = ROUNDS, seed: int = SEED) -> np.ndarray:
@@ -82,51 +85,48 @@ def take_best(scores: np.ndarray, n: int) -> np.ndarray:
     return np.nonzero(take)[1].reshape(len(scores), n)
 
 
-def _search(k: int, books_value):
-    def run(base: pa.Table, queries: pa.Table) -> pa.Table:
-        schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
-        if not base.num_rows or not queries.num_rows:
-            return schema.empty_table()
-        books = books_value.value
-        m, words, d = books.shape
-
-        def matrix(t: pa.Table, column: str) -> np.ndarray:
-            return np.frombuffer(b"".join(t.column(column).to_pylist()), "<f8").reshape(-1, d)
-
-        ids, x = np.asarray(base.column("vec_id")), matrix(base, "v")
-        codes = np.frombuffer(b"".join(base.column("codes").to_pylist()), np.uint8).reshape(-1, m)
-        norm = np.asarray(base.column("norm"))
-        raw = base.column("v").to_pylist()
-        order = sorted(range(len(ids)), key=lambda i: (ids[i], raw[i]))
-        order = np.array(order)[np.r_[True, ids[order][1:] != ids[order][:-1]]]
-        ids, x, codes, norm = ids[order], x[order], codes[order], norm[order].astype(np.float32)
-        qid, q = np.asarray(queries.column("query_id")), matrix(queries, "v")
-        out = []
-        for a in range(0, len(q), QUERIES_AT_ONCE):
-            part, own = q[a : a + QUERIES_AT_ONCE], qid[a : a + QUERIES_AT_ONCE]
-            tables = np.einsum("qd,mkd->mqk", part, books).astype(np.float32)
-            score = np.zeros((len(part), len(ids)), np.float32)
-            for j in range(m):
-                score += tables[j][:, codes[:, j]]
-            score *= norm
-            score[own[:, None] == ids] = -np.inf
-            short = take_best(score, SHORTLIST)
-            exact = np.einsum("qd,qrd->qr", part, x[short])
-            theirs = ids[short]
-            exact[theirs == own[:, None]] = -np.inf
-            pick = np.lexsort((theirs, -exact), axis=1)[:, :k]
-            rows = np.arange(len(part))[:, None]
-            out.append((np.repeat(own, pick.shape[1]), theirs[rows, pick].ravel(), exact[rows, pick].ravel()))
-        who, what, score = (np.concatenate(c) for c in zip(*out, strict=True))
-        real = what != who
-        return pa.Table.from_arrays([pa.array(who[real]), pa.array(what[real]), pa.array(score[real])], schema=schema)
+def _search(k: int, books_value, queries_value):
+    """Encoded rows to the k best of a task for each query of a turn."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        books, (own, q_id, q) = books_value.value, queries_value.value
+        m, _, d = books.shape
+        # only a query's own order counts, so its scale is taken out
+        tables = np.einsum("qd,mkd->mqk", q / np.abs(q).max(1, keepdims=True), books).astype(np.float32)
+        best = np.full((len(q), k), -np.inf)
+        best_id, best_row = np.zeros((len(q), k), np.int64), np.zeros((len(q), k), np.int64)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            row, ids, norm = (np.asarray(b.column(c)) for c in ("row", "vec_id", "norm"))
+            x = np.frombuffer(b"".join(b.column("v").to_pylist()), "<f8").reshape(-1, d)
+            codes = np.frombuffer(b"".join(b.column("codes").to_pylist()), np.uint8).reshape(-1, m)
+            order = np.lexsort((row, ids))  # equal scores go by place
+            row, ids, norm, x, codes = row[order], ids[order], norm[order], x[order], codes[order]
+            for a in range(0, len(q), QUERIES_AT_ONCE):
+                z = slice(a, a + QUERIES_AT_ONCE)
+                score = np.zeros((len(own[z]), len(row)), np.float32)
+                for j in range(m):
+                    score += tables[j, z][:, codes[:, j]]
+                score = score * norm
+                score[own[z, None] == row] = -np.inf
+                short = take_best(score, SHORTLIST)
+                exact = np.einsum("qd,qrd->qr", q[z], x[short])
+                exact[row[short] == own[z, None]] = -np.inf
+                all_ = [np.concatenate([old[z], new], axis=1) for old, new in ((best, exact), (best_id, ids[short]), (best_row, row[short]))]
+                pick = np.lexsort((all_[2], all_[1], -all_[0]), axis=1)[:, :k]
+                best[z], best_id[z], best_row[z] = (np.take_along_axis(c, pick, axis=1) for c in all_)
+        who, at = np.nonzero(best > -np.inf)
+        for a in range(0, len(who), 1 << 16):
+            w, i = who[a : a + (1 << 16)], at[a : a + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (own[w], q_id[w], best_id[w, i], best_row[w, i], best[w, i])], ["query_row", "query_id", "vec_id", "row", "score"])
 
     return run
 
 
-def usable(v: Column, size: int) -> Column:
+def usable(v: Column) -> Column:
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return v.isNotNull() & (F.size(v) == size) & F.coalesce(finite, F.lit(False)) & F.exists(v, lambda x: x != 0)
+    return F.coalesce(finite, F.lit(False)) & F.exists(v, lambda x: x != 0)
 
 
 def _encoder(books_value):
@@ -141,34 +141,53 @@ def _encoder(books_value):
             norm = np.linalg.norm(x / big[:, None], axis=1) * big
             parts = [encode(x[a : a + 2048] / norm[a : a + 2048, None], books) for a in range(0, len(x), 2048)]
             codes = np.concatenate(parts)
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array([r.tobytes() for r in x], pa.binary()), pa.array([r.tobytes() for r in codes], pa.binary()), pa.array(norm)], ["vec_id", "v", "codes", "norm"])
+            blobs = [pa.array([r.tobytes() for r in y], pa.binary()) for y in (x, codes)]
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), *blobs, pa.array(norm)], ["vec_id", "v", "codes", "norm"])
 
     return run
 
 
-def nearest(vectors: DataFrame, queries_where: str, k: int) -> DataFrame:
-    """vectors: vec_id, embedding. (query_id, rank, vec_id, score) of the k nearest rows to each row that meets
-    `queries_where`."""
-    spark = vectors.sparkSession
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).where("vec_id is not null and v is not null")
-    lengths = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
-    d = lengths[0]["d"] if lengths else 0
-    good = rows.where(usable(F.col("v"), d)) if d else rows.where("false")
-    total = good.agg(F.count("*").alias("n"), F.count_if(F.expr(queries_where)).alias("q")).first()
-    schema = "query_id long, vec_id long, score double"
-    if not total["q"] or total["n"] < 2:
-        empty = spark.createDataFrame([], schema)
-        return empty.select("query_id", F.lit(1).alias("rank"), "vec_id", "score")
-    sample = good.orderBy(F.xxhash64("vec_id", F.lit(SEED)), "vec_id").limit(TRAIN_ROWS).select("v").toArrow()
+def _turns(asked: DataFrame, n: int) -> Iterator[list]:
+    """Queries in turns, each collected by itself."""
+    turns = -(-n // QUERIES_AT_A_TURN)
+    for t in range(turns):
+        rows = asked.where(F.pmod(F.xxhash64("row"), F.lit(turns)) == t).collect()
+        if rows:
+            yield rows
+
+
+def _nearest_of_length(rows: DataFrame, d: int, n: int, queries_where: str, k: int) -> DataFrame | None:
+    """rows: vec_id, v, n of them, all of length d."""
+    spark = rows.sparkSession
+    asked = rows.where(queries_where).count()
+    if not asked or n < 2:
+        return None
+    sample = rows.orderBy(F.xxhash64("vec_id", F.lit(SEED)), "vec_id", "v").limit(TRAIN_ROWS).select("v").toArrow()
     x = np.asarray(sample.column("v").combine_chunks().flatten(), np.float64).reshape(-1, d)
     x = x / np.abs(x).max(1, keepdims=True)
     books = spark.sparkContext.broadcast(train(x / np.linalg.norm(x, axis=1, keepdims=True)))  # BOOKS * WORDS vectors
-    encoded = cut(good.mapInArrow(_encoder(books), "vec_id long, v binary, codes binary, norm double"))
-    base_blocks, query_blocks = -(-total["n"] // BLOCK_ROWS), -(-total["q"] // BLOCK_QUERIES)
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    base = encoded.withColumn("bb", F.pmod(F.xxhash64("vec_id"), F.lit(base_blocks)).cast("int")).withColumn("qb", each(query_blocks))
-    asked = encoded.where(queries_where).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("v"))
-    asked = asked.withColumn("qb", F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(query_blocks)).cast("int")).withColumn("bb", each(base_blocks))
-    met = base.groupBy("bb", "qb").cogroup(asked.groupBy("bb", "qb")).applyInArrow(_search(k, books), schema)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    encoded = rows.mapInArrow(_encoder(books), "vec_id long, v binary, codes binary, norm double")
+    # a row's number is stored with it
+    encoded = cut(encoded.withColumn("row", F.monotonically_increasing_id()))
+    found = []
+    for turn in _turns(encoded.where(queries_where).select("row", "vec_id", "v"), asked):
+        turn.sort(key=lambda r: r["row"])
+        value = (np.array([r["row"] for r in turn]), np.array([r["vec_id"] for r in turn]), np.frombuffer(b"".join(r["v"] for r in turn), "<f8").reshape(-1, d))
+        held = spark.sparkContext.broadcast(value)  # QUERIES_AT_A_TURN vectors or about so many
+        found.append(encoded.mapInArrow(_search(k, books, held), "query_row long, query_id long, vec_id long, row long, score double"))
+    best = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")
+    ranked = reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(best))
+    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def nearest(vectors: DataFrame, queries_where: str, k: int) -> DataFrame:
+    """vectors: vec_id, embedding. (query_id, rank, vec_id, score) of the k nearest rows to each row that meets
+    `queries_where`."""
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
+    good = rows.where(F.col("vec_id").isNotNull() & usable(F.col("v")))
+    lengths = good.groupBy(F.size("v").alias("d")).count().orderBy("d").collect()
+    found = [_nearest_of_length(good.where(F.size("v") == r["d"]), r["d"], r["count"], queries_where, k) for r in lengths]
+    found = [f for f in found if f is not None]
+    if not found:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return reduce(DataFrame.unionByName, found)

@@ -209,8 +209,8 @@ def test_ann_recall(spark):
 
 
 def test_ann_recall_in_a_full_block_of_random_vectors():
-    """The hardest case: no structure that books could learn, as many rows as a block holds."""
-    x = np.random.default_rng(8).normal(size=(ann_additive.BLOCK_ROWS, 64))
+    """The hardest case: no structure that books could learn, as many rows as a batch holds."""
+    x = np.random.default_rng(8).normal(size=(10_000, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     books = ann_additive.train(x)
     codes = np.concatenate([ann_additive.encode(x[a : a + 2048], books) for a in range(0, len(x), 2048)])
@@ -226,12 +226,27 @@ def test_ann_ties_and_odd_rows(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string")
     got = ann_additive.nearest(df, "vec_id % 20 = 0", 20).orderBy("query_id", "rank").collect()
     first = [r["vec_id"] for r in got if r["query_id"] == 1000]
-    assert first == list(range(1, 21)) and [r["vec_id"] for r in got if r["query_id"] == 20] == [*range(1, 20), 21]
+    assert first == [k for k in range(1, 21) for _ in "xy"] and [r["vec_id"] for r in got if r["query_id"] == 20] == [*range(1, 20), 21]
     assert ann_additive.nearest(df.limit(0), "vec_id % 20 = 0", 20).count() == 0
     few = ann_additive.nearest(df.where("vec_id in (20, 21)"), "vec_id % 20 = 0", 20).collect()
     assert [(r["query_id"], r["rank"], r["vec_id"]) for r in few] == [(20, 1, 21)]
     huge = spark.createDataFrame([(20, [1e200, 0.0]), (21, [1e-200, 1.0])], "vec_id long, embedding array<double>")
     assert ann_additive.nearest(huge, "vec_id % 20 = 0", 20).count() == 1
+    # rows of one vec_id are candidates for each other; lengths meet their own
+    twins = spark.createDataFrame([(20, [1.0, 0.0]), (20, [2.0, 0.0]), (21, [0.5, 0.0]), (40, [1.0]), (41, [3.0])], "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in ann_additive.nearest(twins, "vec_id % 20 = 0", 20).collect())
+    assert got == [(20, 1, 20, 2.0), (20, 1, 20, 2.0), (20, 2, 21, 0.5), (20, 2, 21, 1.0), (40, 1, 41, 3.0)]
+
+
+def test_ann_turns_change_nothing(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(k, x.tolist()) for k, x in enumerate(rng.integers(-9, 10, (1500, 8)).astype(float))]  # exact products
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    monkeypatch.setattr(ann_additive, "SHORTLIST", 2000)
+    want = {(q, rank + 1, i) for q, found in exact_nearest(rows, 20).items() for rank, (i, _) in enumerate(found)}
+    for size in (4096, 11):
+        monkeypatch.setattr(ann_additive, "QUERIES_AT_A_TURN", size)
+        assert {(r["query_id"], r["rank"], r["vec_id"]) for r in ann_additive.nearest(df, "vec_id % 20 = 0", 20).collect()} == want
 
 
 def test_take_best_keeps_first_of_equal():
