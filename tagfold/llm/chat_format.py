@@ -2,8 +2,8 @@
 
 A turn is prefix, body, suffix. Control strings that occur inside a text or a role get a backslash after their first
 character, and those that already have backslashes there get one more, so that unescaping by one gives the text back.
-Bodies, prefixes and suffixes are copied by numpy: lengths, cumulative offsets and gather indices for a run of turns, one
-allocated Arrow buffer for the run's output. The mask is kept as spans of bytes of the formatted text.
+Bodies, prefixes and suffixes are copied by numpy: from the segments' lengths come their offsets in the run's output, and the
+bytes of each kind of segment are scattered to these places in one allocated Arrow buffer. The mask is kept as spans of bytes of the formatted text.
 
 Turns stand in the order of turn, role, text (nulls first); rows repeated as they are stay. A null text or role is empty.
 A null conv_id is a conversation. A conversation's text is one value, so it must fit a row; runs of turns are bounded
@@ -49,37 +49,47 @@ def _buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(a.buffers()[2] or b"", np.uint8), at[:-1], np.diff(at)
 
 
+def _scatter(out: np.ndarray, to: np.ndarray, length: np.ndarray, data: np.ndarray) -> None:
+    """Copies segments that lie one after another in data to their places in out."""
+    from_ = np.cumsum(length) - length
+    out[np.arange(int(length.sum())) + np.repeat(to - from_, length)] = data
+
+
 def assemble(conv: np.ndarray, roles: pa.Array, texts: pa.Array) -> tuple[pa.Array, list[np.ndarray], list[np.ndarray]]:
     """conv: number of the conversation of each turn, from 0, in order. Formatted texts, and the loss spans of each."""
     n = len(conv)
-    fixed = [x for pair in TEMPLATE.values() for x in pair] + ["", OTHER[2]]
+    fixed = [x.encode() for pair in TEMPLATE.values() for x in pair] + [b"", OTHER[2].encode()]
     prefix, suffix = np.full(n, len(TEMPLATE) * 2), np.full(n, len(TEMPLATE) * 2 + 1)
     for k, role in enumerate(TEMPLATE):
         own = np.asarray(pc.equal(roles, role))
         prefix[own], suffix[own] = 2 * k, 2 * k + 1
     other = prefix == len(TEMPLATE) * 2
     names = pc.if_else(pa.array(other), pc.binary_join_element_wise(OTHER[0], escape(roles), OTHER[1], ""), "")
-    pool, pool_at, pool_n = _buffers(pa.array(fixed))
     name_data, name_at, name_n = _buffers(names)
     body_data, body_at, body_n = _buffers(escape(texts))
-    source = np.concatenate([pool, name_data, body_data])
+    fixed_n = np.array([len(x) for x in fixed])
     # segments of a turn: prefix or role name, body, suffix
-    start = np.stack([np.where(other, name_at + len(pool), pool_at[prefix]), body_at + len(pool) + len(name_data), pool_at[suffix]], 1).ravel()
-    length = np.stack([np.where(other, name_n, pool_n[prefix]), body_n, pool_n[suffix]], 1).ravel()
+    length = np.stack([np.where(other, name_n, fixed_n[prefix]), body_n, fixed_n[suffix]], 1).ravel()
     to = np.concatenate([[0], np.cumsum(length)])
     total = int(to[-1])
     buffer = pa.allocate_buffer(total)
-    gather = np.arange(total, dtype=np.int64) + np.repeat(start - to[:-1], length)
-    np.take(source, gather, out=np.frombuffer(buffer, np.uint8))
+    out = np.frombuffer(buffer, np.uint8)
+    for at, number in ((to[:-1:3], prefix), (to[2:-1:3], suffix)):
+        for k, x in enumerate(fixed):
+            if x:
+                out[at[number == k][:, None] + np.arange(len(x))] = np.frombuffer(x, np.uint8)
+    for at, size, data, first_byte in ((to[:-1:3], name_n, name_data, name_at), (to[1:-1:3], body_n, body_data, body_at)):
+        if n:
+            _scatter(out, at, size, data[first_byte[0] : first_byte[0] + int(size.sum())])
     first = np.flatnonzero(np.r_[True, conv[1:] != conv[:-1]])
     edges = np.concatenate([to[3 * first], [total]]).astype(np.int64)
-    out = pa.Array.from_buffers(pa.large_string(), len(first), [None, pa.py_buffer(edges.tobytes()), buffer])
+    formatted = pa.Array.from_buffers(pa.large_string(), len(first), [None, pa.py_buffer(edges.tobytes()), buffer])
     masked = np.asarray(pc.equal(roles, "assistant"))
     a, z = to[1::3][masked], to[2::3][masked]
     owner = conv[masked] - conv[0]
     split = np.searchsorted(owner, np.arange(1, len(first)))
     base = edges[:-1][owner]
-    return out, np.split(a - base, split), np.split(z - base, split)
+    return formatted, np.split(a - base, split), np.split(z - base, split)
 
 
 def _format(rows: pa.Table) -> pa.RecordBatch:
