@@ -6,8 +6,10 @@ is trained by gradient ascent on documents whose lines all bear the document's l
 forward-backward gives each line, weighted by the line's length, add up to the document's score.
 
 Training takes at most TRAIN_PER_CLASS labelled documents of each class, the first by a hash of doc_id, from the rows
-the caller lets it learn from; the classes are weighted back to their shares. Everything else runs over whole texts. Only
-line features of that sample and its labels reach the driver, and only TWO rows of weights go back.
+the caller lets it learn from, and of these as many as have TRAIN_LINES lines together (a document that would pass that bound
+is left out, the next may fit); the classes are weighted back to their shares. Everything else runs over whole texts. Only
+line features of that sample and its labels reach the driver, and only weights go back. Of several rows of a labelled
+doc_id the one with the least hash of its text trains.
 
 An empty or null text is one empty line. Without any labelled row, or with one class alone, the field has zero weights
 or that class's share as its prior. Repeated rows score alike; extra columns are ignored.
@@ -23,9 +25,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from tagfold.llm.common import fresh
+from tagfold.llm.common import cut, fresh
 
-TRAIN_PER_CLASS = 3000
+TRAIN_PER_CLASS, TRAIN_LINES = 3000, 200_000
 STEPS, RATE, L2 = 250, 0.08, 1e-3
 #: Text bytes whose features are computed at once, unless a single text is longer.
 CHUNK_BYTES = 1 << 20
@@ -233,14 +235,24 @@ def train(features: np.ndarray, first: np.ndarray, label: np.ndarray, weight: np
 def _features_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     make = LineFeatures()
     for b in batches:
-        ids, good = b.column("doc_id").to_pylist(), b.column("good").to_pylist()
         for a, z, data, offsets in _chunks(b.column("text")):
             f, _, first = make(data, offsets)
             blobs = [f[i:j].astype("<f4").tobytes() for i, j in zip(first[:-1], first[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[a:z], pa.int64()), pa.array(good[a:z], pa.int32()), pa.array(blobs, pa.binary())], ["doc_id", "good", "lines"])
+            known = [b.column(x).slice(a, z - a) for x in ("doc_id", "good", "hash")]
+            yield pa.RecordBatch.from_arrays([*known, pa.array(np.diff(first)), pa.array(blobs, pa.binary())], ["doc_id", "good", "hash", "n", "lines"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, per_class: int = TRAIN_PER_CLASS) -> Field:
+def within_lines(rows: list, lines: int) -> list:
+    """rows: (doc_id, n) in order. Those that fit into so many lines together, taken in turn."""
+    taken = []
+    for r in rows:
+        if r["n"] <= lines:
+            lines -= r["n"]
+            taken.append(r)
+    return taken
+
+
+def fit(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, per_class: int = TRAIN_PER_CLASS, lines: int = TRAIN_LINES) -> Field:
     """labels: doc_id, quality. may_learn: a condition on doc_id."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("good")).where("doc_id is not null and good in (0, 1)")
     if may_learn is not None:
@@ -254,8 +266,13 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, per
     if picked is None:
         return train(np.zeros((0, N_FEATURES)), np.zeros(1, np.int64), np.zeros(0), np.zeros(0))
     # at most 2 * per_class rows of two numbers are broadcast
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
-    rows = texts.mapInArrow(_features_batches, "doc_id long, good int, lines binary").dropDuplicates(["doc_id"]).collect()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").withColumn("hash", F.xxhash64("text"))
+    held = cut(texts.mapInArrow(_features_batches, "doc_id long, good int, hash long, n long, lines binary"))
+    sizes = held.groupBy("doc_id", "good").agg(F.min(F.struct("hash", "n")).alias("one")).select("doc_id", "good", "one.*", F.xxhash64("doc_id").alias("order")).collect()
+    sizes.sort(key=lambda r: (r["order"], r["doc_id"]))
+    chosen = [r for g in (0, 1) for r in within_lines([r for r in sizes if r["good"] == g], lines // 2)]
+    names = docs.sparkSession.createDataFrame([(r["doc_id"], r["hash"]) for r in chosen], "doc_id long, hash long")
+    rows = held.join(F.broadcast(names), ["doc_id", "hash"]).groupBy("doc_id", "good").agg(F.min("lines").alias("lines")).collect()
     rows.sort(key=lambda r: r["doc_id"])
     parts = [np.frombuffer(r["lines"], "<f4").reshape(-1, N_FEATURES) for r in rows]
     label = np.array([r["good"] for r in rows])
