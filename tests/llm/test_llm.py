@@ -338,6 +338,30 @@ def test_url_model_fits_its_table(spark):
     assert all(got[k] == bool(y) for k, (y, _, _) in enumerate(url_filter.LABELLED))
 
 
+#: URLs that no training row holds, of kinds that the table names.
+UNSEEN = (
+    (0, "www.academy.example", "/courses/history"), (0, "wiki.botany.example", "/wiki/flora"), (0, "news.evening.example", "/article/2020/culture"), (0, "www.archive.example", "/catalogue/maps"),
+    (0, "blog.cook.example", "/recipes/bread"), (0, "docs.database.example", "/manual/query"), (0, "www.theatre.example", "/en/programme"), (0, "forum.cycling.example", "/thread/tyres"),
+    (1, "casino-slots.example", "/bonus/free"), (1, "adult-videos.example", "/xxx/live"), (1, "cheap-pills.example", "/viagra/buy"), (1, "warez-crack.example", "/download/keygen"),
+    (1, "verify-account.example", "/login/password"), (1, "poker-bonus.example", "/play/jackpot"), (1, "fast-cash-loans.example", "/apply/now"), (1, "free-prize.example", "/claim/win"),
+)
+
+
+def test_url_model_on_unseen_urls(spark):
+    df = spark.createDataFrame([(k, f"https://{h}{p}") for k, (_, h, p) in enumerate(UNSEEN)], "page_id long, url string")
+    verdicts = [r["verdict"] == "block" for r in url_filter.judge(df, rules=()).orderBy("page_id").collect()]
+    assert sum(v == bool(y) for v, (y, _, _) in zip(verdicts, UNSEEN, strict=True)) >= 14
+
+
+def test_url_model_left_out():
+    table, right = url_filter.LABELLED, 0
+    for k in range(6):
+        w, b = url_filter.fit([r for i, r in enumerate(table) if i % 6 != k])
+        for y, h, p in table[k::6]:
+            right += (sum(w[x] + b for x in url_filter.slots(h, 0) + url_filter.slots(p, url_filter.PATH_SALT)) > 0) == bool(y)
+    assert right >= 0.7 * len(table), right
+
+
 # 6
 
 
