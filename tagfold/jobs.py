@@ -23,7 +23,7 @@ from tagfold.functions.intervals import Interval
 from tagfold.operators.consensus import call_consensus
 from tagfold.operators.groups import kept_reads, tag_groups
 from tagfold.operators.index import build_index
-from tagfold.shared import hold
+from tagfold.shared import hold, scratch
 from tagfold.sources.fastq import read_fastq, write_fastq
 from tagfold.sources.index_file import read_clusters, read_index_file, write_index_file
 from tagfold.sources.report import summary, write_report
@@ -34,9 +34,10 @@ def index(spark: SparkSession, reads: str, out: str, preset: str | None = None,
     without an identifier unless they are to be skipped."""
     began = time.time()
     named = None if clusters is None else read_clusters(spark, clusters)
-    found = build_index(read_fastq(spark, reads), preset, barcode_regex=barcode_regex, clusters=named, skip_unmatched=skip_unmatched, length=length, quality=quality, once=True)
     facts = {"tool_version": VERSION, "file_path": reads, "index_date": datetime.now().astimezone().isoformat()}
-    return write_index_file(found, out, **facts, elapsed=time.time() - began)
+    with scratch(spark):
+        found = build_index(read_fastq(spark, reads), preset, barcode_regex=barcode_regex, clusters=named, skip_unmatched=skip_unmatched, length=length, quality=quality, once=True)
+        return write_index_file(found, out, **facts, elapsed=time.time() - began)
 
 
 def summarise(spark: SparkSession, index_file: str, out: str, data: str | None = None) -> dict:
@@ -53,9 +54,10 @@ def _kept(spark: SparkSession, index_file: str, reads: str, exact_ids: bool) ->
 
 def call(spark: SparkSession, index_file: str, reads: str, out: str, duplicates_only: bool = False, report_original_reads: bool = False, exact_ids: bool = False, max_group_reads: int | None = None) -> None:
     kept = _kept(spark, index_file, reads, exact_ids)
-    # sorting looks at its input twice, and aligning twice would cost most of the job
-    called = hold(call_consensus(kept, duplicates_only, report_original_reads, max_group_reads), "called")
-    write_fastq(called, out, ("ug", "kind", "i"))
+    with scratch(spark):
+        # sorting looks at its input twice, and aligning twice would cost most of the job
+        called = hold(call_consensus(kept, duplicates_only, report_original_reads, max_group_reads), "called")
+        write_fastq(called, out, ("ug", "kind", "i"))
 
 
 def group(spark: SparkSession, index_file: str, reads: str, out: str, exact_ids: bool = False) -> None:

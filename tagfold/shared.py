@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,8 +37,12 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+_made: list[str] = []
+
+
 def new_folder(spark: SparkSession, kind: str) -> str:
-    return f"{shared_dir(spark)}/{kind}-{uuid.uuid4()}"
+    _made.append(f"{shared_dir(spark)}/{kind}-{uuid.uuid4()}")
+    return _made[-1]
 
 
 def remove_folder(spark: SparkSession, path: str) -> None:
@@ -45,9 +51,21 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, the folders that were made inside; what is computed there must be written by then."""
+    start = len(_made)
+    try:
+        yield
+    finally:
+        for path in _made[start:]:
+            remove_folder(spark, path)
+        del _made[start:]
+
+
 def hold(df: DataFrame, kind: str = "table") -> DataFrame:
     """`df` written once as Parquet into the shared folder and read again: later uses prune its columns and recompute
-    nothing, and a lost executor costs only its own tasks. The folder stays for the session's owner to delete."""
+    nothing, and a lost executor costs only its own tasks. The folder stays, unless this happens within `scratch`."""
     path = new_folder(df.sparkSession, kind)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

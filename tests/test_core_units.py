@@ -309,3 +309,19 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("idx").count() == 4
+
+
+def test_shared_tables(spark):
+    import os
+
+    from tagfold.shared import hold, new_folder, scratch, shared_dir
+
+    df = spark.range(5)
+    kept = hold(df)
+    with scratch(spark):
+        gone = hold(df)
+        assert gone.count() == 5
+        where = gone.inputFiles()[0].removeprefix("file:").rsplit("/", 1)[0].replace("//", "/")
+        assert os.path.isdir(where)
+    assert not os.path.isdir(where) and kept.count() == 5
+    assert new_folder(spark, "x").startswith(shared_dir(spark))
