@@ -52,6 +52,12 @@ def _consensus(spark, d):
     return call_consensus(_kept(spark, d))
 
 
+def _equal(spark, d):
+    """Consensus of groups whose reads are equal but for their qualities."""
+    index = ix.build_index(fixture.equal_reads(spark, d), "bc-umi", skip_unmatched=True, check=False, once=True)
+    return call_consensus(kept_of(index)).select("ug", "id", "seq", "qual")
+
+
 def _tags(spark, d):
     return tag_groups(_kept(spark, d))
 
@@ -155,6 +161,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "call_originals": lambda s, d: _headers(s, d, report_original_reads=True),
         "fastq_lines": _lines,
         "call_consensus": _consensus,
+        "call_equal_reads": _equal,
         "fastq_scan": lambda s, d: read_fastq(s, read_files(s, d)),
         "fasta_scan": lambda s, d: read_fastq(s, read_files(s, d, write_fasta)).select("id", "seq", "qual", "pos", "rec_len"),
         "fastq_index": lambda s, d: read_index_file(s, _index_file(s, d)[0])[1],
@@ -240,6 +247,12 @@ def oracle_sql() -> dict[str, str]:
               string_agg(n || ':' || groups, ',' ORDER BY n) AS distribution, max(n) AS largest FROM h""",
         "fastq_lines": f"WITH reads AS ({fixture.READS_SQL}) SELECT pos, '@' || id || chr(10) || seq || chr(10) || '+' || chr(10) || qual AS record FROM reads",
     }
+    # a base's quality is the rounded mean of its reads', an even half rounded to the even number
+    every = idx(length="n_bases > 0 AND n_bases < 15000", quality="avg_qual > 0").replace(fixture.READS_SQL, f"SELECT * REPLACE ({fixture.EQUAL_SEQ} AS seq, {fixture.EQUAL_QUAL} AS qual) FROM ({fixture.READS_SQL})")
+    q["call_equal_reads"] = f"""{every}, {ranked}, {rows}, b AS (SELECT gkey, x, round_even(sum(ascii(substr(qual, x::int, 1)) - 33)::double / count(*), 0)::int AS q FROM w, range(1, 31) t(x) GROUP BY gkey, x),
+      mq AS (SELECT gkey, string_agg(chr(33 + q), '' ORDER BY x) AS qual FROM b GROUP BY gkey), sq AS (SELECT gkey, min(seq) AS seq FROM w GROUP BY gkey)
+      SELECT c.ug, c.id, CASE WHEN u.n > 1 THEN sq.seq ELSE w.seq END AS seq, CASE WHEN u.n > 1 THEN mq.qual ELSE w.qual END AS qual FROM ({con} UNION ALL {sin}) c JOIN u ON u.ug = c.ug JOIN mq ON mq.gkey = u.gkey JOIN sq ON sq.gkey = u.gkey
+        JOIN w ON w.gkey = u.gkey AND w.i = 1"""
     # the same read files, index and clusters, by way of files
     q["fastq_index"], q["fastq_metadata"], q["fastq_clusters_file"] = q["index_bc_umi"], q["index_metadata"], q["index_clusters"]
     return q

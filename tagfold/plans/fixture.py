@@ -36,6 +36,10 @@ SELECT *, cast(coalesce(sum(rec_len) OVER (ORDER BY read_no ROWS BETWEEN UNBOUND
 FROM ({ROWS_SQL}) l
 """
 
+#: Reads whose sequence depends on their barcode and UMI alone, 30 bases each.
+EQUAL_SEQ = "substr(translate(md5(concat('t', bc, umi)), '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, 30)"
+EQUAL_QUAL = "substr(concat(qual, '555555555555'), 1, 30)"
+
 CLUSTERS_SQL = """
 SELECT read_no AS line_no, read_id, concat(bc, '_', umi) AS identifier FROM reads WHERE mod(read_no, 50) <> 0
 UNION ALL
@@ -53,5 +57,9 @@ def reads(spark: SparkSession, sf_dir: str, header: str = "id") -> DataFrame:
     return rows if header == "id" else rows.drop("id").withColumnRenamed(header, "id")
 
 
+def equal_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reads(spark, sf_dir).withColumn("seq", F.expr(EQUAL_SEQ)).withColumn("qual", F.expr(EQUAL_QUAL))
+
+
 def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(CLUSTERS_SQL.replace("FROM reads", "FROM {reads}"), reads=reads(spark, sf_dir))

@@ -181,6 +181,7 @@ def test_alignment_is_the_best_overlap():
             path = [b for b in g.base if rng.random() > 0.2] or [65]
             read = np.array([b if rng.random() > 0.1 else int(rng.choice(list(b"ACGT"))) for b in path], np.uint8)
         pairs = poa._align(g, read)
+        assert pairs == poa._align(g, read, 0)
         assert _score_of(g, read, pairs) == _slow_overlap(g, read), turn
 
 
