@@ -917,6 +917,17 @@ def test_attach_keeps_each_copy(spark, odd):
     assert attach(keyed, facts, "x").drop("x").exceptAll(odd).count() == 0 and attach(keyed, facts, "x").count() == odd.count()
 
 
+def test_pipeline_stages_on_odd_tables(spark, odd, none, sf):
+    for name, stage in corpus_pipeline.STAGES:
+        out, empty = stage(spark, odd, sf), stage(spark, none, sf)
+        assert empty.count() == 0 and set(odd.columns) <= set(out.columns) == set(empty.columns)
+        texts = Counter(r["text"] for r in out.collect())
+        if name == "benchmark decontamination":
+            assert texts == Counter(r["text"] for r in odd.collect())
+        if name == "SimHash near-dedup":
+            assert texts == {"alpha beta gamma delta epsilon zeta eta theta": 1, "": 1, "alpha beta": 1, LONG: 1, "x": 1, "Ünï\nÜnï": 1}
+
+
 def test_pipeline_stages(spark, sf, tmp_path):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     truth = dict(duckdb.sql(f"select doc_id, quality from '{sf}/labels.parquet'").fetchall())
