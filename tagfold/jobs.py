@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tagfold import VERSION
 from tagfold.functions.intervals import Interval
 from tagfold.operators.consensus import call_consensus
-from tagfold.operators.groups import kept_reads, tag_groups
+from tagfold.operators.groups import kept_index, kept_reads, tag_groups
 from tagfold.operators.index import build_index
 from tagfold.shared import hold, scratch
 from tagfold.sources.fastq import read_fastq, write_fastq
@@ -48,20 +48,24 @@ def summarise(spark: SparkSession, index_file: str, out: str, data: str | None =
     return report
 
 
-def _kept(spark: SparkSession, index_file: str, reads: str, exact_ids: bool) -> DataFrame:
-    return kept_reads(read_fastq(spark, reads), read_index_file(spark, index_file)[1], exact_ids)
+def _kept(spark: SparkSession, index_file: str, reads: str, exact_ids: bool) -> tuple[DataFrame, DataFrame]:
+    """Kept reads, and of the index alone what numbers their groups; the read file is scanned for the former only."""
+    rows = read_index_file(spark, index_file)[1]
+    return kept_reads(read_fastq(spark, reads), rows, exact_ids), kept_index(rows, exact_ids)
 
 
 def call(spark: SparkSession, index_file: str, reads: str, out: str, duplicates_only: bool = False, report_original_reads: bool = False, exact_ids: bool = False, max_group_reads: int | None = None) -> None:
-    kept = _kept(spark, index_file, reads, exact_ids)
+    kept, slim = _kept(spark, index_file, reads, exact_ids)
     with scratch(spark):
-        # sorting looks at its input twice, and aligning twice would cost most of the job
-        called = hold(call_consensus(kept, duplicates_only, report_original_reads, max_group_reads), "called")
+        # the number of tasks is planned from the reads, and sorting looks at its input twice: both from tables
+        called = hold(call_consensus(hold(kept, "kept"), duplicates_only, report_original_reads, max_group_reads, slim), "called")
         write_fastq(called, out, ("ug", "kind", "i"))
 
 
 def group(spark: SparkSession, index_file: str, reads: str, out: str, exact_ids: bool = False) -> None:
-    write_fastq(tag_groups(_kept(spark, index_file, reads, exact_ids)), out)
+    kept, slim = _kept(spark, index_file, reads, exact_ids)
+    with scratch(spark):
+        write_fastq(hold(tag_groups(kept, slim), "tagged"), out)
 
 
 def arguments() -> argparse.ArgumentParser:

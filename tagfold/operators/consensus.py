@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagfold.functions.scalars import read_tag
-from tagfold.operators.groups import grouped_reads, quality_tag
+from tagfold.operators.groups import SLIM, grouped_reads, member_facts, quality_tag
 from tagfold.operators.poa import consensus
 
 #: Cells of alignment (reads of a group times the square of their mean length) that one task should fill.
@@ -82,24 +82,24 @@ def _headed(rows: DataFrame, *body: str) -> DataFrame:
     return rows.select("ug", "kind", "i", name.alias("id"), *body)
 
 
-def call_consensus(kept: DataFrame, duplicates_only: bool = False, report_original_reads: bool = False, max_group_reads: int | None = None) -> DataFrame:
+def call_consensus(kept: DataFrame, duplicates_only: bool = False, report_original_reads: bool = False, max_group_reads: int | None = None, slim: DataFrame | None = None) -> DataFrame:
     """kept: from `kept_reads` or `kept_of`. (ug, kind, i, id, seq, qual), one consensus row a group (kind 1, or a single's
     own read), originals of larger groups as kind 0 if asked for. Sort by (ug, kind, i) to write. A group beyond
     `max_group_reads` raises."""
-    rows = grouped_reads(kept, duplicates_only, _tasks(kept)).sortWithinPartitions("gkey", "pos")
+    rows = grouped_reads(kept, duplicates_only, _tasks(kept), slim).sortWithinPartitions("gkey", "pos")
     called = rows.select(*FACTS, "i", "id", "seq", "qual").mapInArrow(_call_batches(report_original_reads, max_group_reads), CALLED)
     return _headed(called, "seq", "qual")
 
 
-def call_headers(kept: DataFrame, duplicates_only: bool = False, report_original_reads: bool = False) -> DataFrame:
+def call_headers(kept: DataFrame, duplicates_only: bool = False, report_original_reads: bool = False, slim: DataFrame | None = None) -> DataFrame:
     """(ug, kind, i, id) of the same rows; nothing is aligned."""
-    g = grouped_reads(kept.withColumn("seq", F.lit("")).withColumn("qual", F.lit("")), duplicates_only)
-    lone = (F.col("i") == 1).cast("int")
+    facts = member_facts(kept.select(*SLIM) if slim is None else slim, duplicates_only)
+    g = kept.select("id", "pos").join(facts, "pos")
     row = lambda kind, i: F.struct(F.lit(kind).alias("kind"), i.cast("long").alias("i"))
     con, orig = row(1, F.lit(0)), row(0, F.col("i"))
     kinds = F.when(F.col("n") == 1, F.array(con))
     if report_original_reads:
-        kinds = kinds.when(lone == 1, F.array(con, orig)).otherwise(F.array(orig))
+        kinds = kinds.when(F.col("i") == 1, F.array(con, orig)).otherwise(F.array(orig))
     else:
-        kinds = kinds.when(lone == 1, F.array(con))
+        kinds = kinds.when(F.col("i") == 1, F.array(con))
     return _headed(g.select(*FACTS, "id", F.explode(kinds).alias("k")).select(*FACTS, "id", "k.kind", "k.i"))

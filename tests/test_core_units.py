@@ -326,3 +326,26 @@ def test_shared_tables(spark):
         assert os.path.isdir(where)
     assert not os.path.isdir(where) and kept.count() == 5
     assert new_folder(spark, "x").startswith(shared_dir(spark))
+
+
+def test_a_group_with_most_reads(spark, monkeypatch):
+    """A group of a third of all reads, spread over ranges of the file; some groups have one read."""
+    from tagfold.operators import groups
+
+    monkeypatch.setattr(groups, "RANGE_BYTES", 700)
+    rng = np.random.default_rng(1)
+    names = ["hot_A" if rng.random() < 0.4 else f"g{rng.integers(0, 700)}_A" for _ in range(3000)]
+    rows = [(name, f"r{k}", "AC", "II", 10 * k, float(k % 40) / 4) for k, name in enumerate(names)]
+    kept = spark.createDataFrame(rows, "gkey string, id string, seq string, qual string, pos long, avg_qual double").repartition(9)
+    seen, first, total = {}, {}, {}
+    for name, *_, q in rows:
+        first.setdefault(name, len(first))
+        seen[name], total[name] = seen.get(name, 0) + 1, total.get(name, 0.0) + q
+    got = {(r["gkey"], r["ug"], r["n"], r["quality"]) for r in groups.number_groups(kept).collect()}
+    assert got == {(x, first[x], n, total[x] / n) for x, n in seen.items()}
+    place = {}
+    want = set()
+    for name, header, *_ in rows:
+        place[name] = place.get(name, 0) + 1
+        want.add((first[name], place[name], f"{header} UT:Z:ORIG_{place[name]}_OF_{seen[name]} UG:i:{first[name]}"))
+    assert {(r["ug"], r["i"], r["id"]) for r in tag_groups(kept).collect()} == want
