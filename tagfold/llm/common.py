@@ -30,20 +30,6 @@ def unit(*cols: Column | str) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 40)) / float(1 << 40)
 
 
-#: A key counts as hot from this share of all rows on, so there are at most as many hot keys.
-HOT_SHARE = 1000
-
-
-def join_counted(rows: DataFrame, facts: DataFrame, on: list[str], count: str, total: int) -> DataFrame:
-    """rows (read twice) inner joined with facts, which has a row for each key and in `count` how many of the rows bear it.
-    The facts of keys with 1 / HOT_SHARE of all rows or more, HOT_SHARE at most, are broadcast, so that no task gets all
-    rows of such a key; the others meet by shuffling."""
-    is_hot = F.col(count) * HOT_SHARE >= total
-    hot = facts.where(is_hot)
-    cold = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(facts.where(~is_hot), on)
-    return rows.join(F.broadcast(hot), on).unionByName(cold)
-
-
 def numbered(df: DataFrame, out: str, *order: Column) -> DataFrame:
     """Adds `out`, the row's place from 0 in the given order: sorted parts, whose sizes alone come to the driver."""
     parts = in_order(df.orderBy(*order))

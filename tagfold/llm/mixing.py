@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from tagfold.llm.common import ROW_KEY, attach, cut, fresh, join_counted, numbered, with_row_key
+from tagfold.llm.common import ROW_KEY, attach, cut, fresh, numbered, with_row_key
+from tagfold.operators.skew import join_counted
 
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
 BLOCK_WORDS, SLOTS_PER_SHARD, SHARDS_AT_ONCE, SEED = 512, 4096, 1024, 20_240

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tagfold.llm import ann_additive, chat_format, components, decontaminate, license_scan, mixing, pii_anchor, quality_crf, queries, sharding, simhash_gray, url_filter
-from tagfold.llm.common import HOT_SHARE, attach, join_counted, numbered, with_row_key
+from tagfold.llm.common import attach, numbered, with_row_key
+from tagfold.operators.skew import HOT_SHARE, join_counted
 
 LONG = " ".join(f"word{k % 977} item{k % 31}" for k in range(30_000))
 CLASHES = "fp long, g long, size long, score double, _text string, s int, shard int, slot long, fact string, root long, w string, grams string"
