@@ -14,7 +14,11 @@ the component has no other.
 
 `keep_first` thins a corpus to one row of each group of copies: texts whose sets of five-word shingles have a Jaccard
 similarity of 0.8 or more, which lie at up to some 20 bits, where no intact block of 64 bits is left to deal by. There the
-buckets are keyed by runs of minima of the shingles' hashes. Links settle in rounds. In the first ones each text of a bucket is held
+buckets are keyed by shingles, as a prefix filter has it (Chaudhuri, Ganti, Kaushik 2006; Bayardo, Ma, Srikant 2007): with all
+shingles in one order, two similar sets share one among the first n - ceil(0.8 n) + 1 of each, n being its size, so that no pair
+is lost, whatever the order. Rare shingles come first: the order is by counts over a sample of at most about SAMPLE_ROWS rows, in
+slots by hash, and by hash where these tie; the sample decides what is compared in vain, not what is found. Links settle in
+rounds. In the first ones each text of a bucket is held
 against one text of it, so a bucket of any size costs as many pairs as it has rows, and these are few different ones, as large groups
 share theirs over all buckets. What then still holds texts of different groups is searched by the same tree, which
 gives all pairs still apart, at any bits: fingerprints weigh repeated shingles and sets do not, so equal sets may have any
@@ -44,10 +48,9 @@ SHINGLE_WORDS, MAX_BITS, SEED = 4, 4, 42
 FANOUT_BITS = 3
 #: Distinct fingerprints beyond which two blocks key a bucket, and rows of a bucket beyond which it is dealt by more bits.
 WIDE, FINER = 1 << 24, 1 << 20
-#: Copies: words a shingle, least similarity as a fraction, and buckets of a text with the minima that key one (at a
-#: similarity of 0.8 two texts miss each other in all buckets once in 8 million times).
+#: Copies: words a shingle and least similarity as a fraction; rows and slots of the sample that orders shingles.
 COPY_WORDS, SIMILAR = 5, (4, 5)
-BANDS, MINIMA = 40, 5
+SAMPLE_ROWS, SLOT_BITS = 16_384, 24
 SKETCH_LONGS = 8
 #: Rows of at most 40 bytes that are broadcast; more are joined by shuffling.
 BROADCAST_ROWS = 200_000
@@ -347,10 +350,6 @@ def hex16(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def _multipliers() -> np.ndarray:
-    return np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
 def odd_sketch(hashes: np.ndarray) -> np.ndarray:
     """hashes: distinct. Bits, as longs, of which no more differ between two sets than there are hashes in one set alone."""
     width = 64 * SKETCH_LONGS
@@ -358,41 +357,72 @@ def odd_sketch(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
-def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import xxhash
+def _distinct(words: list[bytes]) -> tuple[int, np.ndarray]:
+    """Fingerprint and distinct hashes of a text's shingles."""
+    runs = list(shingle_hashes(words, COPY_WORDS))
+    return majority(runs), np.unique(np.concatenate(runs)) if runs else np.zeros(0, "<u8")
+
+
+def _slots(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
-    factors = _multipliers()
-    mix, band = factors[:MINIMA], np.arange(BANDS, dtype=np.uint64)
+
+def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        class1, class2, fp, n = (np.zeros(b.num_rows, np.int64) for _ in range(4))
-        keys: list[np.ndarray | None] = []
-        odd = np.zeros((b.num_rows, SKETCH_LONGS), np.int64)
-        for row, t in enumerate(b.column("text").cast(pa.binary())):
-            words = _words(t.as_py() or b"")
-            name = xxhash.xxh128_intdigest(b" ".join(words), SEED)
-            class1[row], class2[row] = _signed(name >> 64), _signed(name & (1 << 64) - 1)
-            runs = list(shingle_hashes(words, COPY_WORDS))
-            fp[row] = _signed(majority(runs))
-            if not runs:
-                keys.append(None)
-                continue
-            hashes = np.unique(np.concatenate(runs))
-            n[row] = len(hashes)
-            odd[row] = odd_sketch(hashes)
-            least = np.full(len(factors), ~np.uint64(0))
-            for a in range(0, len(hashes), 2048):
-                np.minimum(least, (hashes[a : a + 2048] * factors[:, None]).min(axis=1), out=least)
-            x = ((least.reshape(BANDS, MINIMA) >> np.uint64(7)) * mix).sum(axis=1) + band
-            keys.append(((x ^ x >> np.uint64(31)) * factors[-1]).view(np.int64))
-        arrays = [pa.array(class1), pa.array(class2), pa.array(fp), pa.array(n), pa.array(keys, pa.list_(pa.int64())), pa.array(list(odd), pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", *ROW_KEY)), *arrays], ["doc_id", *ROW_KEY, "c", "c2", "fp", "n", "keys", "odd"])
+        found = [_slots(_distinct(_words(t.as_py() or b""))[1]) for t in b.column("text").cast(pa.binary())]
+        slot, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.int64),) * 2
+        yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(n)], ["slot", "n"])
+
+
+def sampled_counts(keyed: DataFrame) -> np.ndarray:
+    """For each slot, in how many texts of the sample its shingles are, up to 255. Slots of one text count as none."""
+    every = max(1, keyed.count() // SAMPLE_ROWS)
+    some = keyed.where(F.pmod(F.xxhash64("_row", F.monotonically_increasing_id()), F.lit(every)) == 0)
+    slots = some.select(F.col("text").cast("string").alias("text")).mapInArrow(_count_batches, "slot long, n long")
+    found = slots.groupBy("slot").agg(F.least(F.sum("n"), F.lit(255)).alias("n")).where("n > 1").toArrow()  # at most 2 ** SLOT_BITS
+    counts = np.zeros(1 << SLOT_BITS, np.uint8)
+    counts[np.asarray(found.column("slot"))] = np.asarray(found.column("n")).astype(np.uint8)
+    return counts
+
+
+def prefix(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """hashes: distinct. The first in the order of counts and hashes; similar sets share one of theirs."""
+    up, down = SIMILAR
+    n = len(hashes)
+    first = n + up * n // -down + 1
+    return hashes[np.lexsort((hashes, counts[_slots(hashes)]))[:first]]
+
+
+def _sketch_batches(held):
+    import xxhash
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = held.value
+        for b in batches:
+            class1, class2, fp, n = (np.zeros(b.num_rows, np.int64) for _ in range(4))
+            keys: list[np.ndarray | None] = []
+            odd = np.zeros((b.num_rows, SKETCH_LONGS), np.int64)
+            for row, t in enumerate(b.column("text").cast(pa.binary())):
+                words = _words(t.as_py() or b"")
+                name = xxhash.xxh128_intdigest(b" ".join(words), SEED)
+                class1[row], class2[row] = _signed(name >> 64), _signed(name & (1 << 64) - 1)
+                bits, hashes = _distinct(words)
+                fp[row], n[row] = _signed(bits), len(hashes)
+                if len(hashes):
+                    odd[row] = odd_sketch(hashes)
+                keys.append(prefix(hashes, counts).view(np.int64) if len(hashes) else None)
+            arrays = [pa.array(class1), pa.array(class2), pa.array(fp), pa.array(n), pa.array(keys, pa.list_(pa.int64())), pa.array(list(odd), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", *ROW_KEY)), *arrays], ["doc_id", *ROW_KEY, "c", "c2", "fp", "n", "keys", "odd"])
+
+    return run
 
 
 def sketches(keyed: DataFrame) -> DataFrame:
     """keyed: from `with_row_key`. For each row, two hashes of its words that together name its text, its fingerprint, its
     number of distinct shingles, the keys of its buckets (null without words) and its odd sketch."""
     slim = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), *ROW_KEY, F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(_sketch_batches, "doc_id long, _row long, _row2 long, c long, c2 long, fp long, n long, keys array<long>, odd array<long>")
+    held = keyed.sparkSession.sparkContext.broadcast(sampled_counts(keyed))  # 2 ** SLOT_BITS bytes
+    return slim.mapInArrow(_sketch_batches(held), "doc_id long, _row long, _row2 long, c long, c2 long, fp long, n long, keys array<long>, odd array<long>")
 
 
 SKETCH = [f"s{k}" for k in range(SKETCH_LONGS)]
@@ -485,10 +515,16 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 
 def _unsettled(rows: DataFrame, pick, n: int) -> tuple[DataFrame, int]:
-    """rows: key, c, root; n of them. Those of buckets with several roots, with m, the rows of the bucket, and the text of it
-    that `pick` names and its root; and how many are left."""
-    row = F.struct("c", "root")
-    facts = cut(rows.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("low"), F.max("root").alias("high"), pick(row).alias("pivot")).where("low < high").select("key", "m", "pivot"))
+    """rows: key, c, root, n of them; without root, each text is its own group. Those of buckets with several roots, with m, the
+    rows of the bucket, and `pivot`, the text of it that `pick` names (without root, the least) and its root; and how many
+    are left."""
+    if "root" in rows.columns:
+        facts = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("low"), F.max("root").alias("high"), pick(F.struct("c", "root")).alias("pivot"))
+    else:  # the largest table, in as few numbers as will do
+        rows = rows.withColumn("root", F.col("c"))
+        facts = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("c").alias("low"), F.max("c").alias("high"))
+        facts = facts.withColumn("pivot", F.struct(F.col("low").alias("c"), F.col("low").alias("root")))
+    facts = cut(facts.where("low < high").select("key", "m", "pivot"))
     if facts.count() <= BROADCAST_ROWS:
         left = rows.join(F.broadcast(facts), "key")
     else:
@@ -512,8 +548,8 @@ def copy_groups(keyed: DataFrame) -> DataFrame:
     Texts of a bucket link if they are similar. Texts are named by 64 bits in links and by 128 elsewhere."""
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *ROW_KEY)).alias("best")
     classes = cut(sketches(keyed).groupBy("c", "c2").agg(best, *(F.first(x).alias(x) for x in ("fp", "n", "keys", "odd"))))
-    names, n = classes.select("c", "best"), classes.count() * BANDS
-    rows = classes.select(F.explode("keys").alias("key"), "c").withColumn("root", F.col("c"))
+    names, n = classes.select("c", "best"), classes.agg(F.sum(F.size("keys"))).first()[0] or 0
+    rows = classes.select(F.explode("keys").alias("key"), "c")
     roots, links, tried = None, None, None
 
     def settle(pairs: DataFrame) -> DataFrame:
