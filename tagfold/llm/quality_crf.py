@@ -27,7 +27,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from tagfold.llm.common import cut, fresh
 
-TRAIN_PER_CLASS, TRAIN_LINES = 3000, 200_000
+TRAIN_PER_CLASS, TRAIN_LINES = 3000, 120_000
 STEPS, RATE, L2 = 250, 0.08, 1e-3
 #: Text bytes whose features are computed at once, unless a single text is longer.
 CHUNK_BYTES = 1 << 20
