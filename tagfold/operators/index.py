@@ -78,15 +78,20 @@ def index_metadata(marked: DataFrame) -> DataFrame:
     )
 
 
-def check_matches(marked: DataFrame, skip_unmatched: bool) -> None:
-    """One pass: names the first offender in file order."""
+def match_facts(marked: DataFrame) -> DataFrame:
+    """One row: unmatched reads and the header of the first of them in file order, least and most captures of a matched read."""
     lost = F.col("identifier").isNull()
-    x = marked.agg(
-        F.min_by("id", F.when(lost, F.col("pos"))).alias("header"), F.count_if(lost).alias("n"),
+    return marked.agg(
+        F.min_by("id", F.when(lost, F.col("pos"))).alias("header"), F.count_if(lost).alias("unmatched"),
         F.min("n_captures").alias("least"), F.max("n_captures").alias("most"),
-    ).first()
-    if x["n"] and not skip_unmatched:
-        raise UnmatchedReads(f"no identifier for {x['n']} reads, the first of them {x['header']!r}")
+    )
+
+
+def check_matches(marked: DataFrame, skip_unmatched: bool) -> None:
+    """One pass: names the first offender in file order."""
+    x = match_facts(marked).first()
+    if x["unmatched"] and not skip_unmatched:
+        raise UnmatchedReads(f"no identifier for {x['unmatched']} reads, the first of them {x['header']!r}")
     if x["least"] != x["most"]:
         raise UnequalCaptures(f"reads have between {x['least']} and {x['most']} captures")
 

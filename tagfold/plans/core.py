@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,7 @@ from tagfold.sources.fastq import read_fastq, write_fasta, write_fastq
 from tagfold.sources.index_file import read_index_file
 
 LEN, QUAL = Interval.parse("22,60"), Interval.parse("15,24")
+VARYING = r"^([ATCG]{16})_([ATCG]{6})(T)?"
 CUSTOM = r"^([ATCG]{4})[ATCG]{12}_([ATCG]{6})([ATCG]{99})?"
 
 
@@ -119,6 +121,27 @@ def _file_report(spark, d):
     return spark.createDataFrame([row], "gb string, total_reads long, duplicate_reads long, duplicate_ids long, distribution string, largest long")
 
 
+def _file_order(spark, d):
+    """Line by line, as one file is short here."""
+    path = _index_file(spark, d)[0]
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.trim("value", F.lit("\n")), "\n")).alias("line", "text"))
+    fields = F.split("text", "\t")
+    return lines.where("line > 1").select(F.col("line").cast("long"), fields[0].alias("id"), fields[1].cast("long").alias("pos"))
+
+
+def _file_page(spark, d):
+    """The bars of the page's two charts."""
+    out = new_folder(spark, "report")
+    jobs.summarise(spark, _index_file(spark, d)[0], f"{out}.html")
+    charts = spark.read.text(f"{out}.html", wholetext=True).first()[0].split("<h2>")[1:]
+    rows = [(c.split("</h2>")[0], int(k), int(v)) for c in charts for k, v in re.findall(r"<tr><td>(\d+)</td>.*?<td>(\d+)</td></tr>", c)]
+    return spark.createDataFrame(rows, "chart string, size long, value long")
+
+
+def _captures(spark, d):
+    return ix.match_facts(build(spark, d, barcode_regex=VARYING).marked).select("header", "unmatched", *(F.col(x).cast("long") for x in ("least", "most")))
+
+
 def _file_group(spark, d):
     reads, out = read_files(spark, d), new_folder(spark, "tagged")
     index = new_folder(spark, "index.tsv")
@@ -168,6 +191,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "fastq_clusters_file": _file_clusters,
         "fastq_metadata": _file_metadata,
         "fastq_summary": _file_report,
+        "summary_page": _file_page,
+        "index_file_order": _file_order,
+        "capture_check": _captures,
         "fastq_group": _file_group,
         "fastq_call": _file_call,
     }
@@ -245,6 +271,10 @@ def oracle_sql() -> dict[str, str]:
             SELECT printf('%.3f', (SELECT max(pos + rec_len) FROM reads) / 1073741824.0::double) AS gb, cast(sum(n * groups) AS bigint) AS total_reads,
               cast(coalesce(sum(n * groups) FILTER (n > 1), 0) AS bigint) AS duplicate_reads, cast(coalesce(sum(groups) FILTER (n > 1), 0) AS bigint) AS duplicate_ids,
               string_agg(n || ':' || groups, ',' ORDER BY n) AS distribution, max(n) AS largest FROM h""",
+        "summary_page": f"{idx()}, {hist} SELECT 'Groups by size' AS chart, n AS size, groups AS value FROM h UNION ALL SELECT 'Reads by group size', n, n * groups FROM h",
+        "index_file_order": f"{idx()} SELECT row_number() OVER (ORDER BY pos) + 1 AS line, id, pos FROM idx",
+        "capture_check": f"""WITH {marked()}, x AS (SELECT id, pos, regexp_matches(id, '^[ATCG]{{16}}_[ATCG]{{6}}') AS hit, 2 + regexp_matches(id, '^[ATCG]{{16}}_[ATCG]{{6}}T')::bigint AS n FROM m)
+            SELECT min_by(id, pos) FILTER (NOT hit) AS header, count(*) FILTER (NOT hit) AS unmatched, min(n) FILTER (hit) AS least, max(n) FILTER (hit) AS most FROM x""",
         "fastq_lines": f"WITH reads AS ({fixture.READS_SQL}) SELECT pos, '@' || id || chr(10) || seq || chr(10) || '+' || chr(10) || qual AS record FROM reads",
     }
     # a base's quality is the rounded mean of its reads', an even half rounded to the even number
