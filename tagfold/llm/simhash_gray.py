@@ -428,10 +428,9 @@ def sketches(keyed: DataFrame) -> DataFrame:
 SKETCH = [f"s{k}" for k in range(SKETCH_LONGS)]
 
 
-def _fitting(tree: GrayForest, columns: list[np.ndarray], label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Runs of pairs of different labels that may be similar, with the bits in which their sketches differ."""
+def _fitting(tree: GrayForest, fp: np.ndarray, n: np.ndarray, sketch: list[np.ndarray], label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Runs of pairs of different labels that may be similar, by sizes and sketches."""
     up, down = SIMILAR
-    fp, _, n, *sketch = columns
     for rows in _portions(tree.bucket):
         a, b = tree.pairs(rows, fp, 64, label)
         fit = down * np.minimum(n[a], n[b]) >= up * np.maximum(n[a], n[b])
@@ -440,13 +439,14 @@ def _fitting(tree: GrayForest, columns: list[np.ndarray], label: np.ndarray) ->
         for s in sketch:
             far += np.bitwise_count((s[a] ^ s[b]).view(np.uint64))
         fit = (up + down) * far <= (down - up) * (n[a] + n[b])
-        yield a[fit], b[fit], far[fit]
+        yield a[fit], b[fit]
 
 
 def _apart_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of pairs of parts of buckets: pairs of different groups, of a row of each part, that may be similar."""
     for bucket, (root, fp, c, n, part, both, *sketch) in _whole_buckets(batches, ["key", "x", "y"], ["root", "fp", "c", "n", "part", "both", *SKETCH]):
-        for a, b, _ in _fitting(GrayForest(fp.view(np.uint64), bucket), [fp.view(np.uint64), c, n, *sketch], root):
+        fp = fp.view(np.uint64)
+        for a, b in _fitting(GrayForest(fp, bucket), fp, n, sketch, root):
             across = (part[a] != part[b]) | ~both[a]
             yield pa.RecordBatch.from_arrays([pa.array(c[a][across]), pa.array(c[b][across])], ["a", "b"])
 
@@ -539,8 +539,10 @@ def _in_parts(rows: DataFrame, classes: DataFrame) -> DataFrame:
     known = rows.join(classes.select("c", "fp", "n", *sketch), "c")
     parts = F.ceil(F.col("m") / AT_ONCE).cast("int")
     met = known.withColumn("part", F.pmod(F.xxhash64("c"), parts).cast("int")).withColumn("z", F.explode(F.sequence(F.lit(0), parts - 1)))
-    dealt = met.select("key", F.least("part", "z").alias("x"), F.greatest("part", "z").alias("y"), "root", "fp", "c", "n", "part", (F.col("part") != F.col("z")).alias("other"), *SKETCH)
-    return dealt.withColumn("both", F.col("x") != F.col("y")).drop("other").repartition("key", "x", "y").withColumn("gray", gray_rank(F.col("fp"))).sortWithinPartitions("key", "x", "y", "gray", "c").drop("gray")
+    two = [F.least("part", "z").alias("x"), F.greatest("part", "z").alias("y")]
+    dealt = met.select("key", *two, "root", "fp", "c", "n", "part", *SKETCH).withColumn("both", F.col("x") != F.col("y"))
+    gray = gray_rank(F.col("fp")).alias("gray")
+    return dealt.repartition("key", "x", "y").select("*", gray).sortWithinPartitions("key", "x", "y", "gray", "c").drop("gray")
 
 
 def copy_groups(keyed: DataFrame) -> DataFrame:
