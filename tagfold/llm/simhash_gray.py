@@ -17,7 +17,7 @@ similarity of 0.8 or more, which lie at up to some 20 bits, where no intact bloc
 buckets are keyed by shingles, as a prefix filter has it (Chaudhuri, Ganti, Kaushik 2006; Bayardo, Ma, Srikant 2007): with all
 shingles in one order, two similar sets share one among the first n - ceil(0.8 n) + 1 of each, n being its size, so that no pair
 is lost, whatever the order. Rare shingles come first: the order is by counts over a sample of at most about SAMPLE_ROWS rows, in
-slots by hash, and by hash where these tie; the sample decides what is compared in vain, not what is found. Links settle in
+slots by hash, and by hash where these tie; the sample decides what is compared in vain and which keys are hot, not what is found. Links settle in
 rounds. In the first ones each text of a bucket is held
 against one text of it, so a bucket of any size costs as many pairs as it has rows, and these are few different ones, as large groups
 share theirs over all buckets. What then still holds texts of different groups is searched by the same tree, which
@@ -37,20 +37,21 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagfold.llm.common import ROW_KEY, cut, one_of_each, with_row_key
 from tagfold.llm.components import components
-from tagfold.operators.skew import join_counted
+from tagfold.operators.skew import HOT_SHARE, join_counted
 
 SHINGLE_WORDS, MAX_BITS, SEED = 4, 4, 42
 FANOUT_BITS = 3
 #: Distinct fingerprints beyond which two blocks key a bucket, and rows of a bucket beyond which it is dealt by more bits.
 WIDE, FINER = 1 << 24, 1 << 20
 #: Copies: words a shingle and least similarity as a fraction; rows and slots of the sample that orders shingles.
+#: A shingle in 1 / HOT_SHARE of the sample or more is hot.
 COPY_WORDS, SIMILAR = 5, (4, 5)
-SAMPLE_ROWS, SLOT_BITS = 16_384, 24
+SAMPLE_ROWS, SLOT_BITS, BLOCK_BITS = 8192, 23, 16
 SKETCH_LONGS = 8
 #: Rows of at most 40 bytes that are broadcast; more are joined by shuffling.
 BROADCAST_ROWS = 200_000
@@ -374,15 +375,28 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(n)], ["slot", "n"])
 
 
-def sampled_counts(keyed: DataFrame) -> np.ndarray:
-    """For each slot, in how many texts of the sample its shingles are, up to 255. Slots of one text count as none."""
-    every = max(1, keyed.count() // SAMPLE_ROWS)
+def _block_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts by slot to the whole blocks of slots that a task has."""
+    blocks: dict[int, np.ndarray] = {}
+    for b in batches:
+        slot, n = np.asarray(b.column("slot")), np.asarray(b.column("n"))
+        for k in np.unique(slot >> BLOCK_BITS).tolist():
+            own = slot >> BLOCK_BITS == k
+            blocks.setdefault(k, np.zeros(1 << BLOCK_BITS, np.uint8))[slot[own] & (1 << BLOCK_BITS) - 1] = np.minimum(n[own], 255)
+    yield pa.RecordBatch.from_arrays([pa.array(list(blocks), pa.int64()), pa.array([x.tobytes() for x in blocks.values()], pa.binary())], ["block", "counts"])
+
+
+def sampled_counts(keyed: DataFrame) -> tuple[np.ndarray, int]:
+    """For each slot, in how many texts of the sample its shingles are, up to 255; and from which count on a shingle is hot."""
+    rows = keyed.count()
+    every = max(1, rows // SAMPLE_ROWS)
     some = keyed.where(F.pmod(F.xxhash64("_row", F.monotonically_increasing_id()), F.lit(every)) == 0)
     slots = some.select(F.col("text").cast("string").alias("text")).mapInArrow(_count_batches, "slot long, n long")
-    found = slots.groupBy("slot").agg(F.least(F.sum("n"), F.lit(255)).alias("n")).where("n > 1").toArrow()  # at most 2 ** SLOT_BITS
+    sums = slots.groupBy("slot").agg(F.sum("n").alias("n")).withColumn("block", F.shiftright("slot", BLOCK_BITS))
     counts = np.zeros(1 << SLOT_BITS, np.uint8)
-    counts[np.asarray(found.column("slot"))] = np.asarray(found.column("n")).astype(np.uint8)
-    return counts
+    for r in sums.repartition("block").select("slot", "n").mapInArrow(_block_batches, "block long, counts binary").collect():  # 2 ** SLOT_BITS bytes
+        counts[r["block"] << BLOCK_BITS : r["block"] + 1 << BLOCK_BITS] = np.frombuffer(r["counts"], np.uint8)
+    return counts, min(255, max(2, rows // every // HOT_SHARE))
 
 
 def prefix(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -397,10 +411,10 @@ def _sketch_batches(held):
     import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = held.value
+        counts, hot_from = held.value
         for b in batches:
             class1, class2, fp, n = (np.zeros(b.num_rows, np.int64) for _ in range(4))
-            keys: list[np.ndarray | None] = []
+            keys, hot = [], []
             odd = np.zeros((b.num_rows, SKETCH_LONGS), np.int64)
             for row, t in enumerate(b.column("text").cast(pa.binary())):
                 words = _words(t.as_py() or b"")
@@ -410,19 +424,22 @@ def _sketch_batches(held):
                 fp[row], n[row] = _signed(bits), len(hashes)
                 if len(hashes):
                     odd[row] = odd_sketch(hashes)
-                keys.append(prefix(hashes, counts).view(np.int64) if len(hashes) else None)
-            arrays = [pa.array(class1), pa.array(class2), pa.array(fp), pa.array(n), pa.array(keys, pa.list_(pa.int64())), pa.array(list(odd), pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", *ROW_KEY)), *arrays], ["doc_id", *ROW_KEY, "c", "c2", "fp", "n", "keys", "odd"])
+                first = prefix(hashes, counts)
+                often = counts[_slots(first)] >= hot_from
+                keys.append(first[~often].view(np.int64))
+                hot.append(first[often].view(np.int64))
+            arrays = [pa.array(class1), pa.array(class2), pa.array(fp), pa.array(n), pa.array(keys, pa.list_(pa.int64())), pa.array(hot, pa.list_(pa.int64())), pa.array(list(odd), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", *ROW_KEY)), *arrays], ["doc_id", *ROW_KEY, "c", "c2", "fp", "n", "keys", "hot", "odd"])
 
     return run
 
 
 def sketches(keyed: DataFrame) -> DataFrame:
     """keyed: from `with_row_key`. For each row, two hashes of its words that together name its text, its fingerprint, its
-    number of distinct shingles, the keys of its buckets (null without words) and its odd sketch."""
+    number of distinct shingles, the keys of its buckets (none without words), hot ones apart, and its odd sketch."""
     slim = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), *ROW_KEY, F.col("text").cast("string").alias("text"))
     held = keyed.sparkSession.sparkContext.broadcast(sampled_counts(keyed))  # 2 ** SLOT_BITS bytes
-    return slim.mapInArrow(_sketch_batches(held), "doc_id long, _row long, _row2 long, c long, c2 long, fp long, n long, keys array<long>, odd array<long>")
+    return slim.mapInArrow(_sketch_batches(held), "doc_id long, _row long, _row2 long, c long, c2 long, fp long, n long, keys array<long>, hot array<long>, odd array<long>")
 
 
 SKETCH = [f"s{k}" for k in range(SKETCH_LONGS)]
@@ -505,6 +522,8 @@ def similar_pairs(pairs: DataFrame, keyed: DataFrame, classes: DataFrame) -> Dat
     far = sum((F.bit_count(F.col("odd_a")[k].bitwiseXOR(F.col("odd_b")[k])) for k in range(SKETCH_LONGS)), F.lit(0))
     fits = (down * F.least("n_a", "n_b") >= up * F.greatest("n_a", "n_b")) & ((up + down) * far <= (down - up) * (F.col("n_a") + F.col("n_b")))
     left = cut(known.where(fits).select("a", "b", "k_a", "k_b"))
+    if left.isEmpty():
+        return left.select("a", "b")
     texts = texts_of_pairs(left, keyed, classes)
     both = _with_text(cut(_with_text(left, "a", texts)), "b", texts).sortWithinPartitions("b")
     return both.select("a", "b", F.col("text_a").alias("x"), F.col("text_b").alias("y")).mapInArrow(_similar_batches, "a long, b long")
@@ -514,16 +533,24 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _shared(classes: DataFrame) -> tuple[DataFrame, int]:
+    """(key, c, root, m, pivot) of buckets of several texts, each its own group as yet: m is the bucket's rows, pivot its least
+    text. Rows are dealt by key once; those of hot keys are counted before and meet their counts by `join_counted`."""
+    w = Window.partitionBy("key")
+    dealt = classes.select(F.explode("keys").alias("key"), "c")
+    cold = dealt.select("key", "c", F.count("*").over(w).alias("m"), F.min("c").over(w).alias("low")).where("m > 1")
+    hot = classes.select(F.explode("hot").alias("key"), "c")
+    facts = hot.groupBy("key").agg(F.count("*").alias("m"), F.min("c").alias("low")).where("m > 1")
+    total = classes.agg(F.sum(F.size("hot"))).first()[0] or 0
+    both = cold.unionByName(join_counted(hot, facts, ["key"], "m", total))
+    rows = cut(both.select("key", "c", F.col("c").alias("root"), "m", F.struct(F.col("low").alias("c"), F.col("low").alias("root")).alias("pivot")))
+    return rows, rows.count()
+
+
 def _unsettled(rows: DataFrame, pick, n: int) -> tuple[DataFrame, int]:
-    """rows: key, c, root, n of them; without root, each text is its own group. Those of buckets with several roots, with m, the
-    rows of the bucket, and `pivot`, the text of it that `pick` names (without root, the least) and its root; and how many
-    are left."""
-    if "root" in rows.columns:
-        facts = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("low"), F.max("root").alias("high"), pick(F.struct("c", "root")).alias("pivot"))
-    else:  # the largest table, in as few numbers as will do
-        rows = rows.withColumn("root", F.col("c"))
-        facts = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("c").alias("low"), F.max("c").alias("high"))
-        facts = facts.withColumn("pivot", F.struct(F.col("low").alias("c"), F.col("low").alias("root")))
+    """rows: key, c, root, n of them. Those of buckets with several roots, with m, the rows of the bucket, and `pivot`, the text of
+    it that `pick` names and its root; and how many are left."""
+    facts = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("low"), F.max("root").alias("high"), pick(F.struct("c", "root")).alias("pivot"))
     facts = cut(facts.where("low < high").select("key", "m", "pivot"))
     if facts.count() <= BROADCAST_ROWS:
         left = rows.join(F.broadcast(facts), "key")
@@ -549,30 +576,26 @@ def copy_groups(keyed: DataFrame) -> DataFrame:
     """keyed: from `with_row_key`. (c, root, best): each distinct text, its group and its row with the smallest doc_id.
     Texts of a bucket link if they are similar. Texts are named by 64 bits in links and by 128 elsewhere."""
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *ROW_KEY)).alias("best")
-    classes = cut(sketches(keyed).groupBy("c", "c2").agg(best, *(F.first(x).alias(x) for x in ("fp", "n", "keys", "odd"))))
-    names, n = classes.select("c", "best"), classes.agg(F.sum(F.size("keys"))).first()[0] or 0
-    rows = classes.select(F.explode("keys").alias("key"), "c")
-    roots, links, tried = None, None, None
+    classes = cut(sketches(keyed).groupBy("c", "c2").agg(best, *(F.first(x).alias(x) for x in ("fp", "n", "keys", "hot", "odd"))))
+    names, roots, tried = classes.select("c", "best"), None, None
 
     def settle(pairs: DataFrame) -> DataFrame:
-        nonlocal links, tried
+        nonlocal tried
         new = _ordered(pairs)
         new = cut(new if tried is None else new.join(tried, ["a", "b"], "left_anti"))
         if roots is not None and new.isEmpty():
             return roots
         tried = new if tried is None else tried.unionByName(new)
-        found = cut(similar_pairs(new, keyed, classes))
-        links = found if links is None else links.unionByName(found)
-        return components(links)
+        found = similar_pairs(new, keyed, classes)
+        return components(found if roots is None else found.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
     def named(rows: DataFrame) -> DataFrame:
         return cut(rows.join(roots, rows["c"] == roots["node"], "left").withColumn("root", F.coalesce(roots["root"], "c")).drop("node"))
 
-    for pick in (F.min, F.max):
-        rows, n = _unsettled(rows, pick, n)
+    rows, n = _shared(classes)
+    for pick in (F.max, F.min):
         roots = settle(rows.where("root <> pivot.root").select(F.col("c").alias("a"), F.col("pivot.c").alias("b")))
-        rows = named(rows.select("key", "c"))
-    rows, n = _unsettled(rows, F.min, n)
+        rows, n = _unsettled(named(rows.select("key", "c")), pick, n)
     roots = settle(_in_parts(rows.drop("pivot"), classes).mapInArrow(_apart_batches, "a long, b long"))
     return names.join(roots, names["c"] == roots["node"], "left").select("c", F.coalesce("root", "c").alias("root"), "best")
 
