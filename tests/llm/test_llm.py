@@ -828,20 +828,6 @@ def test_copies_by_brute_force(spark):
     check_kept(texts, kept)
 
 
-def test_prefixes_of_similar_sets_share_a_shingle():
-    """At the similarity itself, for every size and under orders that know nothing of the sets."""
-    rng = np.random.default_rng(21)
-    for n in range(1, 400):
-        pool = rng.integers(0, 1 << 63, 2 * n + 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        counts = rng.integers(0, 3, 1 << simhash_gray.SLOT_BITS, dtype=np.uint8) if n % 40 == 1 else counts
-        apart = n // 4  # of a union of n + apart, so that n of it are shared
-        for own in {0, apart, apart // 2}:
-            a, b = np.unique(pool[: n + own]), np.unique(np.r_[pool[:n], pool[n + own : n + apart]])
-            assert 5 * len(np.intersect1d(a, b)) >= 4 * len(np.union1d(a, b))
-            x, y = simhash_gray.prefix(a, counts), simhash_gray.prefix(b, counts)
-            assert len(np.intersect1d(x, y)) and len(x) == len(a) - -(-4 * len(a) // 5) + 1
-
-
 def test_odd_sketch_never_exceeds_the_difference():
     rng = np.random.default_rng(3)
     for n in (0, 1, 5, 80, 700, 9000):
