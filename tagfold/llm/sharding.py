@@ -75,9 +75,8 @@ def propagate(linked: DataFrame, rows: int, shards: int, rounds: int = ROUNDS) -
         table = {(r["shard"], r["to"]): r["count"] for r in wish.where("`to` <> shard").groupBy("shard", "to").count().collect()}
         if not table:
             break
-        grant = F.lit(0.0)
-        for (a, b), q in sorted(quotas(table, load, room).items()):
-            grant = F.when((F.col("shard") == a) & (F.col("to") == b), F.lit(q)).otherwise(grant)
+        granted = quotas(table, load, room)
+        grant = F.get(F.lit([granted.get((a, b), 0.0) for a in range(shards) for b in range(shards)]), F.col("shard") * shards + F.col("to"))
         whole = F.col("n") * 100 < rows // shards + 1
         draw = F.when(whole, unit("g", "crc", F.lit(turn))).otherwise(unit(*ROW_KEY, F.lit(turn)))
         linked = cut(wish.withColumn("shard", F.when((F.col("to") != F.col("shard")) & (draw < grant), F.col("to")).otherwise(F.col("shard"))).drop("to"))
