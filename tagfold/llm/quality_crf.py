@@ -30,7 +30,7 @@ from tagfold.llm.common import cut, fresh
 TRAIN_PER_CLASS, TRAIN_LINES = 3000, 120_000
 STEPS, RATE, L2 = 250, 0.08, 1e-3
 #: Text bytes whose features are computed at once, unless a single text is longer.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 UPPER, LOWER, DIGIT, STOP, SYMBOL, HIGH = range(1, 7)
 SPACES = b" \t\n\r\x0b\x0c"
