@@ -13,12 +13,13 @@ fingerprint and so a component. Extra columns are ignored. A null doc_id is kept
 the component has no other.
 
 `keep_first` thins a corpus to one row of each group of copies: texts whose sets of five-word shingles have a Jaccard
-similarity of 0.8 or more, which lie at up to some 20 bits, where no intact block of 64 bits is left to deal by. There the
-buckets are keyed by runs of minima of the shingles' hashes. Links settle in rounds. In the first ones each text of a bucket is held
-against one text of it, so a bucket of any size costs as many pairs as it has rows, and these are few different ones, as large groups
-share theirs over all buckets. What then still holds texts of different groups is searched by the same tree, which
-gives all pairs still apart, at any bits: fingerprints weigh repeated shingles and sets do not, so equal sets may have any
-two fingerprints, and these neither link texts nor rule pairs out. A bucket beyond AT_ONCE rows is cut into parts, and each two
+similarity of 0.8 or more. Pairs within d bits come from the index above, all of them. Similar texts may lie further apart, at any
+bits, as fingerprints weigh repeated shingles and sets do not, and there no intact block of 64 bits is left to deal by: for these,
+buckets keyed by runs of minima of the shingles' hashes stand beside those of the index. Links settle in rounds. In the first ones
+each text of a bucket of minima is held against one text of it, so a bucket of any size costs as many pairs as it has rows, and these
+are few different ones, as large groups share theirs over all buckets. In the last one the tree searches all buckets that still hold
+texts of different groups and gives all pairs still apart, within d bits in those of the index and at any bits in those of minima.
+A near fingerprint alone never links texts. A bucket beyond AT_ONCE rows is cut into parts, and each two
 parts are a task's work. An odd sketch of each set (Mitzenmacher, Pagh,
 Pham 2014: a bit for each of 512 classes of hashes, set if an odd number of shingles falls in it) takes out most pairs
 that are not similar: sets differ in at least as many shingles as their sketches do in bits, so a pair whose sketches differ in more bits
@@ -398,11 +399,11 @@ def sketches(keyed: DataFrame) -> DataFrame:
 SKETCH = [f"s{k}" for k in range(SKETCH_LONGS)]
 
 
-def _fitting(tree: GrayForest, fp: np.ndarray, n: np.ndarray, sketch: list[np.ndarray], label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Runs of pairs of different labels that may be similar, by sizes and sketches."""
+def _fitting(tree: GrayForest, fp: np.ndarray, max_bits: int, n: np.ndarray, sketch: list[np.ndarray], label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Runs of pairs of different labels, within reach, that may be similar by sizes and sketches."""
     up, down = SIMILAR
     for rows in _portions(tree.bucket):
-        a, b = tree.pairs(rows, fp, 64, label)
+        a, b = tree.pairs(rows, fp, max_bits, label)
         fit = down * np.minimum(n[a], n[b]) >= up * np.maximum(n[a], n[b])
         a, b = a[fit], b[fit]
         far = np.zeros(len(a), np.int64)
@@ -412,13 +413,17 @@ def _fitting(tree: GrayForest, fp: np.ndarray, n: np.ndarray, sketch: list[np.nd
         yield a[fit], b[fit]
 
 
-def _apart_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of pairs of parts of buckets: pairs of different groups, of a row of each part, that may be similar."""
-    for bucket, (root, fp, c, n, part, both, *sketch) in _whole_buckets(batches, ["key", "x", "y"], ["root", "fp", "c", "n", "part", "both", *SKETCH]):
-        fp = fp.view(np.uint64)
-        for a, b in _fitting(GrayForest(fp, bucket), fp, n, sketch, root):
-            across = (part[a] != part[b]) | ~both[a]
-            yield pa.RecordBatch.from_arrays([pa.array(c[a][across]), pa.array(c[b][across])], ["a", "b"])
+def _apart_batches(max_bits: int):
+    """Rows of pairs of parts of buckets: pairs within reach of different groups, of a row of each part, that may be similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, (root, fp, c, n, part, both, *sketch) in _whole_buckets(batches, ["key", "x", "y"], ["root", "fp", "c", "n", "part", "both", *SKETCH]):
+            fp = fp.view(np.uint64)
+            for a, b in _fitting(GrayForest(fp, bucket), fp, max_bits, n, sketch, root):
+                across = (part[a] != part[b]) | ~both[a]
+                yield pa.RecordBatch.from_arrays([pa.array(c[a][across]), pa.array(c[b][across])], ["a", "b"])
+
+    return run
 
 
 def _similar_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -511,12 +516,19 @@ def _in_parts(rows: DataFrame, classes: DataFrame) -> DataFrame:
     return dealt.repartition("key", "x", "y").select("*", gray).sortWithinPartitions("key", "x", "y", "gray", "c").drop("gray")
 
 
+def _by_blocks(texts: DataFrame, masks: list[int]) -> DataFrame:
+    """texts: c, fp, root. (key, c, root): their buckets in the index."""
+    keys = F.array(*(F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for t, m in enumerate(masks)))
+    return texts.select(F.explode(keys).alias("key"), "c", "root")
+
+
 def copy_groups(keyed: DataFrame) -> DataFrame:
     """keyed: from `with_row_key`. (c, root, best): each distinct text, its group and its row with the smallest doc_id.
-    Texts of a bucket link if they are similar. Texts are named by 64 bits in links and by 128 elsewhere."""
+    Texts within MAX_BITS, and texts of a bucket of minima, link if they are similar. Texts are named by 64 bits in links and by 128 elsewhere."""
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *ROW_KEY)).alias("best")
     classes = cut(sketches(keyed).groupBy("c", "c2").agg(best, *(F.first(x).alias(x) for x in ("fp", "n", "keys", "odd"))))
-    names, n = classes.select("c", "best"), classes.count() * BANDS
+    names, many = classes.select("c", "best"), classes.count()
+    n, masks = many * BANDS, bucket_masks(MAX_BITS, many > WIDE)
     rows = classes.select(F.explode("keys").alias("key"), "c").withColumn("root", F.col("c"))
     roots, tried = None, None
 
@@ -537,8 +549,12 @@ def copy_groups(keyed: DataFrame) -> DataFrame:
         rows, n = _unsettled(rows, pick, n)
         roots = settle(rows.where("root <> pivot.root").select(F.col("c").alias("a"), F.col("pivot.c").alias("b")))
         rows = named(rows.select("key", "c"))
-    rows, n = _unsettled(rows, F.min, n)
-    roots = settle(_in_parts(rows.drop("pivot"), classes).mapInArrow(_apart_batches, "a long, b long"))
+    indexed = _by_blocks(named(classes.where("n > 0").select("c", "fp")), masks)
+    apart = []
+    for some, n_some, max_bits in ((indexed, many * len(masks), MAX_BITS), (rows, n, 64)):
+        left, _ = _unsettled(some, F.min, n_some)
+        apart.append(_in_parts(left.drop("pivot"), classes).mapInArrow(_apart_batches(max_bits), "a long, b long"))
+    roots = settle(apart[0].unionByName(apart[1]))
     return names.join(roots, names["c"] == roots["node"], "left").select("c", F.coalesce("root", "c").alias("root"), "best")
 
 

@@ -875,6 +875,38 @@ def test_copies_with_repeated_lines_of_their_own(spark):
     assert sorted(r["doc_id"] for r in simhash_gray.keep_first(df).collect()) == list(range(0, 60, 2))
 
 
+def pair_without_common_minima(name):
+    """Two similar texts of one body, said twenty times, with few differing bits; the second has words after it, chosen so
+    that no run of minima is left."""
+    body = [f"{name}x{k}" for k in range(120)] * 20
+    hashes = lambda words: np.concatenate(list(simhash_gray.shingle_hashes([w.encode() for w in words], simhash_gray.COPY_WORDS)))
+    least = (np.unique(hashes(body)) * simhash_gray._multipliers()[:, None]).min(axis=1)
+    kept, words = np.ones(simhash_gray.BANDS, bool), list(body)
+    while kept.any():
+        found = []
+        for k in range(400):
+            new = hashes([*words[-4:], f"{name}y{k}"])[0]
+            hit = (new * simhash_gray._multipliers() >> np.uint64(7) < least >> np.uint64(7)).reshape(simhash_gray.BANDS, -1).any(axis=1)
+            found.append((int((hit & kept).sum()), k, hit))
+        _, k, hit = max(found, key=lambda x: x[:2])
+        kept &= ~hit
+        words.append(f"{name}y{k}")
+    return " ".join(body), " ".join(words)
+
+
+@pytest.mark.parametrize("at_once", [8192, 1])
+def test_near_fingerprints_find_copies_that_share_no_minima(spark, at_once, monkeypatch):
+    monkeypatch.setattr(simhash_gray, "AT_ONCE", at_once)
+    pairs = [pair_without_common_minima(x) for x in "abcdef"]
+    for a, b in pairs:
+        assert similar(shingle_set(a), shingle_set(b))
+        assert (slow_fingerprint(a, simhash_gray.COPY_WORDS) ^ slow_fingerprint(b, simhash_gray.COPY_WORDS)).bit_count() <= 4
+    df = spark.createDataFrame([(2 * k + i, t) for k, pair in enumerate(pairs) for i, t in enumerate(pair)], "doc_id long, text string")
+    keys = {r["doc_id"]: set(r["keys"]) for r in simhash_gray.sketches(with_row_key(df)).collect()}
+    assert not any(keys[d] & keys[d + 1] for d in range(0, 12, 2))
+    assert sorted(r["doc_id"] for r in simhash_gray.keep_first(df).collect()) == list(range(0, 12, 2))
+
+
 @pytest.mark.parametrize("labels", [1, 3, 1000])
 def test_tree_gives_all_pairs_of_different_labels(labels):
     rng = np.random.default_rng(labels)
