@@ -55,7 +55,7 @@ BROADCAST_ROWS = 200_000
 #: Rows of a bucket that are compared in one task, and pairs that get the text of one of them in one task.
 AT_ONCE = 8192
 #: Rows of whole buckets that are searched together, and pairs that are compared at once.
-ROWS_AT_ONCE, PAIRS_AT_ONCE = 1 << 16, 1 << 20
+ROWS_AT_ONCE, PAIRS_AT_ONCE = 1 << 14, 1 << 17
 HASHES_AT_ONCE = 1 << 16
 
 
