@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,14 +26,46 @@ def _stars(edges: DataFrame, n: int) -> DataFrame:
     return small.unionByName(down.select("a", F.col("m").alias("b"))).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def union(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """label: by number, the least known number of its component. The same with the links a, b."""
+    while len(a):
+        x, y = label[a], label[b]
+        differ = x != y
+        a, b, x, y = a[differ], b[differ], x[differ], y[differ]
+        if not len(a):
+            break
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while True:
+            up = label[label]
+            if np.array_equal(up, label):
+                break
+            label = up
+    return label
+
+
+def _at_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All edges to (node, root)."""
+    held = [[np.asarray(b.column(c)) for c in ("a", "b")] for b in batches if b.num_rows]
+    if not held:
+        return
+    a, b = (np.concatenate(c) for c in zip(*held, strict=True))
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    label = union(np.arange(len(nodes)), at[: len(a)], at[len(a) :])
+    other = label != np.arange(len(nodes))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[other]), pa.array(nodes[label[other]])], ["node", "root"])
+
+
+def components(edges: DataFrame, at_once: int = 0) -> DataFrame:
     """edges: two long columns (a, b) in any order. Returns (node, root): every node with an edge to another, and the
-    smallest node of its component; the smallest itself is left out. Nulls and loops are dropped."""
+    smallest node of its component; the smallest itself is left out. Nulls and loops are dropped. At most `at_once` distinct
+    edges are one task's work instead of rounds."""
     now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct())
     seen = None
     for _ in range(MAX_ROUNDS):
         mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if mark == seen or not mark[0]:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        if mark[0] <= at_once:
+            return cut(now.repartition(1).mapInArrow(_at_once, "node long, root long"))
         seen, now = mark, cut(_stars(now, mark[0]))
     raise RuntimeError("components did not settle")

@@ -38,8 +38,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagfold.llm.common import ROW_KEY, cut, one_of_each, with_row_key
-from tagfold.llm.components import components
+from tagfold.llm.components import components, union
 from tagfold.operators.skew import join_counted
+from tagfold.shared import let_go
 
 SHINGLE_WORDS, MAX_BITS, SEED = 4, 4, 42
 FANOUT_BITS = 3
@@ -54,6 +55,8 @@ SKETCH_LONGS = 8
 BROADCAST_ROWS = 200_000
 #: Rows of a bucket that are compared in one task, and pairs that get the text of one of them in one task.
 AT_ONCE = 8192
+#: Links of texts of which one task finds the groups, some 16 bytes each; more settle in rounds of joins.
+LINKS_AT_ONCE = 1 << 18
 #: Rows of whole buckets that are searched together, and pairs that are compared at once.
 ROWS_AT_ONCE, PAIRS_AT_ONCE = 1 << 14, 1 << 17
 HASHES_AT_ONCE = 1 << 16
@@ -217,22 +220,6 @@ class GrayForest:
         return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
 
 
-def _union(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    while len(a):
-        x, y = label[a], label[b]
-        differ = x != y
-        a, b, x, y = a[differ], b[differ], x[differ], y[differ]
-        if not len(a):
-            break
-        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
-        while True:
-            up = label[label]
-            if np.array_equal(up, label):
-                break
-            label = up
-    return label
-
-
 def _portions(bucket: np.ndarray) -> Iterator[np.ndarray]:
     """All rows in runs that are compared with about PAIRS_AT_ONCE others, or of one row."""
     cost = np.cumsum(np.bincount(bucket)[bucket])
@@ -248,9 +235,9 @@ def forest_links(fps: np.ndarray, bucket: np.ndarray, max_bits: int) -> tuple[np
     if len(fps) < 2:
         return fps[:0], fps[:0]
     tree = GrayForest(fps, bucket)
-    label = _union(np.arange(len(fps)), *tree.solid(max_bits))
+    label = union(np.arange(len(fps)), *tree.solid(max_bits))
     for rows in _portions(bucket):
-        label = _union(label, *tree.search(rows, fps, max_bits))
+        label = union(label, *tree.search(rows, fps, max_bits))
     child = np.flatnonzero(label != np.arange(len(fps)))
     return fps[child], fps[label[child]]
 
@@ -540,7 +527,10 @@ def copy_groups(keyed: DataFrame) -> DataFrame:
             return roots
         tried = new if tried is None else tried.unionByName(new)
         found = similar_pairs(new, keyed, classes)
-        return components(found if roots is None else found.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+        links = found if roots is None else found.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        groups = components(links, LINKS_AT_ONCE)
+        let_go(keyed.sparkSession)
+        return groups
 
     def named(rows: DataFrame) -> DataFrame:
         return cut(rows.join(roots, rows["c"] == roots["node"], "left").withColumn("root", F.coalesce(roots["root"], "c")).drop("node"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -51,6 +52,13 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Has the driver collect its garbage: until it does, Spark keeps the broadcasts, shuffle files and generated code of what
+    is done with."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Deletes, at its end, the folders that were made inside; what is computed there must be written by then."""

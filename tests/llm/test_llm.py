@@ -930,6 +930,38 @@ def test_components_of_a_path(spark):
     assert components.components(df.limit(0)).count() == 0
 
 
+def test_few_edges_are_one_task(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    edges = [(int(a), int(b)) for a, b in rng.integers(-(1 << 62), 1 << 62, 400)[rng.integers(0, 400, (300, 2))]] + [(7, 7), (7, None)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    rounds = []
+    stars = components._stars
+    monkeypatch.setattr(components, "_stars", lambda e, n: rounds.append(n) or stars(e, n))
+    by_rounds = sorted(map(tuple, components.components(df).collect()))
+    distinct = rounds[0]
+    assert len(by_rounds) > 100
+    rounds.clear()
+    assert sorted(map(tuple, components.components(df, distinct).collect())) == by_rounds
+    assert not rounds
+    assert sorted(map(tuple, components.components(df, distinct - 1).collect())) == by_rounds
+    assert rounds
+    assert not components.components(df.where("a = 7"), 10).collect()
+
+
+@pytest.mark.parametrize("links_at_once", [0, 1 << 18])
+def test_copies_settle_without_rounds_of_joins(spark, links_at_once, monkeypatch):
+    """On 211 partitions these rounds were most of the tasks, of all of which the driver keeps account."""
+    monkeypatch.setattr(simhash_gray, "LINKS_AT_ONCE", links_at_once)
+    rounds = []
+    stars = components._stars
+    monkeypatch.setattr(components, "_stars", lambda e, n: rounds.append(n) or stars(e, n))
+    body = " ".join(f"w{k}" for k in range(200))
+    rows = [(k, f"{body} own{k % 7}") for k in range(40)] + [(100 + k, " ".join(f"x{k}y{j}" for j in range(30))) for k in range(10)]
+    kept = simhash_gray.keep_first(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, *range(100, 110)]
+    assert bool(rounds) == (not links_at_once)
+
+
 def test_join_counted_has_hot_and_other_keys(spark):
     rows = spark.createDataFrame([(0, k) for k in range(4000)] + [(1 + k // 2, k) for k in range(4000)], "key long, v long")
     facts = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum("v").alias("s"))
